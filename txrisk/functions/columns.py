@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
@@ -61,19 +61,42 @@ def account_risk_level(fraud_count: Column) -> Column:
     return F.when(F.coalesce(fraud_count, F.lit(0)) > 0, F.lit("HIGH")).otherwise(F.lit("LOW"))
 
 
+def zero_padded(prefix: str, n: Column, width: int, fmt: str) -> Column:
+    """``prefix`` + n zero-padded to ``width`` digits, equal to ``fmt % n``.
+
+    ``lpad`` alone would cut numbers longer than ``width``; those (and
+    negative numbers) go through ``format_string``.  The common case stays a
+    cheap codegen'd concat/lpad instead of a per-row String.format.
+    """
+    fast = F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))
+    ok = (n >= 0) & (n < 10**width)
+    return F.when(ok, fast).otherwise(F.format_string(fmt, n))
+
+
 def format_txn_id(n: Column) -> Column:
     """``TXN%05d``; longer numbers are kept whole (no truncation)."""
-    return F.format_string(S.TXN_ID_FORMAT, n)
+    return zero_padded("TXN", n, 5, S.TXN_ID_FORMAT)
 
 
 def format_account_id(n: Column) -> Column:
-    return F.format_string(S.ACCOUNT_ID_FORMAT, n)
+    """``ACC%03d``; longer numbers are kept whole."""
+    return zero_padded("ACC", n, 3, S.ACCOUNT_ID_FORMAT)
 
 
 def format_customer_name(n: Column) -> Column:
-    return F.format_string(S.CUSTOMER_NAME_FORMAT, n)
+    """``Customer %d``."""
+    return F.concat(F.lit("Customer "), n.cast("string"))
 
 
 def format_timestamp(ts: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` text."""
     return F.date_format(ts, S.TIMESTAMP_FORMAT)
+
+
+def fit_row(df: DataFrame, *aggs: Column) -> tuple:
+    """Evaluate a few global aggregates in ONE job and return their values.
+
+    The "fit" step of a fit/transform operator: partial aggregation per task,
+    one row of ``len(aggs)`` values to the driver, then used as literals.
+    """
+    return tuple(df.agg(*aggs).first())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
-from txrisk.functions.columns import flag
+from txrisk.functions.columns import fit_row, flag
 from txrisk.operators.profile import numeric_columns
 
 
@@ -108,22 +108,24 @@ def risk_from_label(df: DataFrame, label: str = "IsFraud") -> DataFrame:
     return df.withColumn("Risk", F.when(c == 1, F.lit("HIGH")).when(c == 0, F.lit("LOW")))
 
 
-def equal_width_bounds(df: DataFrame, column: str) -> tuple[Column, Column]:
+def equal_width_bounds(df: DataFrame, column: str) -> tuple[float, float] | None:
     """Upper edges of the first two of three equal-width, right-closed bins.
 
-    min and max come from one global aggregate evaluated once as a scalar
-    subquery (partial aggregation per partition, no join, no sort).  When all
-    values are equal the range is widened by 0.1 % on each side (0.001 when
-    the value is 0), so the single value falls in the middle bin.
+    min and max come from one global aggregate (partial per task, one row to
+    the driver), like fitting an estimator; the edges are then literals in
+    the per-row expression.  When all values are equal the range is widened
+    by 0.1 % on each side (0.001 when the value is 0), so the single value
+    falls in the middle bin.  ``None`` when the column has no values.
     """
     x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-    stats = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
-    lo, hi = stats["lo"], stats["hi"]
-    pad = F.when(lo == F.lit(0.0), F.lit(0.001)).otherwise(F.abs(lo) * F.lit(0.001))
-    lo_eff = F.when(lo == hi, lo - pad).otherwise(lo)
-    hi_eff = F.when(lo == hi, hi + pad).otherwise(hi)
-    step = (hi_eff - lo_eff) / F.lit(3.0)
-    return step * F.lit(1.0) + lo_eff, step * F.lit(2.0) + lo_eff
+    lo, hi = fit_row(df, F.min(x).alias("lo"), F.max(x).alias("hi"))
+    if lo is None:
+        return None
+    if lo == hi:
+        pad = 0.001 if lo == 0 else abs(lo) * 0.001
+        lo, hi = lo - pad, hi + pad
+    step = (hi - lo) / 3.0
+    return step * 1.0 + lo, step * 2.0 + lo
 
 
 def risk_equal_width(df: DataFrame, column: str | None = None) -> DataFrame:
@@ -133,7 +135,10 @@ def risk_equal_width(df: DataFrame, column: str | None = None) -> DataFrame:
     """
     column = column or numeric_columns(df)[0]
     x = F.col(column).cast("double")
-    b1, b2 = equal_width_bounds(df, column)
+    bounds = equal_width_bounds(df, column)
+    if bounds is None:
+        return df.withColumn("Risk", F.lit(None).cast("string"))
+    b1, b2 = (F.lit(b) for b in bounds)
     risk = F.when(x.isNull() | F.isnan(x), F.lit(None).cast("string")).when(x <= b1, "LOW").when(x <= b2, "MEDIUM")
     return df.withColumn("Risk", risk.otherwise(F.lit("HIGH")))
 

@@ -81,8 +81,23 @@ COLUMNS = [
 ]
 
 
+# Plans (not data) are built once per session and table: a DataFrame is an
+# immutable logical plan, so reusing it only saves the driver the Python ->
+# JVM round trips of rebuilding the same expressions for every query.
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
+    full = (id(spark), spark.sparkContext.applicationId) + key
+    df = _PLANS.get(full)
+    if df is None:
+        df = _PLANS[full] = build()
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return _memo(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def _base(events: DataFrame, customer: DataFrame) -> DataFrame:
@@ -124,7 +139,8 @@ def transactions(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataF
     """The fixture table (FIXTURES.md 3); ``dirty=True`` gives the gapped
     variant of FIXTURES.md 4 (rules and tier are computed on the gapped
     values, then IsFraud itself is gapped)."""
-    return transactions_from(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer"), dirty)
+    events, customer = read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer")
+    return _memo(spark, ("transactions", sf_dir.rstrip("/"), dirty), lambda: transactions_from(events, customer, dirty))
 
 
 def transactions_from(events: DataFrame, customer: DataFrame, dirty: bool = False) -> DataFrame:

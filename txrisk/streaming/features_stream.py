@@ -19,12 +19,20 @@ from txrisk.sources.fixture import read_table, transactions_from
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over the events table; schema taken from the batch table."""
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    """File stream over the events table; schema taken from the batch table.
+
+    A file stream watches a directory: the table folder is watched and only
+    files named like the events table are picked up.
+    """
+    folder = sf_dir.rstrip("/")
+    reader = (
+        spark.readStream.schema(read_table(spark, sf_dir, "events").schema)
+        .option("pathGlobFilter", "events*.parquet")
+        .option("recursiveFileLookup", "true")
+    )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def feature_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

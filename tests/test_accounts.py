@@ -1,0 +1,67 @@
+"""Per-account roll-up and first rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txrisk.operators import accounts as AC
+from txrisk.operators import analytics as A
+from txrisk.sources import io
+
+SCHEMA = "TransactionID string, AccountID string, AccountName string, OldBalance double, NewBalance double, IsFraud int"
+DATA = [
+    ("TXN00002", "ACC002", "Bo", 10.0, 20.0, 0),
+    ("TXN00001", "ACC001", "Al", 100.0, 50.0, 0),
+    ("TXN00003", "ACC001", "Al", 50.0, 40.0, 1),
+    ("TXN00004", None, "Nobody", 1.0, 1.0, 0),
+    ("TXN00005", "ACC003", None, 5.0, None, None),
+]
+
+
+def test_A09_first_row_and_counts(spark):
+    df = spark.createDataFrame(DATA, SCHEMA)
+    out = [tuple(r) for r in AC.account_summary(df).collect()]
+    assert out == [
+        ("ACC001", "Al", 50.0, 2, 1, "HIGH"),
+        ("ACC002", "Bo", 20.0, 1, 0, "LOW"),
+        ("ACC003", None, None, 1, 0, "LOW"),
+    ]
+
+
+def test_A09_missing_id_takes_a_slot(spark):
+    df = spark.createDataFrame(DATA, SCHEMA)
+    # first 3 distinct ids by appearance: ACC001, ACC002, NULL -> NULL yields no row
+    assert [r.AccountID for r in AC.account_summary(df, limit=3).collect()] == ["ACC001", "ACC002"]
+
+
+def test_A09_absent_columns(spark):
+    df = spark.createDataFrame([("TXN00001", "A")], "TransactionID string, AccountID string")
+    r = AC.account_summary(df).first()
+    assert (r.AccountName, r.NewBalance, r.TransactionCount, r.FraudCount, r.RiskLevel) == ("Unknown", 0.0, 1, 0, "LOW")
+
+
+def test_A09_all_accounts_sum_to_rows(spark, tx):
+    total = AC.account_summary(tx, limit=None).agg(F.sum("TransactionCount")).first()[0]
+    assert total == A.dataset_summary(tx).first().n_rows
+
+
+def test_A10_details_and_missing(spark):
+    df = spark.createDataFrame(DATA, SCHEMA)
+    r = AC.account_details(df, "ACC001").first()
+    assert (r.AccountName, r.OldBalance, r.NewBalance, r.TransactionCount, r.FraudCount, r.RiskLevel) == (
+        "Al", 100.0, 50.0, 2, 1, "HIGH",
+    )
+    assert AC.account_details(df, "NOPE").count() == 0
+
+
+def test_A10_filter_pushed_to_parquet(spark, tx, tmp_out):
+    path = io.write_transactions(tx, tmp_out("pushdown"))
+    plan = AC.account_details(io.read_transactions(spark, path), "ACC007")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(AccountID), EqualTo(AccountID,ACC007)]" in plan
+
+
+def test_W01_first_txn_per_account(spark):
+    df = spark.createDataFrame(DATA, SCHEMA)
+    out = {r.AccountID: r.TransactionID for r in AC.first_txn_per_account(df).collect()}
+    assert out == {"ACC001": "TXN00001", "ACC002": "TXN00002", None: "TXN00004", "ACC003": "TXN00005"}
+    assert AC.first_txn_per_account(df).columns == df.columns

@@ -1,0 +1,142 @@
+"""Rules, labels, tiers, equal-width bins and the risk chain."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from txrisk import schema as S
+from txrisk.functions.columns import rate_band
+from txrisk.operators import analytics as A
+from txrisk.operators import rules as R
+
+RULE_SCHEMA = (
+    "i int, Location string, CardUsed string, TransactionMode string, Amount double, OldBalance double, "
+    "NewBalance double, DeviceType string, UserBehaviorScore double, Hour int"
+)
+NEUTRAL = ("Texas", "Debit Card", "POS Swipe", 10.0, 1000.0, 900.0, "Mobile", 0.9, 12)
+
+
+def one_rule_rows():
+    """Row i fires exactly rule i (1-based); row 0 fires none."""
+    base = list(NEUTRAL)
+    variants = [
+        {},
+        {0: "Russia"},
+        {1: "Virtual Card"},
+        {2: "Online Transfer"},
+        {3: 800.0},  # 800 > 1000 * 0.7
+        {5: -501.0},
+        {6: "ATM"},
+        {7: 0.29},
+        {1: "Credit Card", 3: 3000.01, 4: 100000.0},
+        {2: "ATM Withdrawal", 8: 5},
+    ]
+    out = []
+    for i, v in enumerate(variants):
+        r = list(base)
+        for k, val in v.items():
+            r[k] = val
+        out.append(tuple([i] + r))
+    return out
+
+
+def test_P16_each_rule_alone(spark):
+    df = spark.createDataFrame(one_rule_rows(), RULE_SCHEMA)
+    out = R.rule_flags(df).orderBy("i").collect()
+    for i, r in enumerate(out):
+        fired = [n for n in S.RULE_NAMES if r[n] == 1]
+        assert fired == ([] if i == 0 else [S.RULE_NAMES[i - 1]])
+        assert r.any_rule == (0 if i == 0 else 1)
+
+
+@pytest.mark.parametrize(
+    "patch,expected",
+    [
+        ({7: 0.3}, 0),  # score threshold is strict
+        ({3: 700.0}, 0),  # 700 is not > 1000 * 0.7
+        ({5: -500.0}, 0),  # -500 is not < -500
+        ({1: "Credit Card", 3: 3000.0, 4: 100000.0}, 0),
+        ({2: "ATM Withdrawal", 8: 6}, 0),
+        ({0: None, 1: None, 7: None}, 0),  # NULL comparisons are False
+    ],
+)
+def test_P16_thresholds_strict(spark, patch, expected):
+    r = list(NEUTRAL)
+    for k, v in patch.items():
+        r[k] = v
+    df = spark.createDataFrame([tuple([0] + r)], RULE_SCHEMA)
+    assert R.rule_flags(df).collect()[0].any_rule == expected
+
+
+def test_P16_hits_match_any_rule(spark, tx):
+    out = R.rule_flags(R.rule_hits(tx))
+    bad = out.where((F.col("n_hits") > 0).cast("int") != F.col("any_rule")).count()
+    assert bad == 0
+    assert out.where(F.size("rule_hits") != F.col("n_hits")).count() == 0
+
+
+def test_P17_label_thinning(spark):
+    df = spark.createDataFrame([(i, "Russia") for i in range(10)], "txn_no long, Location string")
+    got = [r.IsFraud for r in R.label_from_rules(df).orderBy("txn_no").collect()]
+    assert got == [1 if (i * 7 + 3) % 10 >= 4 else 0 for i in range(10)]
+    hashed = R.label_from_rules(df, method="hash").agg(F.sum("IsFraud")).first()[0]
+    assert 0 <= hashed <= 10
+
+
+@pytest.mark.parametrize(
+    "fraud,score,tier",
+    [(1, 0.1, "HIGH"), (0, 0.49, "MEDIUM"), (0, 0.5, "LOW"), (None, 0.2, "MEDIUM"), (0, None, "LOW"), (None, None, "LOW")],
+)
+def test_P18_risk_tier(spark, fraud, score, tier):
+    df = spark.createDataFrame([(fraud, score)], "IsFraud int, UserBehaviorScore double")
+    assert R.risk_tier(df).first().Risk == tier
+
+
+def test_P19_risk_from_label(spark):
+    df = spark.createDataFrame([(0, 1), (1, 0), (2, None), (3, 2)], "i int, IsFraud int")
+    assert [r.Risk for r in R.risk_from_label(df).orderBy("i").collect()] == ["HIGH", "LOW", None, None]
+
+
+def test_P20_right_closed_bins(spark):
+    # min 0, max 9: edges 3 and 6; 3 -> LOW, 6 -> MEDIUM, 9 -> HIGH, 0 -> LOW
+    vals = [0.0, 3.0, 3.5, 6.0, 6.5, 9.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+    got = [r.Risk for r in R.risk_equal_width(df, "x").orderBy("i").collect()]
+    assert got == ["LOW", "LOW", "MEDIUM", "MEDIUM", "HIGH", "HIGH", None]
+
+
+@pytest.mark.parametrize("value", [0.0, 5.0, -3.0])
+def test_P20_all_equal_is_medium(spark, value):
+    df = spark.createDataFrame([(value,), (value,)], "x double")
+    assert {r.Risk for r in R.risk_equal_width(df, "x").collect()} == {"MEDIUM"}
+
+
+def test_P20_one_row_and_first_numeric(spark):
+    df = spark.createDataFrame([("a", 7, 1.0)], "note string, n int, x double")
+    out = R.risk_equal_width(df).collect()[0]
+    assert out.Risk == "MEDIUM"
+
+
+def test_P21_chain(spark):
+    with_risk = spark.createDataFrame([("HIGH",)], "Risk string")
+    label = spark.createDataFrame([(1,), (0,), (0,)], "IsFraud int")
+    numeric = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, "c")], "x double, note string")
+    text = spark.createDataFrame([("a",), ("b",)], "note string")
+    assert R.risk_source(with_risk) == "column"
+    assert {(r.Risk, r["count"]) for r in A.risk_counts(label).collect()} == {("HIGH", 1), ("LOW", 2)}
+    assert {(r.Risk, r["count"]) for r in A.risk_counts(numeric).collect()} == {("LOW", 1), ("MEDIUM", 1), ("HIGH", 1)}
+    assert [(r.Risk, r["count"]) for r in A.risk_counts(text).collect()] == [("UNKNOWN", 2)]
+    assert "Risk" not in R.derive_risk(text).columns
+
+
+def test_P20_zero_bins_are_kept(spark):
+    df = spark.createDataFrame([(0.0,), (0.1,), (9.0,)], "x double")
+    got = {r.Risk: r["count"] for r in A.risk_counts(df).collect()}
+    assert got == {"LOW": 2, "MEDIUM": 0, "HIGH": 1}
+
+
+@pytest.mark.parametrize("rate,band", [(20.0, "warning"), (20.01, "danger"), (10.0, "success"), (10.5, "warning"), (0.0, "success")])
+def test_P24_rate_band(spark, rate, band):
+    df = spark.createDataFrame([(rate,)], "r double")
+    assert df.select(rate_band(F.col("r")).alias("b")).first().b == band

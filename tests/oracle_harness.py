@@ -80,11 +80,36 @@ def duck_rows(con, sql):
     return cols, sorted(rows, key=_key)
 
 
+SPARK_TO_DUCK = {
+    "string": "VARCHAR",
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP WITH TIME ZONE",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "float": "FLOAT",
+    "smallint": "SMALLINT",
+    "tinyint": "TINYINT",
+}
+
+
+def type_problems(df, con, sql):
+    spark_types = {n: SPARK_TO_DUCK.get(t, t) for n, t in df.dtypes}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        f"type of {n}: spark={spark_types[n]} duck={duck_types.get(n)}"
+        for n in sorted(spark_types)
+        if n in duck_types and spark_types[n] != duck_types[n]
+    ]
+
+
 def compare(spark, con, query, sql, sf_dir):
     df = query(spark, sf_dir)
     s_cols, s_rows = spark_rows(df)
     d_cols, d_rows = duck_rows(con, sql)
-    problems = []
+    problems = type_problems(df, con, sql)
     if s_cols != d_cols:
         problems.append(f"columns differ: spark={s_cols} duck={d_cols}")
     if len(s_rows) != len(d_rows):

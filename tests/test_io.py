@@ -30,9 +30,22 @@ def test_S02_inferred_types_and_na_tokens(spark, tmp_out):
     os.makedirs(d, exist_ok=True)
     p = os.path.join(d, "x.csv")
     with open(p, "w") as fh:
-        fh.write("Amount,CardUsed,Risk\n10,Visa,HIGH\n20.5,NA,LOW\n,N/A,HIGH\n")
+        fh.write(
+            "Amount,CardUsed,Risk,n,gappy,flag,ts\n"
+            "10,Visa,HIGH,1,1,True,2024-01-01 10:00:00\n"
+            "20.5,NA,LOW,2,NA,False,2024-01-02 11:00:00\n"
+            ",N/A,HIGH,3,3,True,garbage\n"
+        )
     df = io.read_csv_inferred(spark, p)
-    assert dict(df.dtypes) == {"Amount": "double", "CardUsed": "string", "Risk": "string"}
+    assert dict(df.dtypes) == {
+        "Amount": "double",
+        "CardUsed": "string",
+        "Risk": "string",
+        "n": "bigint",
+        "gappy": "double",
+        "flag": "boolean",
+        "ts": "string",
+    }
     assert [r.CardUsed for r in df.collect()] == ["Visa", None, None]
     assert df.where(F.col("Amount").isNull()).count() == 1
 

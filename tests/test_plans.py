@@ -61,3 +61,24 @@ def test_account_roll_up_has_partial_aggregation(spark, tx):
 
     plan = plan_of(account_summary(tx))
     assert "partial_min_by" in plan or "partial_min" in plan
+
+
+def test_salted_join_same_rows(spark, tx):
+    from txrisk.sources.fixture import transactions
+
+    salted = transactions(spark, SF001, salt_buckets=4)
+    assert salted.count() == tx.count()
+    assert salted.exceptAll(tx).count() == 0
+
+
+def test_salted_join_spreads_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from txrisk.plans.joins import join_dimension
+
+    fact = spark.range(3000).select(F.col("id").alias("event_id"), F.lit(7).cast("long").alias("user_id"))
+    dim = spark.createDataFrame([(7, "hot")], "c_custkey long, c_name string")
+    joined = join_dimension(fact, dim, "user_id", "c_custkey", salt_buckets=8, salt_columns=["event_id"])
+    assert joined.count() == 3000
+    per_salt = fact.select(F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("s")).groupBy("s").count().collect()
+    assert len(per_salt) == 8 and max(r["count"] for r in per_salt) < 3000 / 4

@@ -180,14 +180,15 @@ def add_round_amount(df):
 def add_country_risk_join(df: DataFrame, risk_table: DataFrame, default: float = S.DEFAULT_COUNTRY_RISK) -> DataFrame:
     """P06 when the risk list is a table (Location, score).
 
-    The risk list is a reference table of countries: its size is bounded by
-    the number of countries, so it is broadcast.  The table is first reduced
-    to one row per Location so the left join never multiplies rows.
+    The table is first reduced to one row per Location so the left join never
+    multiplies rows.  No broadcast hint: Catalyst broadcasts the (country
+    sized) table when its size is known to be under the broadcast threshold
+    and shuffles both sides otherwise.
     """
     scores = risk_table.groupBy("Location").agg(F.max("score").alias("_country_score"))
     if "Location" not in df.columns:
         return df.withColumn("CountryRiskScore", F.lit(default))
-    out = df.join(F.broadcast(scores), on="Location", how="left")
+    out = df.join(scores, on="Location", how="left")
     return out.withColumn("CountryRiskScore", F.coalesce(F.col("_country_score"), F.lit(default))).select(
         *df.columns, "CountryRiskScore"
     )

@@ -482,7 +482,8 @@ SELECT IsFraud, n AS "count",
         FIXTURE_CTE
         + """SELECT TransactionID, strftime("Timestamp", '%Y-%m-%d %H:%M:%S') AS "Timestamp", AccountID, AccountName,
        OldBalance, NewBalance, Amount, CardUsed, TransactionMode, Location, MerchantCategory, DeviceType,
-       UserBehaviorScore, TransactionStatus, AmountTaken, Hour, IsFraud, Risk, CAST(txn_no AS INTEGER) AS txn_no
+       UserBehaviorScore, TransactionStatus, AmountTaken, CAST(Hour AS BIGINT) AS Hour,
+       CAST(IsFraud AS BIGINT) AS IsFraud, Risk, txn_no
 FROM tx"""
     )
     o["stream_features"] = o["features_all"]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.columns import format_account_id, format_txn_id, lookup, pick
 from txrisk.operators.rules import label_expr, risk_tier_expr
+from txrisk.plans.joins import join_dimension
 
 # ---- fixed values: fixture mappings ----------------------------------------
 CARDS = ["Credit Card", "Debit Card", "Prepaid Card", "Corporate Card", "Virtual Card"]
@@ -100,10 +101,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _memo(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
-def _base(events: DataFrame, customer: DataFrame) -> DataFrame:
+def _base(events: DataFrame, customer: DataFrame, salt_buckets: int = 0) -> DataFrame:
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     cu = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    joined = ev.join(cu, ev["user_id"] == cu["c_custkey"], "inner")
+    joined = join_dimension(ev, cu, "user_id", "c_custkey", salt_buckets=salt_buckets, salt_columns=["event_id"])
     k = F.get_json_object("props", "$.k").try_cast("int")
     amount = F.floor("value").cast("double") * F.lit(10.0)
     status_slot = F.col("event_id") % 20
@@ -135,17 +136,26 @@ def _gap(column: str, key: str, modulus: int) -> Column:
     return F.when(F.col(key) % modulus == 0, F.lit(None)).otherwise(F.col(column))
 
 
-def transactions(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, dirty: bool = False, salt_buckets: int = 0) -> DataFrame:
     """The fixture table (FIXTURES.md 3); ``dirty=True`` gives the gapped
     variant of FIXTURES.md 4 (rules and tier are computed on the gapped
     values, then IsFraud itself is gapped)."""
     events, customer = read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer")
-    return _memo(spark, ("transactions", sf_dir.rstrip("/"), dirty), lambda: transactions_from(events, customer, dirty))
+    return _memo(
+        spark,
+        ("transactions", sf_dir.rstrip("/"), dirty, salt_buckets),
+        lambda: transactions_from(events, customer, dirty, salt_buckets),
+    )
+
 
+def transactions_from(events: DataFrame, customer: DataFrame, dirty: bool = False, salt_buckets: int = 0) -> DataFrame:
+    """The fixture mapping over given events / customer frames (batch or stream).
 
-def transactions_from(events: DataFrame, customer: DataFrame, dirty: bool = False) -> DataFrame:
-    """The fixture mapping over given events / customer frames (batch or stream)."""
-    base = _base(events, customer)
+    ``salt_buckets > 1`` spreads each user's events over that many join
+    partitions (see ``plans.joins``) for tables where one user is hot and the
+    customer table is too large to broadcast.
+    """
+    base = _base(events, customer, salt_buckets)
     if dirty:
         base = base.withColumns({c: _gap(c, key, m) for c, (key, m) in DIRTY_GAPS.items()})
     base = base.withColumn("Hour", F.hour("Timestamp"))

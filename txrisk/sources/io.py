@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk import schema as S
+from txrisk.functions.columns import fit_row
 
 # CSV timestamp text: the reference format plus optional microseconds.
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -53,33 +54,66 @@ def check_upload(path: str | None) -> str:
     return path
 
 
-def read_csv_inferred(spark: SparkSession, path: str | None, sampling_ratio: float = 1.0) -> DataFrame:
-    """Any CSV with a header; column types are inferred.
+def read_csv_inferred(spark: SparkSession, path: str | None) -> DataFrame:
+    """Any CSV with a header; column types are inferred like the
+    reference's reader does it.
 
-    ``nullValue`` takes a single token, so the other spellings of "missing"
-    are mapped to NULL after the read (string columns only).  Inference is an
-    extra pass over the file: lower ``sampling_ratio`` for large inputs.
+    The file is read as text, every spelling of "missing" becomes NULL, then
+    ONE aggregate pass decides each column's type: whole numbers without gaps
+    -> bigint; numbers (or whole numbers with gaps) -> double; only
+    True/False without gaps -> boolean; anything else stays text (dates
+    included: they are parsed later by the feature step).
     """
     check_upload(path)
-    df = (
-        spark.read.option("header", True)
-        .option("inferSchema", True)
-        .option("samplingRatio", sampling_ratio)
-        .option("mode", "PERMISSIVE")
-        .option("nanValue", "NaN")
-        .csv(path)
-    )
-    strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    if not strings:
-        return df
-    return df.select(
-        *[
-            F.when(F.col(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
-            if c in strings
-            else F.col(c)
-            for c in df.columns
-        ]
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    clean = raw.select(
+        *[F.when(F.trim(F.col(c)).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in raw.columns]
     )
+    return clean.select(*[F.col(c).cast(t).alias(c) for c, t in infer_types(clean).items()])
+
+
+INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+FLOAT_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+BOOL_VALUES = ["True", "False", "TRUE", "FALSE", "true", "false"]
+
+
+def infer_types(df: DataFrame) -> dict[str, str]:
+    """Per text column: bigint / double / boolean / string.
+
+    Each value is classed (missing 16, whole number 1, other number 2,
+    True/False 4, other text 8) and the classes are OR-ed per column in one
+    aggregate (partial per task, one row of N small ints to the driver).
+    """
+    classes = []
+    for c in df.columns:
+        x = F.col(c)
+        # regex only: text matching FLOAT_PATTERN always parses as a double, and
+        # whole numbers of at most 18 characters always fit a bigint; only
+        # longer ones are cast (a cast that fails is costly under ANSI)
+        fits = (F.length(F.trim(x)) <= 18) | x.try_cast("bigint").isNotNull()
+        value_class = (
+            F.when(x.isNull(), 16)
+            .when(x.rlike(INT_PATTERN) & fits, 1)
+            .when(x.rlike(FLOAT_PATTERN), 2)
+            .when(x.isin(BOOL_VALUES), 4)
+            .otherwise(8)
+        )
+        classes.append(F.bit_or(value_class))
+    types = {}
+    for c, mask in zip(df.columns, fit_row(df, *classes)):
+        mask = mask or 0
+        values = mask & ~16
+        if values == 0:
+            types[c] = "double"  # an all-missing column reads as NaN floats
+        elif mask == 1:
+            types[c] = "bigint"
+        elif values & ~3 == 0:
+            types[c] = "double"
+        elif mask == 4:
+            types[c] = "boolean"
+        else:
+            types[c] = "string"
+    return types
 
 
 def write_transactions(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
@@ -97,17 +131,24 @@ def write_transactions(df: DataFrame, path: str, fmt: str = "parquet", mode: str
 def load_or_materialize(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet", schema=None
 ) -> DataFrame:
-    """Read the stored table; when the path does not exist, build it,
-    write it and read the written copy back (lineage cut at the write)."""
+    """Read the stored table; when the path does not exist (or holds only
+    the debris of a write that died before its commit), build it, write it
+    and read the written copy back (lineage cut at the write).
+
+    The write goes through Spark's commit protocol, so a reader never sees a
+    half-written table: files appear only when the job commits.
+    """
     try:
         df = read_transactions(spark, path, fmt, schema)
-        if fmt == "csv":
+        if fmt == "csv" and schema is None:
             df.schema  # noqa: B018 - resolve the path now
+        df.limit(0).collect()  # fails now, not later, when the folder is empty
         return df
     except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc) and "Path does not exist" not in str(exc):
+        text = str(exc)
+        if not any(m in text for m in ("PATH_NOT_FOUND", "Path does not exist", "UNABLE_TO_INFER_SCHEMA")):
             raise
-    write_transactions(build(), path, fmt)
+    write_transactions(build(), path, fmt, mode="overwrite")
     return read_transactions(spark, path, fmt, schema)
 
 

@@ -1,0 +1,37 @@
+"""The dashboard page: every figure as a DataFrame; the one-scan roll-up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txrisk.operators import analytics as A
+from txrisk.plans.dashboard import dashboard, dashboard_rollup
+
+
+def test_rollup_matches_separate_queries(spark, tx):
+    roll = {(r.dimension, r.value): r for r in dashboard_rollup(tx).collect()}
+    for r in A.card_fraud(tx).collect():
+        got = roll[("CardUsed", r.CardUsed)]
+        assert (got.n, got.fraud_count, got.fraud_rate) == (r.total_transactions, r.fraud_count, r.fraud_rate)
+    total = roll[("ALL", None)]
+    assert total.n == tx.count()
+    assert total.fraud_count == A.kpis_labelled(tx).first().fraud_count
+
+
+def test_rollup_keeps_null_group_apart_from_total(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), ("c", 0, 2.0)], "CardUsed string, IsFraud int, Amount double")
+    rows = {(r.dimension, r.value): r.n for r in dashboard_rollup(df).collect()}
+    assert rows == {("CardUsed", None): 1, ("CardUsed", "c"): 1, ("ALL", None): 2}
+
+
+def test_page_base_and_uploaded(spark, tx):
+    page = dashboard(tx)
+    assert {"accounts", "risk_counts", "card_usage", "transaction_modes", "fraud_by_card", "card_fraud", "kpis"} <= set(page)
+    assert page["accounts"].count() == 10
+    upload = spark.createDataFrame([(1.0, "a"), (9.0, "b")], "x double, note string")
+    up = dashboard(tx, upload)
+    assert up["kpis"].first().fraud_count == 1  # derived equal-width HIGH bin
+    assert {r.Risk: r["count"] for r in up["risk_counts"].collect()} == {"LOW": 1, "MEDIUM": 0, "HIGH": 1}
+    assert up["accounts"].count() == 10  # accounts always come from the base table
+    assert "card_fraud" not in up
+    assert page["kpis"].select(F.col("fraud_rate") >= 0).first()[0]

@@ -154,11 +154,33 @@ def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
     return agg.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
 
 
-def profile_report(df: DataFrame) -> DataFrame:
+# ---- fixed values: dtype names the reference reports (pandas), by Spark type
+PANDAS_DTYPES = {
+    "bigint": "int64",
+    "int": "int32",
+    "smallint": "int16",
+    "tinyint": "int8",
+    "double": "float64",
+    "float": "float32",
+    "boolean": "bool",
+    "string": "object",
+    "timestamp": "datetime64[ns]",
+    "timestamp_ntz": "datetime64[ns]",
+}
+
+
+def type_name(dtype: T.DataType, names: str = "pandas") -> str:
+    spark_name = dtype.simpleString()
+    return PANDAS_DTYPES.get(spark_name, "object") if names == "pandas" else spark_name
+
+
+def profile_report(df: DataFrame, type_names: str = "pandas") -> DataFrame:
     """The whole report as ONE row of nested columns (JSON-ready).
 
     Built from ``profile_long``: the value counts are folded into maps with
-    ``map_from_entries``.  The maps hold one entry per distinct value of the
+    ``map_from_entries``.  ``data_types`` uses the dtype names the reference
+    reports (int64, float64, object, bool, ...); ``type_names="spark"`` gives
+    Spark's names.  The maps hold one entry per distinct value of the
     column, which is what the report is.
     """
     long = profile_long(df, digits=None)
@@ -186,7 +208,7 @@ def profile_report(df: DataFrame) -> DataFrame:
     for name in nums:
         stats[name] = F.struct(*[F.col("_stats")[f"{name}.{k}"].alias(k) for k in ("mean", "std", "min", "max")])
     summary = F.create_map(*[x for n, s in stats.items() for x in (F.lit(n), s)]) if stats else F.lit(None)
-    types = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
+    types = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(type_name(f.dataType, type_names)))])
     out = sections.select(
         "total_transactions",
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"),

@@ -82,3 +82,13 @@ def test_salted_join_spreads_a_hot_key(spark):
     assert joined.count() == 3000
     per_salt = fact.select(F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("s")).groupBy("s").count().collect()
     assert len(per_salt) == 8 and max(r["count"] for r in per_salt) < 3000 / 4
+
+
+def test_scaled_conf_sizes():
+    from txrisk.session import scaled_conf
+
+    big = scaled_conf(100 * 2**40, 8000)  # 100 TB on 8,000 cores
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    small = scaled_conf(2 * 2**20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "24"
+    assert big["spark.sql.files.maxPartitionBytes"] == str(128 << 20)

@@ -67,3 +67,27 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder (never reused, never cleared)."""
     return shared_dir(spark, "txrisk", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def scaled_conf(input_bytes: int, total_cores: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle and split sizes for a cluster run over ``input_bytes`` of input.
+
+    Scan splits are ``partition_bytes`` (128 MB) so each task's input fits
+    executor memory.  The shuffle starts with enough partitions for the
+    widest stage (input size / partition size, at least 3 per core, capped at
+    100,000) and AQE coalesces them at runtime to ``partition_bytes`` each;
+    skewed partitions above 4x the median and 256 MB are split.
+    Apply with ``spark.conf.set`` before running queries (all are SQL confs).
+    """
+    initial = max(3 * total_cores, min(100_000, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    }

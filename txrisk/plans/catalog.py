@@ -72,6 +72,20 @@ def _scan_inferred(spark, sf):
     return io.read_csv_inferred(spark, path)
 
 
+UPLOAD_COLUMNS = ["TransactionID", "Amount", "OldBalance", "CardUsed", "TransactionMode"]
+
+
+def _upload(spark, sf):
+    """An uploaded CSV without Risk or IsFraud: the reference's upload path.
+
+    Written as CSV from the whole fixture and read back with inferred types;
+    its first numeric column is Amount.
+    """
+    tx = _tx(spark, sf).select(*UPLOAD_COLUMNS)
+    path = io.write_transactions(tx, fresh_path(spark, "upload") + ".csv", "csv")
+    return io.read_csv_inferred(spark, path)
+
+
 def _load_or_materialize(spark, sf):
     path = fresh_path(spark, "materialized")
     return io.load_or_materialize(spark, path, lambda: _tx(spark, sf))
@@ -209,6 +223,9 @@ def queries() -> dict[str, Query]:
         "scan_csv_inferred": _scan_inferred,
         "load_or_materialize": _load_or_materialize,
         "accounts_json": lambda s, sf: io.as_json(accounts.account_summary(_tx(s, sf), limit=None)),
+        # ---- the upload path: S02 -> P21 (equal width) -> A03 / A08 ----------------
+        "upload_risk_counts": lambda s, sf: analytics.risk_counts(_upload(s, sf)),
+        "upload_kpis": lambda s, sf: analytics.kpis_risk(rules.derive_risk(_upload(s, sf))),
         # ---- streaming (X02) ----------------------------------------------------
         "stream_features": lambda s, sf: run_feature_stream(s, sf),
     }

@@ -487,4 +487,19 @@ SELECT IsFraud, n AS "count",
 FROM tx"""
     )
     o["stream_features"] = o["features_all"]
+    upload = _with(FIXTURE_CTE, _equal_width("Amount"))
+    o["upload_risk_counts"] = (
+        upload
+        + """, lv AS (SELECT * FROM (VALUES ('LOW'), ('MEDIUM'), ('HIGH')) v(Risk))
+SELECT lv.Risk, CAST(count(b.EqRisk) AS BIGINT) AS "count" FROM lv LEFT JOIN binned b ON b.EqRisk = lv.Risk
+GROUP BY lv.Risk"""
+    )
+    o["upload_kpis"] = (
+        upload
+        + """SELECT COUNT(*) AS total_transactions, count(*) FILTER (WHERE EqRisk = 'HIGH') AS fraud_count,
+       CAST(count(*) FILTER (WHERE EqRisk = 'HIGH') AS DOUBLE) * 100.0 / COUNT(*) AS fraud_rate,
+       avg(Amount) AS avg_transaction,
+       CAST(coalesce(sum(Amount) FILTER (WHERE EqRisk = 'HIGH'), 0.0) AS DOUBLE) AS high_risk_amount
+FROM binned"""
+    )
     return o

@@ -115,3 +115,16 @@ def test_P15_deterministic_and_keeps_columns(spark, tx):
     a = FE.create_features(tx)
     assert set(tx.columns) <= set(a.columns)
     assert a.exceptAll(FE.create_features(tx)).count() == 0
+
+
+def test_P08_other_layouts(spark):
+    data = [(0, "1/2/2024 10:05:00"), (1, "01/02/2024 10:05"), (2, "2024/01/02"), (3, "2024-01-02T10:05:00"), (4, "13/45/2024")]
+    df = spark.createDataFrame(data, "i int, Timestamp string")
+    got = [r.Timestamp for r in FE.create_features(df).orderBy("i").collect()]
+    assert got == [
+        dt.datetime(2024, 1, 2, 10, 5),
+        dt.datetime(2024, 1, 2, 10, 5),
+        dt.datetime(2024, 1, 2),
+        dt.datetime(2024, 1, 2, 10, 5),
+        None,
+    ]

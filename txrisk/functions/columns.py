@@ -36,9 +36,25 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+# ---- fixed values: non-ISO timestamp layouts accepted besides ISO 8601 -----
+TIMESTAMP_FALLBACK_PATTERNS = [
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy",
+    "yyyy/M/d H:mm:ss",
+    "yyyy/M/d H:mm",
+    "yyyy/M/d",
+]
+
+
 def parse_timestamp(c: Column) -> Column:
-    """Lenient timestamp parse: bad text becomes NULL (no ANSI error)."""
-    return c.try_cast("timestamp_ntz")
+    """Lenient timestamp parse: bad text becomes NULL (no ANSI error).
+
+    ISO 8601 text (date, optional time, optional fraction) is cast directly;
+    month-first US layouts and slashed ISO dates are tried next, in order.
+    """
+    fallbacks = [F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in TIMESTAMP_FALLBACK_PATTERNS]
+    return F.coalesce(c.try_cast("timestamp_ntz"), *fallbacks)
 
 
 def percent(part: Column, whole: Column, digits: int | None = 2) -> Column:

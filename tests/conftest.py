@@ -30,9 +30,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     # set a checkpoint folder only where the session has none (tests)
     if not (session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()):
-        d = tempfile.mkdtemp(prefix="txrisk-test-ckpt-")
-        session.conf.set("spark.checkpoint.dir", d)
-        session.sparkContext.setCheckpointDir(d)
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="txrisk-test-ckpt-"))
     yield session
 
 

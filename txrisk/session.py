@@ -51,15 +51,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach, under the session's checkpoint dir.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local runs and tests) is a fresh local folder created and registered as
-    the checkpoint dir.
+    ``spark.checkpoint.dir`` (or the SparkContext's checkpoint dir) is read
+    from the session.  Only when neither is set (local runs and tests) is a
+    fresh local folder created and registered as the checkpoint dir.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="txrisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return os.path.join(base, *parts) if parts else base
 

@@ -222,7 +222,7 @@ def queries() -> dict[str, Query]:
         "csv_round_trip": _scan_csv,
         "scan_csv_inferred": _scan_inferred,
         "load_or_materialize": _load_or_materialize,
-        "accounts_json": lambda s, sf: io.as_json(accounts.account_summary(_tx(s, sf), limit=None)),
+        "accounts_json": lambda s, sf: io.as_json(accounts.account_summary(_tx(s, sf))),
         # ---- the upload path: S02 -> P21 (equal width) -> A03 / A08 ----------------
         "upload_risk_counts": lambda s, sf: analytics.risk_counts(_upload(s, sf)),
         "upload_kpis": lambda s, sf: analytics.kpis_risk(rules.derive_risk(_upload(s, sf))),

@@ -67,3 +67,12 @@ def test_A13_long_form_one_scan(spark, tx):
     plan = P.profile_long(tx)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 2  # events and the (broadcast) customer table, once each
     assert "Expand" in plan
+
+
+def test_A13_empty_and_text_only(spark):
+    empty = spark.createDataFrame([], "Amount double, Risk string")
+    r = P.profile_report(empty).first().asDict(recursive=True)
+    assert (r["total_transactions"], r["high_risk_count"], r["high_risk_amount"], r["risk_distribution"]) == (0, 0, 0.0, {})
+    text = spark.createDataFrame([("a",)], "note string")
+    r = P.profile_report(text).first().asDict(recursive=True)
+    assert r["summary_stats"] == {} and r["risk_distribution"] == {"LOW": 1}

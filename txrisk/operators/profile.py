@@ -106,7 +106,7 @@ def _profile_aggregate(df: DataFrame):
 
 
 def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
-    """A13 in long form: rows (section, key, value).
+    """A13 in long form: rows (section, key, value), from ONE scan.
 
     Sections: total_transactions, mean/std/min/max per numeric column,
     risk_distribution per value (``LOW = n`` when there is no Risk column),
@@ -125,7 +125,29 @@ def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
     def r(c):
         return F.round(c, digits) if digits is not None else c
 
-    total = [row("total_transactions", F.lit(None), F.col("_n"))]
+    # The grand-total set yields no row on an empty table, so one global
+    # aggregate over the (small) grouping-sets result produces exactly one
+    # row: the totals, plus the value-count rows gathered into an array whose
+    # length is the number of distinct category values.
+    total_cols = ["_n"] + [f"{p}{i}" for i in range(len(nums)) for p in ("_m", "_s", "_lo", "_hi")]
+    if "Risk" in df.columns:
+        total_cols += ["_hi_n", "_hi_amt"]
+    is_total = F.col("_gid") == full
+    gathered = [F.max(F.when(is_total, F.col(c))).alias(c) for c in total_cols]
+    items = []
+    for pos, dim in enumerate(dims):
+        section = dict(COUNT_SECTIONS)[dim]
+        # in the set [dim] only dim is grouped: its bit is 0, all others 1
+        gid = full & ~(1 << (len(dims) - 1 - pos))
+        keep = (F.col("_gid") == gid) & F.col(dim).isNotNull()
+        items.append(F.when(keep, row(section, F.col(dim), F.col("_n"))))
+    if items:
+        one = F.filter(F.array(*items), lambda x: x.isNotNull())
+        gathered.append(F.flatten(F.collect_list(one)).alias("_counts"))
+    totals = agg.groupBy().agg(*gathered)
+
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    total = [row("total_transactions", F.lit(None), n)]
     for i, name in enumerate(nums):
         total += [
             row("mean", F.lit(name), r(F.col(f"_m{i}"))),
@@ -135,23 +157,19 @@ def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
         ]
     if "Risk" in df.columns:
         total += [
-            row("high_risk_count", F.lit(None), F.col("_hi_n")),
-            row("high_risk_amount", F.lit(None), r(F.col("_hi_amt"))),
+            row("high_risk_count", F.lit(None), F.coalesce(F.col("_hi_n"), F.lit(0))),
+            row("high_risk_amount", F.lit(None), r(F.coalesce(F.col("_hi_amt"), F.lit(0.0)))),
         ]
     else:
         total += [
-            row("risk_distribution", F.lit("LOW"), F.col("_n")),
+            row("risk_distribution", F.lit("LOW"), n),
             row("high_risk_count", F.lit(None), F.lit(0)),
             row("high_risk_amount", F.lit(None), F.lit(0.0)),
         ]
-    items = [F.when(F.col("_gid") == full, item) for item in total]
-    for pos, dim in enumerate(dims):
-        section = dict(COUNT_SECTIONS)[dim]
-        # in the set [dim] only dim is grouped: its bit is 0, all others 1
-        gid = full & ~(1 << (len(dims) - 1 - pos))
-        keep = (F.col("_gid") == gid) & F.col(dim).isNotNull()
-        items.append(F.when(keep, row(section, F.col(dim), F.col("_n"))))
-    return agg.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
+    rows = F.array(*total)
+    if items:
+        rows = F.concat(rows, F.col("_counts"))
+    return totals.select(F.inline(rows))
 
 
 # ---- fixed values: dtype names the reference reports (pandas), by Spark type
@@ -187,7 +205,9 @@ def profile_report(df: DataFrame, type_names: str = "pandas") -> DataFrame:
     stats = {}
     nums = numeric_columns(df)
     sections = long.groupBy().agg(
-        F.max(F.when(F.col("section") == "total_transactions", F.col("value"))).cast("long").alias("total_transactions"),
+        F.coalesce(F.max(F.when(F.col("section") == "total_transactions", F.col("value"))), F.lit(0.0))
+        .cast("long")
+        .alias("total_transactions"),
         F.max(F.when(F.col("section") == "high_risk_count", F.col("value"))).cast("long").alias("high_risk_count"),
         F.max(F.when(F.col("section") == "high_risk_amount", F.col("value"))).alias("high_risk_amount"),
         *[
@@ -207,7 +227,8 @@ def profile_report(df: DataFrame, type_names: str = "pandas") -> DataFrame:
     )
     for name in nums:
         stats[name] = F.struct(*[F.col("_stats")[f"{name}.{k}"].alias(k) for k in ("mean", "std", "min", "max")])
-    summary = F.create_map(*[x for n, s in stats.items() for x in (F.lit(n), s)]) if stats else F.lit(None)
+    stat_type = "map<string,struct<mean:double,std:double,min:double,max:double>>"
+    summary = F.create_map(*[x for n, s in stats.items() for x in (F.lit(n), s)]) if stats else F.create_map().cast(stat_type)
     types = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(type_name(f.dataType, type_names)))])
     out = sections.select(
         "total_transactions",

@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     # the measured build side is below the (size-checked) threshold.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # coalesce to the advisory size, not to one partition per core: small
+    # results become few tasks, big ones stay ~128 MB per task
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.autoBroadcastJoinThreshold": "32m",
@@ -85,6 +88,7 @@ def scaled_conf(input_bytes: int, total_cores: int, partition_bytes: int = 128 <
         "spark.sql.shuffle.partitions": str(initial),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",

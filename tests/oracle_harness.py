@@ -40,6 +40,9 @@ def duck(sf_dir: str):
     return con
 
 
+EXACT = os.environ.get("TXRISK_EXACT_FLOATS") == "1"
+
+
 def _norm(v):
     if v is None:
         return None
@@ -48,7 +51,7 @@ def _norm(v):
             return None
         if v == 0:
             return 0.0
-        return float(f"{v:.9g}")
+        return v if EXACT else float(f"{v:.9g}")
     if isinstance(v, bool):
         return int(v)
     if isinstance(v, dt.datetime):

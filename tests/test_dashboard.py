@@ -35,3 +35,14 @@ def test_page_base_and_uploaded(spark, tx):
     assert up["accounts"].count() == 10  # accounts always come from the base table
     assert "card_fraud" not in up
     assert page["kpis"].select(F.col("fraud_rate") >= 0).first()[0]
+
+
+def test_page_records_equal_per_figure_queries(spark, tx):
+    from txrisk.plans.dashboard import page_records
+    from txrisk.sources import io
+
+    fast = page_records(tx)
+    slow = {k: io.to_records(v) for k, v in dashboard(tx).items()}
+    assert set(fast) == set(slow)
+    for key in fast:
+        assert fast[key] == slow[key], key

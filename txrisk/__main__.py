@@ -18,7 +18,7 @@ import json
 import sys
 
 from txrisk.operators import accounts, model, profile
-from txrisk.plans.dashboard import dashboard
+from txrisk.plans.dashboard import dashboard, page_records
 from txrisk.session import build_session
 from txrisk.sources import io
 from txrisk.sources.fixture import transactions
@@ -51,9 +51,12 @@ def main(argv=None) -> int:
 
     spark = build_session(args.master, app="txrisk-cli")
     if args.command == "dashboard":
-        uploaded = io.read_csv_inferred(spark, args.upload) if args.upload else None
-        page = dashboard(_base(spark, args), uploaded)
-        _print({name: io.to_records(df, args.limit) for name, df in page.items()})
+        if args.upload:
+            page = dashboard(_base(spark, args), io.read_csv_inferred(spark, args.upload))
+            _print({name: io.to_records(df, args.limit) for name, df in page.items()})
+        else:
+            # base table: every figure from one roll-up scan plus the accounts scan
+            _print(page_records(_base(spark, args)))
     elif args.command == "accounts":
         _print({"accounts": io.to_records(accounts.account_summary(_base(spark, args)), args.limit)})
     elif args.command == "account":

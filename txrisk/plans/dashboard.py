@@ -11,16 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txrisk import schema as S
 from txrisk.functions.columns import percent
 from txrisk.operators import accounts, analytics
 from txrisk.operators.rules import derive_risk
+from txrisk.sources import io
 
 ROLLUP_DIMENSIONS = ["CardUsed", "TransactionMode", "Risk"]
 
 
 def dashboard_rollup(df: DataFrame) -> DataFrame:
-    """Per-dimension count, fraud count, rounded rate and mean amount, plus an
-    ALL row, for CardUsed, TransactionMode and Risk (those present)."""
+    """Per-dimension figures plus an ALL row, for CardUsed, TransactionMode and
+    Risk (those present): row count, fraud count, rounded rate over all rows
+    (A01/A02), labelled rows and unrounded rate over them (A04), mean amount
+    and the amount on fraud rows (A07)."""
     dims = [d for d in ROLLUP_DIMENSIONS if d in df.columns]
     analytics.require(df, "dashboard_rollup", "IsFraud", "Amount")
     n = F.count(F.lit(1))
@@ -30,6 +34,11 @@ def dashboard_rollup(df: DataFrame) -> DataFrame:
         fraud.alias("fraud_count"),
         percent(fraud, n, 2).alias("fraud_rate"),
         F.avg(F.col("Amount").cast("double")).alias("avg_amount"),
+        F.count(F.col("IsFraud")).alias("labelled"),
+        (F.avg(F.col("IsFraud").cast("double")) * F.lit(100.0)).alias("fraud_share"),
+        F.coalesce(F.sum(F.when(F.col("IsFraud") == 1, F.col("Amount").cast("double"))), F.lit(0.0)).alias(
+            "fraud_amount"
+        ),
         F.grouping_id().alias("_gid"),
     )
     full = (1 << len(dims)) - 1
@@ -40,10 +49,87 @@ def dashboard_rollup(df: DataFrame) -> DataFrame:
         dimension = dimension.when(F.col("_gid") == gid, F.lit(d))
         value = F.when(F.col("_gid") == gid, F.col(d).cast("string")).otherwise(value)
     return agg.select(
-        dimension.alias("dimension"), value.alias("value"), "n", "fraud_count", "fraud_rate", "avg_amount"
+        dimension.alias("dimension"),
+        value.alias("value"),
+        "n",
+        "fraud_count",
+        "fraud_rate",
+        "avg_amount",
+        "labelled",
+        "fraud_share",
+        "fraud_amount",
     )
 
 
+def _band(rate: float | None) -> str:
+    """P24 on one already aggregated rate (same thresholds as ``rate_band``)."""
+    if rate is not None and rate > S.RATE_DANGER_ABOVE:
+        return "danger"
+    if rate is not None and rate > S.RATE_WARNING_ABOVE:
+        return "warning"
+    return "success"
+
+
+def page_records(base: DataFrame, limit: int = 10) -> dict[str, list[dict]]:
+    """The base-table page in TWO scans: the roll-up and the account summary.
+
+    The roll-up has one row per card, mode and risk value plus the total
+    (bounded by the category counts), so it is brought to the driver once and
+    every chart and KPI is read off it.  Same numbers as ``dashboard(base)``.
+    """
+    rows = [r.asDict() for r in dashboard_rollup(base).collect()]
+    page: dict[str, list[dict]] = {"accounts": io.to_records(accounts.account_summary(base, limit), limit)}
+
+    def dim(name, keep_null=True):
+        return [r for r in rows if r["dimension"] == name and (keep_null or r["value"] is not None)]
+
+    def desc(items, key, tie):
+        return sorted(items, key=lambda r: (-(r[key] if r[key] is not None else float("-inf")), tie(r)))
+
+    text = lambda r: (r["value"] is None, r["value"] or "")
+    risk = desc(dim("Risk", False), "n", text)
+    total_risk = sum(r["n"] for r in risk)
+    page["risk_counts"] = [{"Risk": r["value"], "count": r["n"]} for r in risk]
+    page["risk_share"] = [
+        {"Risk": r["value"], "count": r["n"], "share": round(r["n"] * 100.0 / total_risk, 1)} for r in risk
+    ]
+    page["card_usage"] = [{"CardUsed": r["value"], "count": r["n"]} for r in desc(dim("CardUsed", False), "n", text)]
+    page["transaction_modes"] = [
+        {"TransactionMode": r["value"], "count": r["n"]} for r in desc(dim("TransactionMode", False), "n", text)
+    ]
+    page["fraud_by_card"] = [
+        {"CardUsed": r["value"], "fraud_rate": r["fraud_share"], "band": _band(r["fraud_share"])}
+        for r in sorted(dim("CardUsed", False), key=text)
+    ]
+    page["card_fraud"] = [
+        {"CardUsed": r["value"], "total_transactions": r["n"], "fraud_count": r["fraud_count"], "fraud_rate": r["fraud_rate"]}
+        for r in desc(dim("CardUsed"), "fraud_rate", text)
+    ]
+    page["mode_risk"] = [
+        {
+            "TransactionMode": r["value"],
+            "total_count": r["n"],
+            "fraud_count": r["fraud_count"],
+            "avg_amount": r["avg_amount"],
+            "fraud_rate": r["fraud_rate"],
+        }
+        for r in desc(dim("TransactionMode"), "fraud_rate", text)
+    ]
+    everything = dim("ALL")
+    total = everything[0] if everything else {"n": 0, "fraud_count": None, "avg_amount": None, "fraud_amount": 0.0}
+    fraud = total["fraud_count"] or 0
+    page["kpis"] = [
+        {
+            "total_transactions": total["n"],
+            "fraud_count": fraud,
+            "fraud_rate": fraud * 100.0 / total["n"] if total["n"] else 0.0,
+            "avg_transaction": total["avg_amount"],
+            "high_risk_amount": total["fraud_amount"],
+        }
+    ]
+    return page
+
+
 def dashboard(base: DataFrame, uploaded: DataFrame | None = None) -> dict[str, DataFrame]:
     """Everything the page shows, as DataFrames (nothing is computed here).
 

@@ -437,20 +437,17 @@ GROUP BY lv.Risk"""
     o["numeric_profile_dirty"] = _numeric_profile(DIRTY_CTE)
     o["profile_long"] = _profile_long(FIXTURE_CTE)
     o["profile_long_no_risk"] = _profile_long(FIXTURE_CTE, with_risk=False)
-    o["dashboard_rollup"] = (
-        FIXTURE_CTE
-        + """SELECT 'CardUsed' AS dimension, CardUsed AS "value", COUNT(*) AS n, CAST(SUM(IsFraud) AS BIGINT) AS fraud_count,
-       ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0 / COUNT(*), 2) AS fraud_rate, avg(Amount) AS avg_amount
-FROM tx GROUP BY CardUsed
-UNION ALL
-SELECT 'TransactionMode', TransactionMode, COUNT(*), CAST(SUM(IsFraud) AS BIGINT),
-       ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0 / COUNT(*), 2), avg(Amount) FROM tx GROUP BY TransactionMode
-UNION ALL
-SELECT 'Risk', Risk, COUNT(*), CAST(SUM(IsFraud) AS BIGINT),
-       ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0 / COUNT(*), 2), avg(Amount) FROM tx GROUP BY Risk
-UNION ALL
-SELECT 'ALL', NULL, COUNT(*), CAST(SUM(IsFraud) AS BIGINT),
-       ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0 / COUNT(*), 2), avg(Amount) FROM tx"""
+    figures = """COUNT(*) AS n, CAST(SUM(IsFraud) AS BIGINT) AS fraud_count,
+       ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0 / COUNT(*), 2) AS fraud_rate, avg(Amount) AS avg_amount,
+       COUNT(IsFraud) AS labelled, avg(CAST(IsFraud AS DOUBLE)) * 100.0 AS fraud_share,
+       coalesce(sum(Amount) FILTER (WHERE IsFraud = 1), 0.0) AS fraud_amount"""
+    o["dashboard_rollup"] = FIXTURE_CTE + "\nUNION ALL\n".join(
+        [
+            f"SELECT 'CardUsed' AS dimension, CardUsed AS \"value\", {figures} FROM tx GROUP BY CardUsed",
+            f"SELECT 'TransactionMode', TransactionMode, {figures} FROM tx GROUP BY TransactionMode",
+            f"SELECT 'Risk', Risk, {figures} FROM tx GROUP BY Risk",
+            f"SELECT 'ALL', NULL, {figures} FROM tx",
+        ]
     )
     # ---- model data preparation --------------------------------------------
     o["label_encode"] = (

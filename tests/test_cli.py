@@ -32,3 +32,11 @@ def test_dashboard_figures(spark, capsys):
 def test_upload_rejected(spark, capsys):
     code, out = run(capsys, "upload", "x.txt")
     assert code == 2 and out == {"success": False, "error": "Please upload a CSV file"}
+
+
+def test_init_materializes_then_reuses(spark, capsys, tmp_out):
+    table, path = tmp_out("cli-table"), tmp_out("cli-model")
+    code, out = run(capsys, "init", "--sf", SF001, "--table", table, "--model", path, "--trees", "3")
+    assert code == 0 and out["summary"]["n_rows"] == 1000
+    code, again = run(capsys, "init", "--sf", SF001, "--table", table, "--model", path, "--trees", "3")
+    assert again["summary"] == out["summary"]

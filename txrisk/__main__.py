@@ -6,6 +6,7 @@
     python -m txrisk account ACC007 --sf DIR       # /api/accounts/<id>
     python -m txrisk upload data.csv               # /api/upload-csv analysis
     python -m txrisk train --sf DIR --model PATH   # load the model, or train and store it
+    python -m txrisk init --sf DIR --table PATH --model PATH   # start-up: table + summary + model
 
 Everything is computed by Spark; only the small aggregated results (at most
 ``--limit`` rows per figure) are brought to the driver for printing.
@@ -17,7 +18,7 @@ import argparse
 import json
 import sys
 
-from txrisk.operators import accounts, model, profile
+from txrisk.operators import accounts, analytics, model, profile
 from txrisk.plans.dashboard import dashboard, page_records
 from txrisk.session import build_session
 from txrisk.sources import io
@@ -38,7 +39,7 @@ def _print(obj) -> None:
 
 def main(argv=None) -> int:
     parser = argparse.ArgumentParser(prog="txrisk")
-    parser.add_argument("command", choices=["dashboard", "accounts", "account", "upload", "train"])
+    parser.add_argument("command", choices=["dashboard", "accounts", "account", "upload", "train", "init"])
     parser.add_argument("arg", nargs="?", help="account id (account) or CSV path (upload)")
     parser.add_argument("--sf", default="/root/testdata/sf0.01", help="folder with events/customer parquet")
     parser.add_argument("--table", help="a stored transaction table (.parquet folder or .csv)")
@@ -70,6 +71,13 @@ def main(argv=None) -> int:
             _print({"success": False, "error": str(exc)})
             return 2
         _print({"success": True, "analysis": io.to_records(profile.profile_report(df), 1)[0]})
+    elif args.command == "init":
+        if not (args.table and args.model):
+            parser.error("init needs --table PATH and --model PATH")
+        table = io.load_or_materialize(spark, args.table, lambda: transactions(spark, args.sf))
+        summary = io.to_records(analytics.dataset_summary(table), 1)[0]
+        fitted = model.load_or_train(table, args.model, trees=args.trees)
+        _print({"table": args.table, "summary": summary, "model": args.model, "loaded": fitted is not None})
     elif args.command == "train":
         if not args.model:
             parser.error("train needs --model PATH")

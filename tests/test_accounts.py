@@ -65,3 +65,10 @@ def test_W01_first_txn_per_account(spark):
     out = {r.AccountID: r.TransactionID for r in AC.first_txn_per_account(df).collect()}
     assert out == {"ACC001": "TXN00001", "ACC002": "TXN00002", None: "TXN00004", "ACC003": "TXN00005"}
     assert AC.first_txn_per_account(df).columns == df.columns
+
+
+def test_A09_latest_balance_option(spark):
+    df = spark.createDataFrame(DATA, SCHEMA)
+    got = {r.AccountID: r.NewBalance for r in AC.account_summary(df, balance="latest").collect()}
+    assert got["ACC001"] == 40.0  # TXN00003 is ACC001's last row
+    assert AC.account_details(df, "ACC001", balance="latest").first().OldBalance == 50.0

@@ -24,13 +24,16 @@ def _first_row_fields(df: DataFrame, fields: dict[str, tuple[str, object]]):
     return F.struct(*parts)
 
 
-def _account_rollup(df: DataFrame, fields: dict[str, tuple[str, object]]) -> DataFrame:
+def _account_rollup(df: DataFrame, fields: dict[str, tuple[str, object]], balance: str = "first") -> DataFrame:
     require(df, "account_summary", "AccountID")
+    if balance not in ("first", "latest"):
+        raise ValueError("balance must be 'first' or 'latest'")
     order = order_key(df)
     fraud = F.coalesce(F.sum(F.col("IsFraud").cast("long")), F.lit(0)) if "IsFraud" in df.columns else F.lit(0).cast("long")
+    pick_row = F.min_by if balance == "first" else F.max_by
     return df.groupBy("AccountID").agg(
         F.min(order).alias("_first"),
-        F.min_by(_first_row_fields(df, fields), order).alias("_row"),
+        pick_row(_first_row_fields(df, fields), order).alias("_row"),
         F.count(F.lit(1)).alias("TransactionCount"),
         fraud.alias("FraudCount"),
     )
@@ -54,27 +57,29 @@ def _project(rolled: DataFrame, fields) -> DataFrame:
     )
 
 
-def account_summary(df: DataFrame, limit: int | None = S.ACCOUNT_LIMIT) -> DataFrame:
+def account_summary(df: DataFrame, limit: int | None = S.ACCOUNT_LIMIT, balance: str = "first") -> DataFrame:
     """First ``limit`` accounts in order of appearance (``None`` = all).
 
     Per account: AccountName and NewBalance of its first row, row count,
     fraud count, RiskLevel.  A missing AccountID takes a slot among the first
-    ``limit`` but yields no row, as in the reference.
+    ``limit`` but yields no row, as in the reference.  ``balance="latest"``
+    takes name and balance from the account's last row instead (the page
+    labels this figure "current balance").
     """
-    rolled = _account_rollup(df, SUMMARY_FIELDS)
+    rolled = _account_rollup(df, SUMMARY_FIELDS, balance)
     if limit is not None:
         rolled = rolled.orderBy("_first").limit(limit)
     return _project(rolled.where(F.col("AccountID").isNotNull()), SUMMARY_FIELDS)
 
 
-def account_details(df: DataFrame, account_id: str) -> DataFrame:
+def account_details(df: DataFrame, account_id: str, balance: str = "first") -> DataFrame:
     """A10: one account (zero rows when unknown: the caller's 404).
 
     The equality filter is applied before the aggregate and reaches the
     Parquet scan as a pushed filter when AccountID is a stored column.
     """
     one = df.where(F.col("AccountID") == F.lit(account_id))
-    return _project(_account_rollup(one, DETAIL_FIELDS), DETAIL_FIELDS)
+    return _project(_account_rollup(one, DETAIL_FIELDS, balance), DETAIL_FIELDS)
 
 
 def first_txn_per_account(df: DataFrame) -> DataFrame:

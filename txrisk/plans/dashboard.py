@@ -18,6 +18,7 @@ from txrisk.operators.rules import derive_risk
 from txrisk.sources import io
 
 ROLLUP_DIMENSIONS = ["CardUsed", "TransactionMode", "Risk"]
+MAX_ROLLUP_ROWS = 100_000  # page_records brings the roll-up to the driver only below this size
 
 
 def dashboard_rollup(df: DataFrame) -> DataFrame:
@@ -77,7 +78,9 @@ def page_records(base: DataFrame, limit: int = 10) -> dict[str, list[dict]]:
     (bounded by the category counts), so it is brought to the driver once and
     every chart and KPI is read off it.  Same numbers as ``dashboard(base)``.
     """
-    rows = [r.asDict() for r in dashboard_rollup(base).collect()]
+    rows = [r.asDict() for r in dashboard_rollup(base).limit(MAX_ROLLUP_ROWS + 1).collect()]
+    if len(rows) > MAX_ROLLUP_ROWS:
+        raise ValueError("card / mode / risk columns are not categorical; use dashboard(base) instead")
     page: dict[str, list[dict]] = {"accounts": io.to_records(accounts.account_summary(base, limit), limit)}
 
     def dim(name, keep_null=True):

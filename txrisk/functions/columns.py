@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk import schema as S
 
@@ -31,6 +32,15 @@ def pick(index: Column, values: list[str]) -> Column:
     return F.try_element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + F.lit(1))
 
 
+def numeric_value(df: DataFrame, name: str) -> Column:
+    """A numeric column as double with NaN normalised to NULL, so aggregates
+    skip it the way pandas skips missing values."""
+    c = F.col(name).cast("double")
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        c = F.nanvl(c, F.lit(None).cast("double"))
+    return c
+
+
 def safe_ratio(num: Column, den: Column) -> Column:
     """``num / den``; NULL instead of an ANSI divide-by-zero error."""
     return F.try_divide(num.cast("double"), den.cast("double"))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
-from txrisk.functions.columns import percent, rate_band
-from txrisk.operators.profile import _num, numeric_columns
+from txrisk.functions.columns import numeric_value, percent, rate_band
+from txrisk.operators.profile import numeric_columns
 from txrisk.operators.rules import risk_equal_width, risk_source
 
 
@@ -79,7 +79,7 @@ def mode_risk(df: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("total_count"),
             _fraud_sum().alias("fraud_count"),
-            F.avg(_num(df, "Amount")).alias("avg_amount"),
+            F.avg(numeric_value(df, "Amount")).alias("avg_amount"),
             percent(_fraud_sum(), F.count(F.lit(1)), 2).alias("fraud_rate"),
         )
         .orderBy(F.col("fraud_rate").desc_nulls_last(), F.col("TransactionMode").asc_nulls_last())
@@ -174,7 +174,7 @@ def kpis_labelled(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     has_label, has_amount = "IsFraud" in df.columns, "Amount" in df.columns
     fraud = F.coalesce(_fraud_sum(), F.lit(0)) if has_label else F.lit(0).cast("long")
-    amount = _num(df, "Amount") if has_amount else None
+    amount = numeric_value(df, "Amount") if has_amount else None
     out = df.agg(
         n.alias("total_transactions"),
         fraud.alias("fraud_count"),
@@ -202,7 +202,7 @@ def high_risk_amount_expr(df: DataFrame) -> Column:
     amt = _risk_amount_column(df)
     if "Risk" not in df.columns or amt is None:
         return F.lit(0.0)
-    return F.coalesce(F.sum(F.when(F.col("Risk") == "HIGH", _num(df, amt))), F.lit(0.0))
+    return F.coalesce(F.sum(F.when(F.col("Risk") == "HIGH", numeric_value(df, amt))), F.lit(0.0))
 
 
 def high_risk_count_expr(df: DataFrame) -> Column:
@@ -230,10 +230,10 @@ def kpis_risk(df: DataFrame) -> DataFrame:
     high = high_risk_count_expr(df)
     amt = _risk_amount_column(df)
     if amt is not None:
-        avg_col, hi_amt = F.avg(_num(df, amt)), high_risk_amount_expr(df)
+        avg_col, hi_amt = F.avg(numeric_value(df, amt)), high_risk_amount_expr(df)
     else:
         nums = numeric_columns(df)
-        avg_col = F.avg(_num(df, nums[0])) if nums else F.lit(0.0)
+        avg_col = F.avg(numeric_value(df, nums[0])) if nums else F.lit(0.0)
         hi_amt = F.lit(0.0)
     return df.agg(
         n.alias("total_transactions"),

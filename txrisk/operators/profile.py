@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txrisk.functions.columns import numeric_value
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns in column order (booleans are not numeric)."""
@@ -25,19 +27,11 @@ def schema_report(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, name string, type string")
 
 
-def _num(df: DataFrame, name: str) -> Column:
-    """Numeric column as double with NaN normalised to NULL (pandas skips both)."""
-    c = F.col(name).cast("double")
-    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        c = F.nanvl(c, F.lit(None).cast("double"))
-    return c
-
-
 def numeric_stats_aggs(df: DataFrame, cols: list[str] | None = None) -> list[Column]:
     cols = numeric_columns(df) if cols is None else cols
     aggs = []
     for i, name in enumerate(cols):
-        x = _num(df, name)
+        x = numeric_value(df, name)
         aggs += [
             F.avg(x).alias(f"_m{i}"),
             F.stddev_samp(x).alias(f"_s{i}"),
@@ -96,7 +90,7 @@ def _profile_aggregate(df: DataFrame):
         high = F.col("Risk") == "HIGH"
         aggs.append(F.count_if(high).alias("_hi_n"))
         amt = _amount_column(df)
-        hi_amt = F.sum(F.when(high, _num(df, amt))) if amt else F.lit(None)
+        hi_amt = F.sum(F.when(high, numeric_value(df, amt))) if amt else F.lit(None)
         aggs.append(F.coalesce(hi_amt, F.lit(0.0)).cast("double").alias("_hi_amt"))
     if dims:
         agg = df.groupingSets(sets, *dims).agg(*aggs, F.grouping_id().alias("_gid"))

@@ -24,7 +24,7 @@ from txrisk.sources.fixture import transactions  # noqa: E402
 # operator family; the model is trained once (train_model).
 HEADLINE = [
     "card_fraud_sql",
-    "mode_risk",
+    "mode_risk_sql",
     "card_fraud",
     "count_risk",
     "count_card",

@@ -27,6 +27,7 @@ def test_A02_mode_risk(spark):
     df = spark.createDataFrame([("m", 1, 10.0), ("m", 0, 30.0), ("n", 0, 5.0)], "TransactionMode string, IsFraud int, Amount double")
     out = [tuple(r) for r in A.mode_risk(df).collect()]
     assert out == [("m", 2, 1, 20.0, 50.0), ("n", 1, 0, 5.0, 0.0)]
+    assert [tuple(r) for r in A.mode_risk_sql(df).collect()] == out
 
 
 def test_A03_drops_missing_and_orders(spark):

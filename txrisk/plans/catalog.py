@@ -141,6 +141,7 @@ def queries() -> dict[str, Query]:
         "card_fraud_sql": lambda s, sf: analytics.card_fraud_sql(_tx(s, sf)),
         "card_fraud_dirty": lambda s, sf: analytics.card_fraud(_dirty(s, sf)),
         "mode_risk": lambda s, sf: analytics.mode_risk(_tx(s, sf)),
+        "mode_risk_sql": lambda s, sf: analytics.mode_risk_sql(_tx(s, sf)),
         "count_risk": lambda s, sf: analytics.risk_counts(_tx(s, sf)),
         "count_card": lambda s, sf: analytics.value_counts(_tx(s, sf), "CardUsed"),
         "count_mode": lambda s, sf: analytics.value_counts(_tx(s, sf), "TransactionMode"),

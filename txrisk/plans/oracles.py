@@ -302,6 +302,7 @@ def oracles() -> dict[str, str]:
        avg(Amount) AS avg_amount, ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0 / COUNT(*), 2) AS fraud_rate
 FROM tx GROUP BY TransactionMode"""
     )
+    o["mode_risk_sql"] = o["mode_risk"]
     o["count_risk"] = _value_counts("Risk")
     o["count_card"] = _value_counts("CardUsed")
     o["count_mode"] = _value_counts("TransactionMode")

@@ -51,6 +51,21 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on sessions without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions expose no SparkContext
+        return None
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identifies a running session (for per-session plan reuse)."""
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else spark.conf.get("spark.app.id", None)
+    return (id(spark), app)
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach, under the session's checkpoint dir.
 
@@ -58,12 +73,15 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     from the session.  Only when neither is set (local runs and tests) is a
     fresh local folder created and registered as the checkpoint dir.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
     if not base:
+        if sc is None:
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="txrisk-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
+    elif sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
     return os.path.join(base, *parts) if parts else base
 
 

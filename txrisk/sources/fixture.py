@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from txrisk.functions.columns import format_account_id, format_txn_id, lookup, pick
 from txrisk.operators.rules import label_expr, risk_tier_expr
 from txrisk.plans.joins import join_dimension
+from txrisk.session import session_key
 
 # ---- fixed values: fixture mappings ----------------------------------------
 CARDS = ["Credit Card", "Debit Card", "Prepaid Card", "Corporate Card", "Virtual Card"]
@@ -89,7 +90,7 @@ _PLANS: dict[tuple, DataFrame] = {}
 
 
 def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    full = (id(spark), spark.sparkContext.applicationId) + key
+    full = session_key(spark) + key
     df = _PLANS.get(full)
     if df is None:
         df = _PLANS[full] = build()

@@ -485,6 +485,14 @@ SELECT IsFraud, n AS "count",
 FROM tx"""
     )
     o["stream_features"] = o["features_all"]
+    o["accounts_json"] = (
+        "WITH acc AS ("
+        + _first_row_rollup("t.AccountName, t.NewBalance", limit="ORDER BY first_no LIMIT 10").rstrip()
+        + """)
+SELECT CAST(to_json(struct_pack(AccountID := AccountID, AccountName := AccountName, NewBalance := NewBalance,
+       TransactionCount := TransactionCount, FraudCount := FraudCount, RiskLevel := RiskLevel)) AS VARCHAR) AS json
+FROM acc"""
+    )
     upload = _with(FIXTURE_CTE, _equal_width("Amount"))
     o["upload_risk_counts"] = (
         upload

@@ -91,3 +91,9 @@ def test_S11_active_dataset(spark, tx):
     up = tx.limit(1)
     assert io.active_dataset(tx, None) is tx
     assert io.active_dataset(tx, up) is up
+
+
+def test_S01_nan_becomes_null(spark, tmp_out):
+    df = spark.createDataFrame([(1, float("nan")), (2, 3.0)], "i int, Amount double")
+    back = io.read_transactions(spark, io.write_transactions(df, tmp_out("nan")))
+    assert sorted((r.i, r.Amount) for r in back.collect()) == [(1, None), (2, 3.0)]

@@ -140,3 +140,12 @@ def test_P20_zero_bins_are_kept(spark):
 def test_P24_rate_band(spark, rate, band):
     df = spark.createDataFrame([(rate,)], "r double")
     assert df.select(rate_band(F.col("r")).alias("b")).first().b == band
+
+
+def test_P16_nan_counts_as_missing(spark):
+    r = list(NEUTRAL)
+    r[3] = float("nan")  # Amount NaN: Spark would order it above any balance
+    r[7] = float("nan")
+    df = spark.createDataFrame([tuple([0] + r)], RULE_SCHEMA)
+    out = R.rule_flags(df).first()
+    assert (out.rule_amount_over_balance, out.rule_low_behavior, out.any_rule) == (0, 0, 0)

@@ -10,15 +10,29 @@ from txrisk.functions.columns import fit_row, flag
 from txrisk.operators.profile import numeric_columns
 
 
-def _c(cols, name) -> Column | None:
-    return F.col(name) if name in cols else None
+def _inputs(frame):
+    """(column names, types) of a DataFrame, or names only for a plain list."""
+    if isinstance(frame, DataFrame):
+        return frame.columns, dict(frame.dtypes)
+    return list(frame), {}
 
 
-def rule_predicates(cols) -> dict[str, Column]:
+def rule_predicates(frame) -> dict[str, Column]:
     """The nine rules as boolean columns (NULL comparisons count False).
 
-    A rule whose input column is absent is False.
+    ``frame`` is the DataFrame (or its column names).  A rule whose input
+    column is absent is False.  NaN in a float input counts as missing:
+    Spark orders NaN above every number, pandas compares it as False.
     """
+    cols, types = _inputs(frame)
+
+    def _c(_cols, name):
+        if name not in _cols:
+            return None
+        if types.get(name) in ("double", "float"):
+            return F.nanvl(F.col(name), F.lit(None).cast(types[name]))
+        return F.col(name)
+
     loc, card, mode = _c(cols, "Location"), _c(cols, "CardUsed"), _c(cols, "TransactionMode")
     amt, old, new = _c(cols, "Amount"), _c(cols, "OldBalance"), _c(cols, "NewBalance")
     dev, score, hour = _c(cols, "DeviceType"), _c(cols, "UserBehaviorScore"), _c(cols, "Hour")
@@ -42,9 +56,9 @@ def rule_predicates(cols) -> dict[str, Column]:
     }
 
 
-def any_rule(cols) -> Column:
+def any_rule(frame) -> Column:
     """True when at least one of the nine rules fires."""
-    preds = list(rule_predicates(cols).values())
+    preds = list(rule_predicates(frame).values())
     out = preds[0]
     for p in preds[1:]:
         out = out | p
@@ -53,15 +67,15 @@ def any_rule(cols) -> Column:
 
 def rule_flags(df: DataFrame) -> DataFrame:
     """Nine 0/1 rule columns plus ``any_rule``."""
-    preds = rule_predicates(df.columns)
+    preds = rule_predicates(df)
     cols = {name: p.cast("int") for name, p in preds.items()}
-    cols["any_rule"] = any_rule(df.columns).cast("int")
+    cols["any_rule"] = any_rule(df).cast("int")
     return df.withColumns(cols)
 
 
 def rule_hits(df: DataFrame) -> DataFrame:
     """``rule_hits`` (names of the rules that fire, in rule order) and ``n_hits``."""
-    preds = rule_predicates(df.columns)
+    preds = rule_predicates(df)
     hits = F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in preds.items()]), lambda x: x.isNotNull())
     return df.withColumns({"rule_hits": hits, "n_hits": F.size(hits)})
 
@@ -79,13 +93,13 @@ def thinning_keep(key: Column, method: str = "linear") -> Column:
     return bucket >= S.THIN_KEEP_FROM
 
 
-def label_expr(cols, key: Column, method: str = "linear") -> Column:
-    return flag(any_rule(cols) & thinning_keep(key, method))
+def label_expr(frame, key: Column, method: str = "linear") -> Column:
+    return flag(any_rule(frame) & thinning_keep(key, method))
 
 
 def label_from_rules(df: DataFrame, key: str = "txn_no", method: str = "linear") -> DataFrame:
     """IsFraud = any rule AND the row survives thinning."""
-    return df.withColumn("IsFraud", label_expr(df.columns, F.col(key), method))
+    return df.withColumn("IsFraud", label_expr(df, F.col(key), method))
 
 
 def risk_tier_expr(is_fraud: Column, score: Column) -> Column:

@@ -160,7 +160,7 @@ def transactions_from(events: DataFrame, customer: DataFrame, dirty: bool = Fals
     if dirty:
         base = base.withColumns({c: _gap(c, key, m) for c, (key, m) in DIRTY_GAPS.items()})
     base = base.withColumn("Hour", F.hour("Timestamp"))
-    label = label_expr(base.columns, F.col("event_id"))
+    label = label_expr(base, F.col("event_id"))
     if dirty:
         label = F.when(F.col(DIRTY_LABEL_GAP[0]) % DIRTY_LABEL_GAP[1] == 0, F.lit(None)).otherwise(label)
     out = base.withColumn("IsFraud", label)

@@ -28,19 +28,35 @@ def read_transactions(
     """Scan the transaction table.
 
     Parquet keeps its own schema (column pruning and filter pushdown apply);
-    CSV is read with the declared schema, never inferred.
+    CSV is read with the declared schema, never inferred.  NaN in float
+    columns becomes NULL on the way in (pandas treats both as missing).
     """
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    if fmt == "csv":
-        return (
+        df = spark.read.parquet(path)
+    elif fmt == "csv":
+        df = (
             spark.read.schema(schema or S.TRANSACTION)
             .option("header", True)
             .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
             .option("mode", "PERMISSIVE")
             .csv(path)
         )
-    raise ValueError(f"unsupported format {fmt!r}")
+    else:
+        raise ValueError(f"unsupported format {fmt!r}")
+    return nan_to_null(df)
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN -> NULL in float / double columns (a projection; other columns untouched)."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if not floats:
+        return df
+    return df.select(
+        *[
+            F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c) if c in floats else F.col(c)
+            for c in df.columns
+        ]
+    )
 
 
 def check_upload(path: str | None) -> str:

@@ -145,3 +145,10 @@ def test_W04_first_accounts_by_appearance(spark):
 
 def test_W05_distinct(spark, tx):
     assert A.distinct_accounts(tx).count() == A.dataset_summary(tx).first().n_accounts
+
+
+def test_float_label_with_nan(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", 0.0)], "CardUsed string, IsFraud double")
+    assert {r.CardUsed: r.fraud_count for r in A.card_fraud(df).collect()} == {"a": 1, "b": 0}
+    assert {r.CardUsed: r.fraud_rate for r in A.fraud_rate_by_card(df).collect()} == {"a": 100.0, "b": 0.0}
+    assert A.kpis_labelled(df.withColumn("Amount", F.lit(1.0))).first().fraud_count == 1

@@ -31,9 +31,14 @@ def require(df: DataFrame, op: str, *names: str) -> None:
         raise MissingColumns(op, missing)
 
 
-def _fraud_sum() -> Column:
-    # SUM over a 0/1 int column; bigint like COUNT
-    return F.sum(F.col("IsFraud").cast("long"))
+def _label(df: DataFrame) -> Column:
+    """IsFraud as a number; NaN (a float label column) counts as missing."""
+    return numeric_value(df, "IsFraud") if dict(df.dtypes).get("IsFraud") in ("double", "float") else F.col("IsFraud")
+
+
+def _fraud_sum(df: DataFrame) -> Column:
+    # SUM over the 0/1 label; bigint like COUNT
+    return F.sum(_label(df).cast("long"))
 
 
 # ---- A01 -------------------------------------------------------------------
@@ -45,8 +50,8 @@ def card_fraud(df: DataFrame) -> DataFrame:
         df.groupBy("CardUsed")
         .agg(
             F.count(F.lit(1)).alias("total_transactions"),
-            _fraud_sum().alias("fraud_count"),
-            percent(_fraud_sum(), F.count(F.lit(1)), 2).alias("fraud_rate"),
+            _fraud_sum(df).alias("fraud_count"),
+            percent(_fraud_sum(df), F.count(F.lit(1)), 2).alias("fraud_rate"),
         )
         .orderBy(F.col("fraud_rate").desc_nulls_last(), F.col("CardUsed").asc_nulls_last())
     )
@@ -78,9 +83,9 @@ def mode_risk(df: DataFrame) -> DataFrame:
         df.groupBy("TransactionMode")
         .agg(
             F.count(F.lit(1)).alias("total_count"),
-            _fraud_sum().alias("fraud_count"),
+            _fraud_sum(df).alias("fraud_count"),
             F.avg(numeric_value(df, "Amount")).alias("avg_amount"),
-            percent(_fraud_sum(), F.count(F.lit(1)), 2).alias("fraud_rate"),
+            percent(_fraud_sum(df), F.count(F.lit(1)), 2).alias("fraud_rate"),
         )
         .orderBy(F.col("fraud_rate").desc_nulls_last(), F.col("TransactionMode").asc_nulls_last())
     )
@@ -154,7 +159,7 @@ def fraud_rate_by_card(df: DataFrame) -> DataFrame:
     """Unrounded mean(IsFraud) * 100 per card (missing key dropped,
     non-missing denominator), with its P24 band, key ASC."""
     require(df, "fraud_rate_by_card", "CardUsed", "IsFraud")
-    rate = F.avg(F.col("IsFraud").cast("double")) * F.lit(100.0)
+    rate = F.avg(_label(df).cast("double")) * F.lit(100.0)
     return (
         df.where(F.col("CardUsed").isNotNull())
         .groupBy("CardUsed")
@@ -178,7 +183,7 @@ def dataset_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
         has_null = F.max(F.col("AccountID").isNull().cast("long"))
         aggs.append((distinct + F.coalesce(has_null, F.lit(0))).cast("long").alias("n_accounts"))
     if "IsFraud" in df.columns:
-        aggs.append(F.avg(F.col("IsFraud").cast("double")).alias("fraud_mean"))
+        aggs.append(F.avg(_label(df).cast("double")).alias("fraud_mean"))
     return df.agg(*aggs)
 
 
@@ -192,7 +197,7 @@ def kpis_labelled(df: DataFrame) -> DataFrame:
     """
     n = F.count(F.lit(1))
     has_label, has_amount = "IsFraud" in df.columns, "Amount" in df.columns
-    fraud = F.coalesce(_fraud_sum(), F.lit(0)) if has_label else F.lit(0).cast("long")
+    fraud = F.coalesce(_fraud_sum(df), F.lit(0)) if has_label else F.lit(0).cast("long")
     amount = numeric_value(df, "Amount") if has_amount else None
     out = df.agg(
         n.alias("total_transactions"),

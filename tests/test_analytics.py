@@ -152,3 +152,9 @@ def test_float_label_with_nan(spark):
     assert {r.CardUsed: r.fraud_count for r in A.card_fraud(df).collect()} == {"a": 1, "b": 0}
     assert {r.CardUsed: r.fraud_rate for r in A.fraud_rate_by_card(df).collect()} == {"a": 100.0, "b": 0.0}
     assert A.kpis_labelled(df.withColumn("Amount", F.lit(1.0))).first().fraud_count == 1
+
+
+def test_A06_approximate_distinct_close(spark, tx):
+    exact = A.dataset_summary(tx).first().n_accounts
+    approx = A.dataset_summary(tx, approximate=True).first().n_accounts
+    assert abs(approx - exact) <= max(2, 0.05 * exact)

@@ -13,3 +13,10 @@ def test_X02_stream_equals_batch(spark, tx, tmp_out):
     batch = create_features(tx)
     assert streamed.count() == batch.count()
     assert streamed.select(*batch.columns).exceptAll(batch).count() == 0
+
+
+def test_X02_restart_from_checkpoint_adds_nothing(spark, tmp_out):
+    out = tmp_out("stream-restart")
+    first = run_feature_stream(spark, SF001, out).count()
+    again = run_feature_stream(spark, SF001, out).count()  # same sink, same checkpoint
+    assert first == again == 1000

@@ -93,7 +93,10 @@ def test_S11_active_dataset(spark, tx):
     assert io.active_dataset(tx, up) is up
 
 
-def test_S01_nan_becomes_null(spark, tmp_out):
+def test_S01_csv_nan_becomes_null_parquet_keeps_pushdown(spark, tmp_out):
     df = spark.createDataFrame([(1, float("nan")), (2, 3.0)], "i int, Amount double")
-    back = io.read_transactions(spark, io.write_transactions(df, tmp_out("nan")))
+    back = io.read_transactions(spark, io.write_transactions(df, tmp_out("nan") + ".csv", "csv"), "csv", df.schema)
     assert sorted((r.i, r.Amount) for r in back.collect()) == [(1, None), (2, 3.0)]
+    stored = io.read_transactions(spark, io.write_transactions(df, tmp_out("nan-pq")))
+    plan = stored.where(F.col("Amount") > 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(Amount,2.0)" in plan

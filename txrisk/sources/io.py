@@ -27,13 +27,15 @@ def read_transactions(
 ) -> DataFrame:
     """Scan the transaction table.
 
-    Parquet keeps its own schema (column pruning and filter pushdown apply);
-    CSV is read with the declared schema, never inferred.  NaN in float
-    columns becomes NULL on the way in (pandas treats both as missing).
+    Parquet keeps its own schema (column pruning and filter pushdown apply).
+    CSV is read with the declared schema, never inferred, and a "NaN" text
+    becomes NULL.  Parquet columns are left untouched so numeric filters
+    still reach the row-group statistics; operators treat NaN as missing
+    where they use a value (rules, aggregates, the zero fill).
     """
     if fmt == "parquet":
-        df = spark.read.parquet(path)
-    elif fmt == "csv":
+        return spark.read.parquet(path)
+    if fmt == "csv":
         df = (
             spark.read.schema(schema or S.TRANSACTION)
             .option("header", True)
@@ -41,9 +43,8 @@ def read_transactions(
             .option("mode", "PERMISSIVE")
             .csv(path)
         )
-    else:
-        raise ValueError(f"unsupported format {fmt!r}")
-    return nan_to_null(df)
+        return nan_to_null(df)
+    raise ValueError(f"unsupported format {fmt!r}")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ def main(argv=None) -> int:
         except io.UploadError as exc:
             _print({"success": False, "error": str(exc)})
             return 2
-        _print({"success": True, "analysis": io.to_records(profile.profile_report(df), 1)[0]})
+        report = io.as_json(profile.profile_report(df)).first()["json"]  # keeps column and count order
+        _print({"success": True, "analysis": json.loads(report)})
     elif args.command == "init":
         if not (args.table and args.model):
             parser.error("init needs --table PATH and --model PATH")

@@ -206,7 +206,23 @@ def profile_report(df: DataFrame, type_names: str = "pandas") -> DataFrame:
         F.max(F.when(F.col("section") == "high_risk_amount", F.col("value"))).alias("high_risk_amount"),
         *[
             F.map_from_entries(
-                F.collect_list(F.when(F.col("section") == s, F.struct(F.col("key"), F.col("value").cast("long"))))
+                F.transform(
+                    # value_counts order: count descending, then value
+                    F.array_sort(
+                        F.collect_list(
+                            F.when(
+                                F.col("section") == s,
+                                F.struct(F.col("value").cast("long").alias("n"), F.col("key").alias("key")),
+                            )
+                        ),
+                        lambda a, b: F.when(a["n"] > b["n"], -1)
+                        .when(a["n"] < b["n"], 1)
+                        .when(a["key"] < b["key"], -1)
+                        .when(a["key"] > b["key"], 1)
+                        .otherwise(0),
+                    ),
+                    lambda e: F.struct(e["key"].alias("key"), e["n"].alias("value")),
+                )
             ).alias(s)
             for _, s in COUNT_SECTIONS
         ],

@@ -18,7 +18,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     builder = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[*]")
         .appName("txrisk-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")

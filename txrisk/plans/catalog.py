@@ -126,10 +126,11 @@ def _rule_hits(spark, sf):
     return hits.select("TransactionID", F.array_join("rule_hits", ",").alias("rule_hits"), "n_hits")
 
 
-def _feat(builder, *cols, dirty=True):
+def _feat(builder, *cols):
+    """A single-feature query over the gapped table (exercises the missing-value rules)."""
+
     def run(spark, sf):
-        src = _dirty(spark, sf) if dirty else _tx(spark, sf)
-        return _only(builder(src), *cols)
+        return _only(builder(_dirty(spark, sf)), *cols)
 
     return run
 

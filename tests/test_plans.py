@@ -92,3 +92,20 @@ def test_scaled_conf_sizes():
     small = scaled_conf(2 * 2**20, 8)
     assert small["spark.sql.shuffle.partitions"] == "24"
     assert big["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
+
+
+def test_scaled_conf_applies_at_runtime(spark, tx):
+    from txrisk.session import scaled_conf
+
+    settings = scaled_conf(2 * 2**40, 64)
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)  # all are runtime SQL settings
+        assert A.card_fraud(tx).count() == 5
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

@@ -100,3 +100,32 @@ def test_S01_csv_nan_becomes_null_parquet_keeps_pushdown(spark, tmp_out):
     stored = io.read_transactions(spark, io.write_transactions(df, tmp_out("nan-pq")))
     plan = stored.where(F.col("Amount") > 2.0)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(Amount,2.0)" in plan
+
+
+def test_S01_reference_csv_layout(spark, tmp_out):
+    """The reference's stored table (19 columns, integer balances, text timestamps) reads as is."""
+    import os
+
+    from txrisk.operators import analytics as A
+    from txrisk.operators import features as FE
+
+    d = tmp_out("ref-layout").replace("file:", "")
+    os.makedirs(d, exist_ok=True)
+    p = os.path.join(d, "bank_transactions_dataset.csv")
+    header = (
+        "TransactionID,Timestamp,AccountID,AccountName,OldBalance,NewBalance,Amount,CardUsed,TransactionMode,"
+        "Location,MerchantCategory,DeviceType,UserBehaviorScore,TransactionStatus,AmountTaken,Hour,IsFraud,Risk,Probability"
+    )
+    rows = [
+        "TXN00001,2024-05-01 03:15:00,ACC001,Customer 1,12000,11000,1000,Credit Card,ATM Withdrawal,Russia,ATM,ATM,0.25,Completed,1000,3,1,HIGH,88.5",
+        "TXN00002,2024-05-04 14:00:00,ACC001,Customer 1,5000,4800,200,Debit Card,POS Swipe,Texas,Retail,Mobile,0.8,Failed,200,14,0,LOW,12.0",
+    ]
+    with open(p, "w") as fh:
+        fh.write("\n".join([header, *rows]) + "\n")
+    df = io.read_transactions(spark, p, "csv")
+    feats = FE.create_features(df).orderBy("TransactionID").collect()
+    assert [(r.Hour, r.DayOfWeek, r.IsNight, r.IsWeekend, r.CountryRiskScore) for r in feats] == [
+        (3, 2, 1, 0, 1.0),
+        (14, 5, 0, 1, 0.1),
+    ]
+    assert [tuple(r) for r in A.card_fraud(df).collect()] == [("Credit Card", 1, 1, 100.0), ("Debit Card", 1, 0, 0.0)]

@@ -60,6 +60,8 @@ HEADLINE = [
     "scan_transactions",
     "csv_round_trip",
     "scan_csv_inferred",
+    "upload_risk_counts",
+    "upload_kpis",
     "stream_features",
     "train_model",
 ]

@@ -158,3 +158,9 @@ def test_A06_approximate_distinct_close(spark, tx):
     exact = A.dataset_summary(tx).first().n_accounts
     approx = A.dataset_summary(tx, approximate=True).first().n_accounts
     assert abs(approx - exact) <= max(2, 0.05 * exact)
+
+
+def test_P29_share_when_every_count_is_zero(spark):
+    df = spark.createDataFrame([(None,), (None,)], "x double")  # equal-width bins of nothing
+    got = {r.Risk: (r["count"], r.share) for r in A.risk_share(df).collect()}
+    assert got == {"LOW": (0, None), "MEDIUM": (0, None), "HIGH": (0, None)}

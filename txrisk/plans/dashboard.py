@@ -94,7 +94,8 @@ def page_records(base: DataFrame, limit: int = 10) -> dict[str, list[dict]]:
     total_risk = sum(r["n"] for r in risk)
     page["risk_counts"] = [{"Risk": r["value"], "count": r["n"]} for r in risk]
     page["risk_share"] = [
-        {"Risk": r["value"], "count": r["n"], "share": round(r["n"] * 100.0 / total_risk, 1)} for r in risk
+        {"Risk": r["value"], "count": r["n"], "share": round(r["n"] * 100.0 / total_risk, 1) if total_risk else None}
+        for r in risk
     ]
     page["card_usage"] = [{"CardUsed": r["value"], "count": r["n"]} for r in desc(dim("CardUsed", False), "n", text)]
     page["transaction_modes"] = [

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from txrisk.llm import mixing
+from txrisk.llm import mixing, token_orc
 
 QUERIES = {
+    "op4_token_orc": token_orc.op4_token_orc,
     "op9_systematic_mix": mixing.op9_systematic_mix,
 }
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from txrisk.llm import mixing, token_orc
+from txrisk.llm import mixing, token_orc, toxicity
 
 QUERIES = {
     "op4_token_orc": token_orc.op4_token_orc,
+    "op8_string_kernel_toxicity": toxicity.op8_string_kernel_toxicity,
     "op9_systematic_mix": mixing.op9_systematic_mix,
 }
 

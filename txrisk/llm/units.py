@@ -52,3 +52,32 @@ def word_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         doc = np.concatenate([doc, whose])
         units = pa.concat_arrays([units, pa.array(spelled, units.type)])
     return units, unit, doc
+
+
+_POWERS = np.array([1], np.uint64)
+
+
+def string_hash(words: pa.Array) -> np.ndarray:
+    """A stable 64-bit hash of each string."""
+    global _POWERS
+    if len(words) == 0:
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32 if pa.types.is_string(words.type) else np.int64, len(words) + 1 + words.offset)[words.offset :]
+    size = np.diff(offsets).astype(np.int64)
+    if int(size.max()) + 1 > len(_POWERS):
+        _POWERS = np.cumprod(np.full(int(size.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if size.sum() else np.empty(0, np.uint8)
+    h = size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    full = size > 0
+    if full.any():
+        begin = (offsets[:-1] - offsets[0])[full]
+        at = np.arange(len(data)) - np.repeat(begin, size[full])
+        h[full] += np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _POWERS[at], begin)
+    return mixed(h)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values (the finaliser of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm.toxicity import sample
-from txrisk.llm.units import as_text, string_hash
+from txrisk.llm.units import parts, string_hash
 
 WORDS, LAYOUT = 1 << 14, 1 << 12  # hashed terms of either kind
 RANK = 48
@@ -90,8 +90,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
     def count(batches):
         df, n = np.zeros(WORDS + LAYOUT + 1, np.int64), 0
-        for batch in batches:
-            df[:-1] += np.bincount(terms(as_text(batch.column(text)))[1], minlength=WORDS + LAYOUT)
+        for batch, texts in parts(batches, text):
+            df[:-1] += np.bincount(terms(texts)[1], minlength=WORDS + LAYOUT)
             n += batch.num_rows
         df[-1] = n
         at = np.flatnonzero(df)
@@ -195,8 +195,8 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """``docs`` with ``_quality_score``, between 0 and 1."""
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes(as_text(batch.column(text)), model))], [*batch.schema.names, "_quality_score"])
+        for batch, texts in parts(batches, text):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes(texts, model))], [*batch.schema.names, "_quality_score"])
 
     return docs.mapInArrow(run, docs.schema.add("_quality_score", "double"))
 

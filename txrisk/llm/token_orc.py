@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.tokens import encoder, slices
+from txrisk.llm.tokens import encoder
+from txrisk.llm.units import slices
 from txrisk.session import fresh_path
 
 END = 2
@@ -51,7 +52,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         enc = encoder(tokenizer, end)
         for batch in batches:
             texts = batch.column("text")
-            for at, n in slices(texts):
+            for at, n in slices(texts, 16 << 20):
                 ids, size = enc.encode(texts.slice(at, n))
                 upto = size.cumsum()
                 yield pa.record_batch(

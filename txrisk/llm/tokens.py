@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 
 RUNS = r"[\s\x0b\x{85}\p{Z}]{2}"
 KEPT_PIECES = 600_000  # pieces a worker remembers; then it starts anew
-SLICE_BYTES = 16 << 20  # text encoded at a time
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -157,11 +156,3 @@ class Encoder:
             for i, x in zip(rest, np.split(ids, np.cumsum(n)[:-1]), strict=True):
                 parts[i] = x
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-
-
-def slices(texts: pa.Array, most: int = SLICE_BYTES):
-    """(first, count) runs of rows with about ``most`` bytes of text each."""
-    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(size) // most
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.units import as_text, code_points, word_units
+from txrisk.llm.units import code_points, parts, word_units
 
 BITS = 20
 DECAY = 0.6
@@ -283,8 +283,8 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """``docs`` with ``_tox_score``, the probability that its text is toxic."""
 
     def run(batches):
-        for batch in batches:
-            units, unit, doc = word_units(as_text(batch.column(text)))
+        for batch, texts in parts(batches, text):
+            units, unit, doc = word_units(texts)
             value = unit_scores(units, model[0])
             worst = np.full(batch.num_rows, -np.inf)
             np.maximum.at(worst, doc, value[unit])

@@ -16,6 +16,22 @@ def as_text(column) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+    """(first, count) runs of rows with about ``most`` bytes of text each, so that memory stays bounded."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def parts(batches, column: str, most: int = 8 << 20):
+    """(rows, texts) for runs of rows of the batches with about ``most`` bytes of text each."""
+    for batch in batches:
+        texts = as_text(batch.column(column))
+        for at, n in slices(texts, most):
+            yield batch.slice(at, n), texts.slice(at, n)
+
+
 def code_points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points of the words, and the number of each word's."""
     text = "".join(words.to_pylist())
@@ -62,7 +78,8 @@ def string_hash(words: pa.Array) -> np.ndarray:
     global _POWERS
     if len(words) == 0:
         return np.empty(0, np.uint64)
-    offsets = np.frombuffer(words.buffers()[1], np.int32 if pa.types.is_string(words.type) else np.int64, len(words) + 1 + words.offset)[words.offset :]
+    kind = np.int32 if pa.types.is_string(words.type) else np.int64
+    offsets = np.frombuffer(words.buffers()[1], kind, len(words) + 1 + words.offset)[words.offset :]
     size = np.diff(offsets).astype(np.int64)
     if int(size.max()) + 1 > len(_POWERS):
         _POWERS = np.cumprod(np.full(int(size.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
@@ -71,7 +88,7 @@ def string_hash(words: pa.Array) -> np.ndarray:
     full = size > 0
     if full.any():
         begin = (offsets[:-1] - offsets[0])[full]
-        at = np.arange(len(data)) - np.repeat(begin, size[full])
+        at = np.arange(len(data), dtype=np.int32) - np.repeat(begin, size[full])
         h[full] += np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _POWERS[at], begin)
     return mixed(h)
 
@@ -81,3 +98,39 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+_ORDER = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+
+
+def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): each text's distinct ``width``-word shingles, sorted, and where they end.
+
+    Words are split at ASCII white space after lower-casing A-Z.  A text with
+    fewer words has its whole word sequence as one shingle, one without words none.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    coded = words.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    full = (pc.binary_length(coded.dictionary).to_numpy() > 0)[codes]
+    codes, doc = codes[full], doc[full]
+    word = string_hash(coded.dictionary)[codes]
+    n = np.bincount(doc, minlength=len(texts))
+    begin = np.cumsum(n) - n
+    h = np.zeros(max(0, len(word) - width + 1), np.uint64)
+    for k in range(width):
+        h += word[k : len(word) - width + 1 + k] * _ORDER[k]
+    h = mixed(h)
+    out, size = [], np.zeros(len(texts), np.int64)
+    for i, (a, m) in enumerate(zip(begin.tolist(), n.tolist(), strict=True)):
+        if m >= width:
+            own = h[a : a + m - width + 1]
+        elif m:
+            own = mixed((word[a : a + m] * np.array(_ORDER[:m])).sum(keepdims=True) + np.uint64(m))
+        else:
+            continue
+        own = np.unique(own)
+        out.append(own)
+        size[i] = len(own)
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.cumsum(size)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from txrisk.llm import jaccard, mixing, quality, token_orc, toxicity
+from txrisk.llm import decontamination, jaccard, mixing, quality, token_orc, toxicity
 
 QUERIES = {
     "op4_token_orc": token_orc.op4_token_orc,
     "op5_latent_neighbours": quality.op5_latent_neighbours,
+    "op7_latent_decontamination": decontamination.op7_latent_decontamination,
     "op8_string_kernel_toxicity": toxicity.op8_string_kernel_toxicity,
     "op9_systematic_mix": mixing.op9_systematic_mix,
     "op10_order_filter_join": jaccard.op10_order_filter_join,

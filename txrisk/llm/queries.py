@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from txrisk.llm import decontamination, jaccard, mixing, quality, token_orc, toxicity
+from txrisk.llm import decontamination, html_text, jaccard, metric_tree, mixing, quality, token_orc, toxicity
 
 QUERIES = {
+    "op1_site_style_tree": html_text.op1_site_style_tree,
+    "op2_metric_tree_search": metric_tree.op2_metric_tree_search,
     "op4_token_orc": token_orc.op4_token_orc,
     "op5_latent_neighbours": quality.op5_latent_neighbours,
     "op7_latent_decontamination": decontamination.op7_latent_decontamination,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_metric_tree_search": metric_tree.SQL,
     "op9_systematic_mix": mixing.SQL,
 }

@@ -107,23 +107,24 @@ def id_bits(ids: DataFrame, column: str) -> np.ndarray:
     return table
 
 
-def chosen(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(doc_id, text) of the documents whose id may be in a bit table, with a column of their bit."""
+def with_bit(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, at) of the documents: the place of an id's bit."""
     at = F.shiftright(F.xxhash64("doc_id"), 64 - ID_BITS) + (1 << (ID_BITS - 1))
+    return docs.where("doc_id is not null").select("doc_id", "text", at.alias("at"))
 
-    def run(batches):
-        for batch in batches:
-            bit = batch.column("at").to_numpy()
-            yield batch.filter(pa.array((table[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1)).select(["doc_id", "text"])
 
-    return docs.select("doc_id", "text", at.alias("at")).where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
+def chosen(batches, table: np.ndarray):
+    """The rows whose bit is set."""
+    for batch in batches:
+        at = batch.column("at").to_numpy()
+        yield batch.filter(pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
 
 
-def postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """A row per prefix shingle of every document: its list, the document, set size, place in the prefix."""
+def postings(docs: DataFrame, nodes: np.ndarray, sketch: np.ndarray) -> DataFrame:
+    """A row per prefix shingle of the documents in a bit table: its list, the document, set size, place in the prefix."""
 
     def run(batches):
-        for batch, texts in parts(batches, "text"):
+        for batch, texts in parts(chosen(batches, nodes), "text"):
             sets, ends = shingle_sets(texts)
             ids = batch.column("doc_id").to_numpy()
             count = sketch[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -144,7 +145,7 @@ def postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             cols = [_signed(sets[at]), pa.array(salt.astype(np.int32)), pa.array(level.astype(np.int16)), pa.array(ids[doc])]
             yield pa.record_batch([*cols, pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "salt", "level", "doc", "n", "place"])
 
-    return docs.mapInArrow(run, "token long, salt int, level short, doc long, n int, place int")
+    return with_bit(docs).mapInArrow(run, "token long, salt int, level short, doc long, n int, place int")
 
 
 def may_link(n1, p1, n2, p2):
@@ -168,8 +169,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of document ids whose sets are similar enough."""
 
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id"))
+    wanted = id_bits(ids, "id")
+
     def sets_of(batches):
-        for batch, texts in parts(batches, "text"):
+        for batch, texts in parts(chosen(batches, wanted), "text"):
             sets, ends = shingle_sets(texts)
             lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), _signed(sets))
             yield pa.record_batch([batch.column("doc_id"), lists], ["id", "s"])
@@ -182,8 +186,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             good = [similar(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]) for i in range(batch.num_rows)]
             yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id"))
-    sets = chosen(docs, id_bits(ids, "id")).mapInArrow(sets_of, "id long, s array<long>")
+    sets = with_bit(docs).mapInArrow(sets_of, "id long, s array<long>")
     one = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("a")), "x")
     two = one.join(sets.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
     return two.select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
@@ -200,7 +203,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     nodes = _kept(spark, rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")), "nodes")
 
     # 2: lists of more than one document, each row with its list's centre
-    every = postings(chosen(docs, id_bits(nodes.where("node is not null"), "node")), sketch)
+    every = postings(docs, id_bits(nodes.where("node is not null"), "node"), sketch)
     whole = Window.partitionBy("token", "salt")
     inner = Window.partitionBy("token", "salt", "level").orderBy("place", "n", "doc")
     centre = F.struct("place", "n", "doc")
@@ -243,3 +246,36 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op10_order_filter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all ``documents``."""
     return classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents that stay: of each class the smallest ``doc_id``, once; all with an empty set.
+
+    Rows without ``doc_id`` stay unless a numbered document has the same set;
+    of several such rows with the same text one stays.
+    """
+    found = _kept(spark, classes(spark, docs), "classes")
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    twice = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    nameless = found.where("doc_id is null")
+    if twice.isEmpty() and nameless.isEmpty():
+        return kept
+    twice = _kept(spark, twice.withColumnRenamed("doc_id", "_twice"), "twice")
+    kept = kept.join(twice, kept["doc_id"].cast("long") == F.col("_twice"), "left")
+    single = kept.where("_twice is null and doc_id is not null").drop("_twice")
+    repeated = kept.where("_twice is not null").drop("_twice").dropDuplicates(["doc_id"])
+    return single.union(repeated).union(_without_id(spark, docs))
+
+
+def _without_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows without ``doc_id``: those with a set of their own, one for each text; all with an empty set."""
+    rows = _kept(spark, docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id()), "nameless")
+    named = classes(spark, rows.select(F.col("_row").alias("doc_id"), "text").union(docs.where("doc_id is not null").select(-1 - F.col("doc_id").cast("long"), "text")))
+    own = named.where("doc_id >= 0").withColumn("alone", (F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).where("alone")
+    return rows.join(own.select(F.col("doc_id").alias("_own")), F.col("_row") == F.col("_own"), "left_semi").drop("_row")
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each class of near duplicates."""
+    return one_of_each(spark, docs)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+SLICE_BYTES = 3 << 20  # text that a task works on at a time
 SPELLED = 3  # so many single characters in a row are also read as one word
 
 
@@ -16,7 +17,7 @@ def as_text(column) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> list[tuple[int, int]]:
     """(first, count) runs of rows with about ``most`` bytes of text each, so that memory stays bounded."""
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(size) // most
@@ -24,7 +25,7 @@ def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def parts(batches, column: str, most: int = 8 << 20):
+def parts(batches, column: str, most: int = SLICE_BYTES):
     """(rows, texts) for runs of rows of the batches with about ``most`` bytes of text each."""
     for batch in batches:
         texts = as_text(batch.column(column))

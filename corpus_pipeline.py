@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txrisk.llm.decontamination import stage_decontaminate
+from txrisk.llm.jaccard import stage_near_duplicates
 from txrisk.llm.mixing import stage_mix
+from txrisk.llm.token_orc import stage_tokens
+from txrisk.llm.toxicity import stage_toxicity
 from txrisk.session import fresh_path
 
 STAGES = [
-    ("mix", stage_mix),
+    ("toxicity", stage_toxicity),
+    ("ngram_jaccard_join", stage_near_duplicates),
+    ("benchmark_decontamination", stage_decontaminate),
+    ("mixing", stage_mix),
+    ("token_output", stage_tokens),
 ]
 
 # toxicity and decontamination are learned from the data: SQL cannot express them

@@ -8,11 +8,12 @@ decomposition of the passage matrix gives the latent space: each multiplication
 by the matrix and its transpose is a job over the passages, only matrices of
 ``RANK`` columns meet on the driver.
 
-Every document is read in half-overlapping windows of each of ``SCALES`` words.
-A window's cosine with a passage cannot exceed the share of its length that
-lies on benchmark words, so running sums rule out nearly all windows without a
-loss; the rest are folded into the latent space and compared with every
-passage.  Pairs with a cosine of ``COSINE`` or more are candidates.
+Every document is read in half-overlapping windows of ``WINDOW`` words.
+A passage's head is its heaviest words, without which its length is at most
+``TAIL``; a cosine with the passage exceeds the part that lies on its head by
+at most that much, so an inverted index of heads rules out nearly all windows.
+The rest are folded into the latent space and compared with every passage;
+pairs with a cosine of ``COSINE`` or more are candidates.
 
 A candidate is a leak if the longest common subsequence of the passage's words
 and the words around the window has ``COPIED`` of the passage's words, or
@@ -47,8 +48,10 @@ TERM_BITS = 18  # hash buckets of words whose frequencies are counted
 TERMS = 1 << 15  # hashed terms of the passage matrix
 RANK = 256
 PASSAGE = 64
-SCALES = (16, 48)
+WINDOW = 32
+DENSE = 1 << 23  # so many sums of windows and passages at most are held as a table
 COSINE = 0.4
+TAIL = 0.25
 COPIED, REWORDED, ANSWERED = 0.7, 0.5, 0.9
 LEAST = 5
 BLOCK = 4096
@@ -190,9 +193,22 @@ class Block:
         np.add.at(latent, row, space[term] * value[:, None].astype(np.float32))
         latent = latent[keep]
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        self.vocabulary = np.unique(np.concatenate(self.words)) if keep else np.empty(0, np.uint64)
-        self.rows_of = space[(self.vocabulary % np.uint64(TERMS)).astype(np.int64)]
-        self.weights = weights
+        self.space, self.weights = space, weights
+        # the heads as an inverted index: words in order, where each one's list begins, passage and value
+        heads = []
+        for p, own in enumerate(self.words):
+            name, count = np.unique(own, return_counts=True)
+            value = np.sqrt(count) * weights[bucket(name)]
+            value /= max(np.linalg.norm(value), 1e-12)
+            order = np.argsort(-value, kind="stable")
+            head = order[: int((np.cumsum(value[order] ** 2) < 1 - TAIL**2).sum()) + 1]
+            heads += [(int(w), p, float(v)) for w, v in zip(name[head], value[head], strict=True)]
+        heads.sort()
+        words_ = np.array([w for w, _, _ in heads], np.uint64)
+        self.vocabulary, begin = np.unique(words_, return_index=True)
+        self.begin = np.append(begin, len(words_))
+        self.passage = np.array([p for _, p, _ in heads], np.int64)
+        self.value = np.array([v for _, _, v in heads])
 
 
 def common(passage: np.ndarray, region: np.ndarray) -> int:
@@ -209,43 +225,65 @@ def common(passage: np.ndarray, region: np.ndarray) -> int:
     return len(passage) - state.bit_count()
 
 
+def likely(words: np.ndarray, n: np.ndarray, block: Block):
+    """(document, first word, end) of windows whose cosine with some passage may reach ``COSINE``."""
+    ends = np.cumsum(n)
+    begin, step = ends - n, WINDOW // 2
+    windows = np.maximum(1, -(-(n - WINDOW) // step) + 1) * (n > 0)
+    base = np.cumsum(windows) - windows
+    place = np.minimum(np.searchsorted(block.vocabulary, words), len(block.vocabulary) - 1)
+    at = np.flatnonzero(block.vocabulary[place] == words)
+    many = (block.begin[1:] - block.begin[:-1])[place[at]]
+    entry = np.repeat(block.begin[place[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    at = np.repeat(at, many)
+    doc = np.searchsorted(ends, at, "right")
+    last = (at - begin[doc]) // step  # a word is in this window and the one before
+    weight = block.weights[bucket(words)].astype(np.float64)
+    total = np.concatenate([[0], np.cumsum(weight**2)])
+    key, part = [], []
+    for k in (last, last - 1):
+        good = (k >= 0) & (k < windows[doc])
+        key.append((base[doc[good]] + k[good]) * len(block.items) + block.passage[entry[good]])
+        part.append(weight[at[good]] * block.value[entry[good]])
+    key, part = np.concatenate(key), np.concatenate(part)
+    if windows.sum() * len(block.items) <= DENSE:
+        part = np.bincount(key, part)
+        key = np.flatnonzero(part)
+        part = part[key]
+    else:
+        key, where = np.unique(key, return_inverse=True)
+        part = np.bincount(where, part, len(key))
+    window = key // len(block.items)
+    doc = np.searchsorted(base + windows, window, "right")
+    a = begin[doc] + (window - base[doc]) * step
+    b = np.minimum(a + WINDOW, ends[doc])
+    good = part >= (COSINE - TAIL) * np.sqrt(total[b] - total[a])
+    first = np.unique(window[good], return_index=True)[1]
+    return doc[good][first], a[good][first], b[good][first]
+
+
 def search(texts: pa.Array, block: Block) -> list[tuple]:
     """(row, item, cosine, shared, answered, word) of the leaks in the texts, the best of each row and item."""
     words, ends = clean_words(texts)
     if len(words) == 0 or len(block.vocabulary) == 0:
         return []
-    weight = block.weights[bucket(words)].astype(np.float64)
-    place = np.minimum(np.searchsorted(block.vocabulary, words), len(block.vocabulary) - 1)
-    known = block.vocabulary[place] == words
-    all_sum = np.concatenate([[0], np.cumsum(weight**2)])
-    known_sum = np.concatenate([[0], np.cumsum(np.where(known, weight**2, 0))])
     n = np.diff(ends, prepend=0)
     begin = ends - n
     found: dict[tuple, tuple] = {}
-    for scale in SCALES:
-        step = scale // 2
-        windows = np.maximum(1, -(-(n - scale) // step) + 1) * (n > 0)
-        row = np.repeat(np.arange(len(n)), windows)
-        order = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        a = begin[row] + order * step
-        b = np.minimum(a + scale, ends[row])
-        length = all_sum[b] - all_sum[a]
-        for w in np.flatnonzero(known_sum[b] - known_sum[a] >= COSINE**2 * length):
-            i, j = int(a[w]), int(b[w])
-            own, count = np.unique(place[i:j][known[i:j]], return_counts=True)
-            x = (np.sqrt(count) * block.weights[bucket(block.vocabulary[own])]) @ block.rows_of[own] / np.sqrt(length[w])
-            cosine = block.latent @ x.astype(np.float32)
-            for p in np.flatnonzero(cosine >= COSINE).tolist():
-                passage, answer = block.words[p], block.answers[p]
-                r = int(row[w])
-                lo, hi = max(int(begin[r]), i - len(passage)), min(int(ends[r]), j + len(passage))
-                shared = common(passage, words[lo:hi]) / len(passage)
-                answered = len(answer) > 0 and common(answer, words[lo:hi]) >= ANSWERED * len(answer)
-                if shared >= COPIED or (shared >= REWORDED and answered and len(answer) < len(passage)):
-                    key = (r, block.items[p])
-                    value = (shared, float(cosine[p]), bool(answered), i - int(begin[r]))
-                    if value[:2] > found.get(key, (0, 0))[:2]:
-                        found[key] = value
+    for r, i, j in zip(*(x.tolist() for x in likely(words, n, block)), strict=True):
+        own, count = np.unique(words[i:j], return_counts=True)
+        value = np.sqrt(count) * block.weights[bucket(own)]
+        x = value.astype(np.float32) @ block.space[(own % np.uint64(TERMS)).astype(np.int64)] / np.linalg.norm(value)
+        cosine = block.latent @ x
+        for p in np.flatnonzero(cosine >= COSINE).tolist():
+            passage, answer = block.words[p], block.answers[p]
+            lo, hi = max(int(begin[r]), i - len(passage)), min(int(ends[r]), j + len(passage))
+            shared = common(passage, words[lo:hi]) / len(passage)
+            answered = len(answer) > 0 and common(answer, words[lo:hi]) >= ANSWERED * len(answer)
+            if shared >= COPIED or (shared >= REWORDED and answered and len(answer) < len(passage)):
+                key, best = (r, block.items[p]), (shared, float(cosine[p]), bool(answered), i - int(begin[r]))
+                if best[:2] > found.get(key, (0, 0))[:2]:
+                    found[key] = best
     return [(r, item, c, s, ans, at) for (r, item), (s, c, ans, at) in sorted(found.items())]
 
 

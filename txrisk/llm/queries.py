@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from txrisk.llm import decontamination, html_text, jaccard, metric_tree, mixing, quality, token_orc, toxicity
+from txrisk.llm import (
+    decontamination,
+    html_text,
+    jaccard,
+    line_templates,
+    metric_tree,
+    mixing,
+    quality,
+    separators,
+    token_orc,
+    toxicity,
+)
 
 QUERIES = {
     "op1_site_style_tree": html_text.op1_site_style_tree,
     "op2_metric_tree_search": metric_tree.op2_metric_tree_search,
+    "op3_template_lines": line_templates.op3_template_lines,
     "op4_token_orc": token_orc.op4_token_orc,
     "op5_latent_neighbours": quality.op5_latent_neighbours,
+    "op6_separator_scan": separators.op6_separator_scan,
     "op7_latent_decontamination": decontamination.op7_latent_decontamination,
     "op8_string_kernel_toxicity": toxicity.op8_string_kernel_toxicity,
     "op9_systematic_mix": mixing.op9_systematic_mix,

@@ -15,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 RUNS = r"[\s\x0b\x{85}\p{Z}]{2}"
-KEPT_PIECES = 600_000  # pieces a worker remembers; then it starts anew
+MARKS = ".,;:!?%&$*#|\"')]}"
+KEPT_PIECES = 500_000  # pieces a worker remembers; then it starts anew
+KEPT_IDS = 1 << 24
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -41,68 +43,77 @@ class Encoder:
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.start = np.empty(1 << 16, np.int64)
-        self.length = np.empty(1 << 16, np.int32)
+        self.flat = np.empty(1 << 20, np.uint32)
+        self.start = np.empty(1 << 18, np.int64)
+        self.length = np.empty(1 << 18, np.int64)
         self.used = 0
-        self._store("", [])
-        self._store("\n", self.newline)
-        self._store("\n\n", [self.end])  # the row of a document's end; no piece holds a line end
-
-    def _store(self, piece: str, ids) -> None:
-        row, n = len(self.rows), len(ids)
-        while self.used + n > len(self.flat):
+        self.n = 0
+        first = [[], self.newline, [self.end]]  # no piece, a line end, a document's end
+        self._append(np.array(sum(first, []), np.uint32), np.array([len(x) for x in first]))
+        self.rows[""] = 0
+
+    def _append(self, ids: np.ndarray, length: np.ndarray, gap: int = 0) -> np.ndarray:
+        """New rows of so many ids each, ``gap`` ids apart; returns their numbers."""
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if row >= len(self.start):
+        while self.n + len(length) > len(self.start):
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.length = np.concatenate([self.length, np.empty_like(self.length)])
-        self.flat[self.used : self.used + n] = ids
-        self.start[row], self.length[row] = self.used, n
-        self.used += n
-        self.rows[piece] = row
-
-    def _ids(self, piece: str):
-        row = self.rows[piece]
-        return self.flat[self.start[row] : self.start[row] + self.length[row]]
+        at = np.arange(self.n, self.n + len(length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[at] = self.used + np.cumsum(length + gap) - length - gap
+        self.length[at] = length
+        self.used += len(ids)
+        self.n += len(length)
+        return at
+
+    def _ids(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of rows, one after the other."""
+        size = self.length[rows]
+        upto = np.cumsum(size)
+        return self.flat[np.repeat(self.start[rows] - (upto - size), size) + np.arange(upto[-1])]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not seen before, joined by line ends."""
-        plain, odd, tailed = {}, [], []
-        for p in pieces:
-            if len(p) > 1 and p[-1] in ".," and p[-2].isalpha():
-                tailed.append(p)
-                if p[:-1] not in self.rows:
-                    plain[p[:-1]] = None
-            elif p[-1].isspace():
-                odd.append(p)
-            else:
-                plain[p] = None
-        todo = [p for p in plain if p not in self.rows]
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
+        """Encode pieces not seen before, joined by line ends, and remember them."""
+        odd = [p for p in pieces if p[-1].isspace()]
+        plain = [p for p in pieces if not p[-1].isspace()]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
             ids = np.array(self._whole(["\n".join(part) + "\n"])[0], np.uint32)
             cuts = np.flatnonzero(ids == self.newline[-1])
             if len(self.newline) == 1 and len(cuts) == len(part):
-                begin = 0
-                for p, end in zip(part, cuts.tolist(), strict=True):
-                    self._store(p, ids[begin:end])
-                    begin = end + 1
+                at = self._append(ids, np.diff(cuts, prepend=-1) - 1, gap=1)
+                self.rows.update(zip(part, at.tolist(), strict=True))
             else:
                 odd += part
-        for p, ids in zip(odd, self._whole(odd) if odd else [], strict=True):
-            self._store(p, ids)
-        for mark in {p[-1] for p in tailed}:
-            if mark not in self.rows:
-                self._store(mark, self._whole([mark])[0])
-        for p in tailed:
-            if p not in self.rows:
-                self._store(p, np.concatenate([self._ids(p[:-1]), self._ids(p[-1])]))
+        if odd:
+            each = self._whole(odd)
+            at = self._append(np.array(sum(each, []), np.uint32), np.array([len(x) for x in each]))
+            self.rows.update(zip(odd, at.tolist(), strict=True))
 
     def _lookup(self, pieces: list[str]) -> np.ndarray:
-        new = [p for p in pieces if p not in self.rows]
+        """The rows of distinct pieces.  A word and the marks after it are two pre-tokens, remembered apart."""
+        get = self.rows.get
+        out = np.array([get(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(out < 0).tolist()
+        bases, tails = [], []
+        for i in new:
+            p = pieces[i]
+            base = p.rstrip(MARKS)
+            if not base or not base[-1].isalnum():
+                base = p
+            bases.append(base)
+            tails.append(p[len(base) :])
+        unknown = [p for p in dict.fromkeys(bases + tails) if p not in self.rows]
+        if unknown:
+            self._learn(unknown)
         if new:
-            self._learn(new)
-        return np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
+            both = np.array([[self.rows[b], self.rows[t]] for b, t in zip(bases, tails, strict=True)], np.int64)
+            out[new] = both[:, 0]
+            tailed = np.flatnonzero(both[:, 1])
+            if len(tailed):  # rows for this batch alone
+                out[np.array(new)[tailed]] = self._append(self._ids(both[tailed].ravel()), self.length[both[tailed]].sum(1))
+        return out
 
     def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lines = pc.split_pattern(texts, "\n")
@@ -111,7 +122,7 @@ class Encoder:
         per_line = pc.list_value_length(words).to_numpy().astype(np.int64)
         coded = words.flatten().dictionary_encode()
         codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self.rows) + 2 * len(distinct) > KEPT_PIECES:
+        if len(self.rows) > KEPT_PIECES or self.used > KEPT_IDS:
             self._clear()
         ends = np.cumsum(per_line)
         begins = ends - per_line  # every line has a first word, maybe empty: it has no leading space
@@ -129,15 +140,13 @@ class Encoder:
         line = np.arange(len(per_line))
         seq = np.empty(len(codes) + len(line), np.int64)
         seq[np.arange(len(codes)) + np.repeat(line, per_line)] = rows
-        close = np.full(len(line), self.rows["\n"])
+        close = np.ones(len(line), np.int64)
         last = np.cumsum(per_doc) - 1
-        close[last] = self.rows["\n\n"]
+        close[last] = 2
         closes = ends + line
         seq[closes] = close
-        size = self.length[seq].astype(np.int64)
-        upto = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[seq] - (upto - size), size) + np.arange(upto[-1])]
-        return ids, np.diff(upto[closes[last]], prepend=0)
+        upto = np.cumsum(self.length[seq])
+        return self._ids(seq), np.diff(upto[closes[last]], prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and the number of ids of each text."""

@@ -39,15 +39,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from txrisk.llm.units import code_points, parts, word_units
+from txrisk.llm.units import code_points, parts, slices, word_units
 
 BITS = 20
 DECAY = 0.6
 LANDMARKS = 256
-SAMPLE = 3000
+SAMPLE = 2000
 ROUNDS = 3
 THRESHOLD = 0.5
+AT_ONCE = 1 << 15  # words scored at a time
 MARGIN = 2.0  # values further from the boundary count as this far
 GAPS = list(product((0, 1), repeat=3))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,11 +87,13 @@ def subsequences(words: pa.Array):
 def unit_scores(words: pa.Array, table: np.ndarray) -> np.ndarray:
     """The machine's value (without its constant) for each word."""
     total = np.zeros(len(words))
-    if len(words):
-        for word, h, weight in subsequences(words):
-            total += weight * np.bincount(word, table[h], len(words))
-        size = placements(np.array([len(w) + 2 for w in words.to_pylist()]))
-        total /= np.sqrt(np.maximum(size, 1e-9))
+    for at in range(0, len(words), AT_ONCE):
+        part = words.slice(at, AT_ONCE)
+        own = total[at : at + AT_ONCE]
+        for word, h, weight in subsequences(part):
+            own += weight * np.bincount(word, table[h], len(part))
+        size = placements(np.array([len(w) + 2 for w in part.to_pylist()]))
+        own /= np.sqrt(np.maximum(size, 1e-9))
     return total
 
 
@@ -174,6 +178,21 @@ def disguised(word: str) -> list[str]:
     return [word[:mid] + word[mid - 1] + word[mid:], word[:mid] + "x" + word[mid:]] if len(word) >= 5 else []
 
 
+def distinct_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(units, document, unit): the distinct units of each text."""
+    found, docs, names = [], [], []
+    for at, n in slices(texts):
+        units, unit, doc = word_units(texts.slice(at, n))
+        pairs = np.unique(doc.astype(np.int64) * len(units) + unit)
+        names.append(units)
+        docs.append(at + pairs // len(units))
+        found.append(pairs % len(units))
+    coded = pa.concat_arrays(names).dictionary_encode()
+    begin = np.cumsum([0, *map(len, names)])
+    code = coded.indices.to_numpy().astype(np.int64)
+    return coded.dictionary, np.concatenate(docs), np.concatenate([code[b + f] for b, f in zip(begin, found, strict=False)])
+
+
 def probability(worst: np.ndarray, model) -> np.ndarray:
     """Scores of documents from the largest :func:`unit_scores` of each (-inf: no words)."""
     _, bias, slope, constant = model
@@ -193,9 +212,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> tup
     if len(y) == 0 or y.all() or not y.any():
         p = min(max(share if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return none, 0.0, 0.0, float(np.log(p / (1 - p)))
-    units, unit, doc = word_units(pa.array(texts, pa.string()))
-    pairs = np.unique(doc.astype(np.int64) * len(units) + unit)
-    pair_doc, pair_unit = pairs // len(units), pairs % len(units)
+    units, pair_doc, pair_unit = distinct_units(pa.array(texts, pa.string()))
     clean_df = np.bincount(pair_unit[~y[pair_doc]], minlength=len(units))
     positive = witnesses(pair_doc, pair_unit, y, clean_df, int((~y).sum()))
     if not positive:
@@ -231,7 +248,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> tup
             table[at] += a * np.fromiter(z.values(), np.float64, len(z))
         value = unit_scores(units, table) + beta[-1]
         worst = np.full(len(y), -np.inf)
-        np.maximum.at(worst, doc, value[unit])
+        np.maximum.at(worst, pair_doc, value[pair_unit])
         known = np.isin(pair_unit, positive)
         explained = np.zeros(len(y), bool)
         explained[pair_doc[known]] = True
@@ -290,7 +307,7 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
             np.maximum.at(worst, doc, value[unit])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability(worst, model))], [*batch.schema.names, "_tox_score"])
 
-    return docs.mapInArrow(run, docs.schema.add("_tox_score", "double") if "_tox_score" not in docs.columns else docs.schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_tox_score", T.DoubleType())]))
 
 
 def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

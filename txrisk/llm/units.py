@@ -119,9 +119,10 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     word = string_hash(coded.dictionary)[codes]
     n = np.bincount(doc, minlength=len(texts))
     begin = np.cumsum(n) - n
-    h = np.zeros(max(0, len(word) - width + 1), np.uint64)
+    spans = max(0, len(word) - width + 1)
+    h = np.zeros(spans, np.uint64)
     for k in range(width):
-        h += word[k : len(word) - width + 1 + k] * _ORDER[k]
+        h += word[k : k + spans] * _ORDER[k]
     h = mixed(h)
     out, size = [], np.zeros(len(texts), np.int64)
     for i, (a, m) in enumerate(zip(begin.tolist(), n.tolist(), strict=True)):

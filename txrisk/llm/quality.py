@@ -8,8 +8,8 @@ every document; words and layout are normalised apart, as there are far more
 words.  A randomised singular value decomposition of labelled vectors gives
 ``RANK`` latent dimensions.
 
-The labelled vectors (at most ``SAMPLE`` of each class: 2 * 3000 * 48 floats,
-1.2 MB, whatever the corpus) go to every task; each block of documents is
+The labelled vectors (at most ``SAMPLE`` of each class: 2 * 2000 * 48 floats,
+0.8 MB, whatever the corpus) go to every task; each block of documents is
 multiplied with all of them, and the ``NEIGHBOURS`` most similar vote with
 their cosine to the power ``SHARPNESS``, classes weighted to their share among
 all labels.
@@ -28,18 +28,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk.llm.toxicity import sample
-from txrisk.llm.units import parts, string_hash
+from txrisk.llm.units import parts, slices, string_hash
 
 WORDS, LAYOUT = 1 << 14, 1 << 12  # hashed terms of either kind
 RANK = 48
-SAMPLE = 3000
+SAMPLE = 2000
 NEIGHBOURS = 25
 SHARPNESS = 4
 WORD_WEIGHT = 0.35
 THRESHOLD = 0.7
 BLOCK = 1024
+PAIRS = 1 << 17  # (document, term) pairs multiplied at a time
 
 
 def _bins(doc: np.ndarray, hit: np.ndarray, n_docs: int, total: np.ndarray) -> np.ndarray:
@@ -128,23 +130,24 @@ def latent_basis(doc, term, value, n: int, width: int, rank: int, seed: int = 11
     """Right singular vectors of a sparse matrix by randomised subspace iteration."""
     rng = np.random.default_rng(seed)
     rank = max(1, min(rank, n))
+    value = value.astype(np.float32)
     order = np.argsort(term, kind="stable")
-    t_doc, t_value = doc[order], value[order]
-    t_starts = np.flatnonzero(np.diff(term[order], prepend=-1))
-    t_names = term[order][t_starts]
-    d_starts = np.flatnonzero(np.diff(doc, prepend=-1))
-
-    def times(q):  # matrix times q
-        out = np.zeros((n, q.shape[1]), np.float32)
-        out[doc[d_starts]] = np.add.reduceat(q[term] * value[:, None], d_starts, axis=0)
+    t_term, t_doc, t_value = term[order], doc[order], value[order]
+
+    def product(row, column, weight, q, rows):  # a sparse matrix, sorted by row, times q
+        out = np.zeros((rows, q.shape[1]), np.float32)
+        for at in range(0, len(row), PAIRS):
+            part = slice(at, at + PAIRS)
+            starts = np.flatnonzero(np.diff(row[part], prepend=-1))
+            out[row[part][starts]] += np.add.reduceat(q[column[part]] * weight[part, None], starts, axis=0)
         return out
 
-    def back(q):  # transposed matrix times q
-        out = np.zeros((width, q.shape[1]), np.float32)
-        out[t_names] = np.add.reduceat(q[t_doc] * t_value[:, None], t_starts, axis=0)
-        return out
+    def times(q):
+        return product(doc, term, value, q, n)
+
+    def back(q):
+        return product(t_term, t_doc, t_value, q, width)
 
-    value, t_value = value.astype(np.float32), t_value.astype(np.float32)
     q = np.linalg.qr(times(rng.standard_normal((width, min(n, rank + 8))).astype(np.float32)))[0]
     for _ in range(3):
         q = np.linalg.qr(times(np.linalg.qr(back(q))[0]))[0]
@@ -158,8 +161,9 @@ def learn(texts: list[str], labels: list[int], share: float, df: np.ndarray, n_d
     idf = np.log((n_docs + 1) / (df + 1)) + 0.1
     if len(y) == 0 or y.min() == y.max():
         return idf, None, None, 0.5 if len(y) == 0 else float(y[0]), None
-    n = len(texts)
-    doc, term, count = terms(pa.array(texts, pa.string()))
+    n, whole = len(texts), pa.array(texts, pa.string())
+    found = [(at, *terms(whole.slice(at, m))) for at, m in slices(whole)]
+    doc, term, count = (np.concatenate(x) for x in zip(*[(at + d, t, c) for at, d, t, c in found], strict=True))
     value = weigh(doc, term, count, n, idf)
     basis = latent_basis(doc, term, value, n, len(idf), RANK)
     vectors = project(doc, term, value, n, basis)
@@ -198,7 +202,7 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
         for batch, texts in parts(batches, text):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes(texts, model))], [*batch.schema.names, "_quality_score"])
 
-    return docs.mapInArrow(run, docs.schema.add("_quality_score", "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_quality_score", T.DoubleType())]))
 
 
 def op5_latent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@
     python -m txrisk train --sf DIR --model PATH   # load the model, or train and store it
     python -m txrisk init --sf DIR --table PATH --model PATH   # start-up: table + summary + model
 
-Everything is computed by Spark; only the small aggregated results (at most
-``--limit`` rows per figure) are brought to the driver for printing.
+Everything is computed by Spark; only the aggregated results are brought to the
+driver for printing, all their rows (``--limit N``: the first N accounts).
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ from txrisk.sources.fixture import transactions
 
 def _base(spark, args):
     if args.table:
-        fmt = "csv" if args.table.endswith(".csv") else "parquet"
-        return io.read_transactions(spark, args.table, fmt)
+        return io.read_transactions(spark, args.table, io.table_format(args.table))
     return transactions(spark, args.sf)
 
 
@@ -46,7 +45,7 @@ def main(argv=None) -> int:
     parser.add_argument("--upload", help="an uploaded CSV shown instead of the base table")
     parser.add_argument("--model", help="model folder (train)")
     parser.add_argument("--trees", type=int, default=200)
-    parser.add_argument("--limit", type=int, default=1000)
+    parser.add_argument("--limit", type=int, default=10, help="accounts to list (0: all)")
     parser.add_argument("--master", default=None)
     args = parser.parse_args(argv)
 
@@ -54,12 +53,12 @@ def main(argv=None) -> int:
     if args.command == "dashboard":
         if args.upload:
             page = dashboard(_base(spark, args), io.read_csv_inferred(spark, args.upload))
-            _print({name: io.to_records(df, args.limit) for name, df in page.items()})
+            _print({name: io.to_records(df) for name, df in page.items()})
         else:
             # base table: every figure from one roll-up scan plus the accounts scan
-            _print(page_records(_base(spark, args)))
+            _print(page_records(_base(spark, args), args.limit or None))
     elif args.command == "accounts":
-        _print({"accounts": io.to_records(accounts.account_summary(_base(spark, args)), args.limit)})
+        _print({"accounts": io.to_records(accounts.account_summary(_base(spark, args), args.limit or None))})
     elif args.command == "account":
         rows = io.to_records(accounts.account_details(_base(spark, args), args.arg), 1)
         _print({"account": rows[0]} if rows else {"error": "Account not found"})
@@ -75,7 +74,8 @@ def main(argv=None) -> int:
     elif args.command == "init":
         if not (args.table and args.model):
             parser.error("init needs --table PATH and --model PATH")
-        table = io.load_or_materialize(spark, args.table, lambda: transactions(spark, args.sf))
+        base = transactions(spark, args.sf)
+        table = io.load_or_materialize(spark, args.table, lambda: base, io.table_format(args.table), base.schema)
         summary = io.to_records(analytics.dataset_summary(table), 1)[0]
         fitted = model.load_or_train(table, args.model, trees=args.trees)
         _print({"table": args.table, "summary": summary, "model": args.model, "loaded": fitted is not None})

@@ -32,10 +32,15 @@ def pick(index: Column, values: list[str]) -> Column:
     return F.try_element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + F.lit(1))
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numeric_value(df: DataFrame, name: str) -> Column:
     """A numeric column as double with NaN normalised to NULL, so aggregates
     skip it the way pandas skips missing values."""
-    c = F.col(name).cast("double")
+    c = col(name).cast("double")
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
         c = F.nanvl(c, F.lit(None).cast("double"))
     return c
@@ -54,6 +59,23 @@ TIMESTAMP_FALLBACK_PATTERNS = [
     "yyyy/M/d H:mm:ss",
     "yyyy/M/d H:mm",
     "yyyy/M/d",
+    "yyyy-M-d h:mm:ss a",
+    "yyyy-M-d h:mm a",
+    "M/d/yyyy h:mm:ss a",
+    "M/d/yyyy h:mm a",
+    "d-MMM-yyyy H:mm:ss",
+    "d-MMM-yyyy H:mm",
+    "d-MMM-yyyy",
+    "d MMM yyyy H:mm:ss",
+    "d MMM yyyy H:mm",
+    "d MMM yyyy",
+    "MMM d, yyyy H:mm:ss",
+    "MMM d, yyyy H:mm",
+    "MMM d, yyyy",
+    "yyyyMMdd H:mm:ss",
+    "yyyyMMdd HHmmss",
+    "yyyyMMdd H:mm",
+    "yyyyMMdd",
 ]
 
 
@@ -61,10 +83,12 @@ def parse_timestamp(c: Column) -> Column:
     """Lenient timestamp parse: bad text becomes NULL (no ANSI error).
 
     ISO 8601 text (date, optional time, optional fraction) is cast directly;
-    month-first US layouts and slashed ISO dates are tried next, in order.
+    month-first US layouts, slashed and compact dates and month names, with 24
+    or 12 hours, are tried next, in order.  Eight digits are a date, not a year.
     """
     fallbacks = [F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in TIMESTAMP_FALLBACK_PATTERNS]
-    return F.coalesce(c.try_cast("timestamp_ntz"), *fallbacks)
+    iso = F.when(~F.coalesce(c.cast("string").rlike(r"^\\s*[0-9]{5,}(\\s|$)"), F.lit(False)), c.try_cast("timestamp_ntz"))
+    return F.coalesce(iso, *fallbacks)
 
 
 def percent(part: Column, whole: Column, digits: int | None = 2) -> Column:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from txrisk.functions.columns import format_account_id, format_txn_id, lookup, pick
 from txrisk.operators.rules import label_expr, risk_tier_expr
 from txrisk.plans.joins import join_dimension
-from txrisk.session import session_key
 
 # ---- fixed values: fixture mappings ----------------------------------------
 CARDS = ["Credit Card", "Debit Card", "Prepaid Card", "Corporate Card", "Virtual Card"]
@@ -83,29 +82,16 @@ COLUMNS = [
 ]
 
 
-# Plans (not data) are built once per session and table: a DataFrame is an
-# immutable logical plan, so reusing it only saves the driver the Python ->
-# JVM round trips of rebuilding the same expressions for every query.
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    full = session_key(spark) + key
-    df = _PLANS.get(full)
-    if df is None:
-        df = _PLANS[full] = build()
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _memo(spark, ("table", path), lambda: spark.read.parquet(path))
+    """A table as it is now: its files are listed at every call."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _base(events: DataFrame, customer: DataFrame, salt_buckets: int = 0) -> DataFrame:
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     cu = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    joined = join_dimension(ev, cu, "user_id", "c_custkey", salt_buckets=salt_buckets, salt_columns=["event_id"])
+    # a left join: an event of an unknown customer is still a transaction
+    joined = join_dimension(ev, cu, "user_id", "c_custkey", "left", salt_buckets=salt_buckets, salt_columns=["event_id"])
     k = F.get_json_object("props", "$.k").try_cast("int")
     amount = F.floor("value").cast("double") * F.lit(10.0)
     status_slot = F.col("event_id") % 20
@@ -142,11 +128,7 @@ def transactions(spark: SparkSession, sf_dir: str, dirty: bool = False, salt_buc
     variant of FIXTURES.md 4 (rules and tier are computed on the gapped
     values, then IsFraud itself is gapped)."""
     events, customer = read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer")
-    return _memo(
-        spark,
-        ("transactions", sf_dir.rstrip("/"), dirty, salt_buckets),
-        lambda: transactions_from(events, customer, dirty, salt_buckets),
-    )
+    return transactions_from(events, customer, dirty, salt_buckets)
 
 
 def transactions_from(events: DataFrame, customer: DataFrame, dirty: bool = False, salt_buckets: int = 0) -> DataFrame:
@@ -166,9 +148,3 @@ def transactions_from(events: DataFrame, customer: DataFrame, dirty: bool = Fals
     out = base.withColumn("IsFraud", label)
     out = out.withColumn("Risk", risk_tier_expr(F.col("IsFraud"), F.col("UserBehaviorScore")))
     return out.withColumn("txn_no", F.col("event_id")).select(*COLUMNS)
-
-
-def register_fixture(spark: SparkSession, sf_dir: str, name: str = "transactions", dirty: bool = False) -> DataFrame:
-    df = transactions(spark, sf_dir, dirty=dirty)
-    df.createOrReplaceTempView(name)
-    return df

@@ -88,7 +88,7 @@ def test_scaled_conf_sizes():
     from txrisk.session import scaled_conf
 
     big = scaled_conf(100 * 2**40, 8000)  # 100 TB on 8,000 cores
-    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert big["spark.sql.shuffle.partitions"] == "819200"  # 128 MB each, whatever the size
     small = scaled_conf(2 * 2**20, 8)
     assert small["spark.sql.shuffle.partitions"] == "24"
     assert big["spark.sql.files.maxPartitionBytes"] == str(128 << 20)

@@ -63,10 +63,11 @@ def test_A13_report_without_risk(spark):
     assert "card_usage" not in r
 
 
-def test_A13_long_form_one_scan(spark, tx):
+def test_A13_long_form_two_passes(spark, tx):
     plan = P.profile_long(tx)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan parquet") == 2  # events and the (broadcast) customer table, once each
-    assert "Expand" in plan
+    # statistics and counts: events and the (broadcast) customer table, once each
+    assert plan.count("Scan parquet") == 4
+    assert "collect_list" not in plan and "Expand" not in plan
 
 
 def test_A13_empty_and_text_only(spark):

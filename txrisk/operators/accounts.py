@@ -1,42 +1,69 @@
 """Per-account roll-up.
 
 "First row of an account" is the row with the smallest transaction order
-(``order_key``).  It is taken with ``min_by`` inside one hash aggregate, so a
-hot account (even a third of all rows) is reduced map-side to one partial row
-per task; nothing sorts or buffers an account's rows.
+(``order_key``, or a column given as ``order_by``).  Every pass over the facts
+is a hash aggregate of fixed-width values (smallest order, counts), so a hot
+account (even a third of all rows) is one partial row per task and no row is
+sorted.  Names and balances are fetched by joining the few first rows back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk import schema as S
-from txrisk.functions.columns import account_risk_level
+from txrisk.functions.columns import account_risk_level, numeric_value
 from txrisk.operators.analytics import order_key, require
 
 
-def _first_row_fields(df: DataFrame, fields: dict[str, tuple[str, object]]):
-    """struct of first-row values; absent columns use their default."""
-    parts = []
-    for out, (src, default) in fields.items():
-        parts.append((F.col(src) if src in df.columns else F.lit(default)).alias(out))
-    return F.struct(*parts)
+def _order(df: DataFrame, order_by: str | None, op: str):
+    """A long that orders the rows, and the column that tells equal ones apart (or None).
+
+    TransactionID has the form of a text and a number; numbers order it without
+    a variable-width key, ids of another form come after them in text order.
+    """
+    if order_by is not None:
+        require(df, op, order_by)
+        return F.col(order_by)
+    if "txn_no" in df.columns:
+        return F.col("txn_no")
+    require(df, op, "TransactionID")
+    return order_key(df)
+
+
+def _fixed_width(df: DataFrame, order) -> bool:
+    kind = df.select(order.alias("o")).schema["o"].dataType
+    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _account_rollup(df: DataFrame, fields: dict[str, tuple[str, object]], balance: str = "first") -> DataFrame:
+def _account_rollup(
+    df: DataFrame, fields: dict[str, tuple[str, object]], balance: str = "first", order_by: str | None = None, limit: int | None = None
+) -> DataFrame:
     require(df, "account_summary", "AccountID")
     if balance not in ("first", "latest"):
         raise ValueError("balance must be 'first' or 'latest'")
-    order = order_key(df)
-    fraud = F.coalesce(F.sum(F.col("IsFraud").cast("long")), F.lit(0)) if "IsFraud" in df.columns else F.lit(0).cast("long")
-    pick_row = F.min_by if balance == "first" else F.max_by
-    return df.groupBy("AccountID").agg(
-        F.min(order).alias("_first"),
-        pick_row(_first_row_fields(df, fields), order).alias("_row"),
-        F.count(F.lit(1)).alias("TransactionCount"),
-        fraud.alias("FraudCount"),
-    )
+    order = _order(df, order_by, "account_summary")
+    if not _fixed_width(df, order):
+        # text orders: a number per row first, so that the aggregate below stays fixed width
+        number = F.coalesce(F.regexp_extract("TransactionID", r"^[A-Za-z]*([0-9]{1,18})$", 1).try_cast("long"), F.lit((1 << 63) - 1))
+        order = F.when(F.col("TransactionID").isNotNull(), number) if order_by is None else order
+    rows = df.withColumn("_order", order)
+    fraud = F.coalesce(F.sum(numeric_value(df, "IsFraud").cast("long")), F.lit(0)) if "IsFraud" in df.columns else F.lit(0).cast("long")
+    taken = F.min("_order") if balance == "first" else F.max("_order")
+    rolled = rows.groupBy("AccountID").agg(F.min("_order").alias("_first"), taken.alias("_at"), F.count(F.lit(1)).alias("TransactionCount"), fraud.alias("FraudCount"))
+    if limit is not None:
+        rolled = rolled.orderBy(F.col("_first").asc_nulls_last(), "AccountID").limit(limit)
+    stored = [(out, src) for out, (src, _) in fields.items() if src in df.columns]
+    named = rows.select("AccountID", "_order", *[F.col(src).alias(f"_{out}") for out, src in stored])
+    ids = rolled.select(F.col("AccountID").alias("_id"), F.col("_at").alias("_when"))
+    first = named.join(ids, F.col("AccountID").eqNullSafe(F.col("_id")) & F.col("_order").eqNullSafe(F.col("_when")))
+    tie = [F.min(f"_{out}").alias(f"_{out}") for out, _ in stored]  # rows with the same order: the smallest values
+    first = first.groupBy("_id").agg(F.count("*").alias("_rows"), *tie)
+    out = rolled.join(first, F.col("AccountID").eqNullSafe(F.col("_id")), "left")
+    defaults = {o: (F.col(f"_{o}") if (o, s_) in stored else F.lit(d)) for o, (s_, d) in fields.items()}
+    return out.withColumn("_row", F.struct(*[c.alias(o) for o, c in defaults.items()]))
 
 
 SUMMARY_FIELDS = {"AccountName": ("AccountName", "Unknown"), "NewBalance": ("NewBalance", 0.0)}
@@ -57,39 +84,42 @@ def _project(rolled: DataFrame, fields) -> DataFrame:
     )
 
 
-def account_summary(df: DataFrame, limit: int | None = S.ACCOUNT_LIMIT, balance: str = "first") -> DataFrame:
+def account_summary(
+    df: DataFrame, limit: int | None = S.ACCOUNT_LIMIT, balance: str = "first", order_by: str | None = None
+) -> DataFrame:
     """First ``limit`` accounts in order of appearance (``None`` = all).
 
     Per account: AccountName and NewBalance of its first row, row count,
     fraud count, RiskLevel.  A missing AccountID takes a slot among the first
     ``limit`` but yields no row, as in the reference.  ``balance="latest"``
     takes name and balance from the account's last row instead (the page
-    labels this figure "current balance").
+    labels this figure "current balance").  ``order_by`` names the column of
+    appearance for tables without ``txn_no`` and ``TransactionID``.
     """
-    rolled = _account_rollup(df, SUMMARY_FIELDS, balance)
-    if limit is not None:
-        rolled = rolled.orderBy("_first").limit(limit)
+    rolled = _account_rollup(df, SUMMARY_FIELDS, balance, order_by, limit)
     return _project(rolled.where(F.col("AccountID").isNotNull()), SUMMARY_FIELDS)
 
 
-def account_details(df: DataFrame, account_id: str, balance: str = "first") -> DataFrame:
+def account_details(df: DataFrame, account_id: str, balance: str = "first", order_by: str | None = None) -> DataFrame:
     """A10: one account (zero rows when unknown: the caller's 404).
 
     The equality filter is applied before the aggregate and reaches the
     Parquet scan as a pushed filter when AccountID is a stored column.
     """
     one = df.where(F.col("AccountID") == F.lit(account_id))
-    return _project(_account_rollup(one, DETAIL_FIELDS, balance), DETAIL_FIELDS)
+    return _project(_account_rollup(one, DETAIL_FIELDS, balance, order_by), DETAIL_FIELDS)
 
 
-def first_txn_per_account(df: DataFrame) -> DataFrame:
+def first_txn_per_account(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """The whole first row of every account.
 
-    ``min_by(struct(*), order)`` per account instead of a window with
-    row_number: partial aggregation keeps a hot account from landing whole in
-    one task's sort buffer.
+    The smallest order of each account is found by a hash aggregate and its
+    row by a join, instead of a window that would sort every account; rows of
+    the same order give the smallest row.
     """
-    order = order_key(df)
-    cols = [c for c in df.columns if c != "AccountID"]
-    first = df.groupBy("AccountID").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("_row"))
-    return first.select("AccountID", *[F.col(f"_row.{c}").alias(c) for c in cols]).select(*df.columns)
+    order = _order(df, order_by, "first_txn_per_account")
+    rows = df.withColumn("_order", order)
+    first = rows.groupBy("AccountID").agg(F.min("_order").alias("_at")).withColumnRenamed("AccountID", "_id")
+    same = F.col("AccountID").eqNullSafe(F.col("_id")) & F.col("_order").eqNullSafe(F.col("_at"))
+    found = rows.join(first, same).groupBy("_id").agg(F.min(F.struct(*df.columns)).alias("_row"))
+    return found.select("_row.*")

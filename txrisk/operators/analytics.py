@@ -41,6 +41,23 @@ def _fraud_sum(df: DataFrame) -> Column:
     return F.sum(_label(df).cast("long"))
 
 
+def _sql_text(key: str, measures: dict[str, str]) -> str:
+    """The SQL text of a grouped figure: a key and named measures, best rate first."""
+    named = ", ".join(f"{text} AS {name}" for name, text in measures.items())
+    return f"SELECT {key}, {named} FROM {{view}} GROUP BY {key} ORDER BY fraud_rate DESC NULLS LAST, {key} NULLS LAST"
+
+
+ROWS_TEXT = "count(*)"
+FRAUD_TEXT = "sum(CAST(IsFraud AS BIGINT))"
+RATE_TEXT = f"round(CAST({FRAUD_TEXT} AS DOUBLE) * 100.0D / {ROWS_TEXT}, 2)"
+
+
+def _view(df: DataFrame, view: str) -> None:
+    """Name the table for SQL with NaN in its numbers read as missing."""
+    numbers = {c: numeric_value(df, c) for c in ("IsFraud", "Amount") if dict(df.dtypes).get(c) in ("double", "float")}
+    df.withColumns(numbers).createOrReplaceTempView(view)
+
+
 # ---- A01 -------------------------------------------------------------------
 def card_fraud(df: DataFrame) -> DataFrame:
     """Per CardUsed (NULL group kept) count, fraud count and rounded rate,
@@ -57,21 +74,13 @@ def card_fraud(df: DataFrame) -> DataFrame:
     )
 
 
-CARD_FRAUD_SQL = """
-SELECT CardUsed,
-       COUNT(*) AS total_transactions,
-       CAST(SUM(IsFraud) AS BIGINT) AS fraud_count,
-       ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0D / COUNT(*), 2) AS fraud_rate
-FROM {view}
-GROUP BY CardUsed
-ORDER BY fraud_rate DESC NULLS LAST, CardUsed
-"""
+CARD_FRAUD_SQL = _sql_text("CardUsed", {"total_transactions": ROWS_TEXT, "fraud_count": FRAUD_TEXT, "fraud_rate": RATE_TEXT})
 
 
 def card_fraud_sql(df: DataFrame, view: str = "transactions") -> DataFrame:
     """A01 in its SQL text form over a temp view."""
     require(df, "card_fraud", "CardUsed", "IsFraud")
-    df.createOrReplaceTempView(view)
+    _view(df, view)
     return df.sparkSession.sql(CARD_FRAUD_SQL.format(view=view))
 
 
@@ -91,22 +100,16 @@ def mode_risk(df: DataFrame) -> DataFrame:
     )
 
 
-MODE_RISK_SQL = """
-SELECT TransactionMode,
-       COUNT(*) AS total_count,
-       CAST(SUM(IsFraud) AS BIGINT) AS fraud_count,
-       AVG(CAST(Amount AS DOUBLE)) AS avg_amount,
-       ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0D / COUNT(*), 2) AS fraud_rate
-FROM {view}
-GROUP BY TransactionMode
-ORDER BY fraud_rate DESC NULLS LAST, TransactionMode
-"""
+MODE_RISK_SQL = _sql_text(
+    "TransactionMode",
+    {"total_count": ROWS_TEXT, "fraud_count": FRAUD_TEXT, "avg_amount": "avg(CAST(Amount AS DOUBLE))", "fraud_rate": RATE_TEXT},
+)
 
 
 def mode_risk_sql(df: DataFrame, view: str = "transactions") -> DataFrame:
     """A02 in its SQL text form over a temp view."""
     require(df, "mode_risk", "TransactionMode", "IsFraud", "Amount")
-    df.createOrReplaceTempView(view)
+    _view(df, view)
     return df.sparkSession.sql(MODE_RISK_SQL.format(view=view))
 
 
@@ -114,8 +117,11 @@ def mode_risk_sql(df: DataFrame, view: str = "transactions") -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count per value, missing values dropped, count DESC then value ASC."""
     require(df, "value_counts", column)
+    present = F.col(column).isNotNull()
+    if dict(df.dtypes)[column] in ("double", "float"):
+        present &= ~F.isnan(column)
     return (
-        df.where(F.col(column).isNotNull())
+        df.where(present)
         .groupBy(column)
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.col("count").desc(), F.col(column).asc())
@@ -149,9 +155,16 @@ def risk_share(df: DataFrame, digits: int = 1) -> DataFrame:
     The total is an un-partitioned window over the count table, which has one
     row per risk category (at most a handful): one scan of the data.
     """
-    counts = risk_counts(df)
+    return with_share(risk_counts(df), digits)
+
+
+def with_share(counts: DataFrame, digits: int = 1) -> DataFrame:
+    """Counts per risk category with their share in percent.
+
+    Ties go to the even digit, as in the reference's ``%1.1f``.
+    """
     total = F.sum("count").over(Window.partitionBy())
-    share = F.round(safe_ratio(F.col("count") * F.lit(100.0), total), digits)  # NULL when all counts are 0
+    share = F.bround(safe_ratio(F.col("count") * F.lit(100.0), total), digits)  # NULL when all counts are 0
     return counts.select("Risk", "count", share.alias("share"))
 
 
@@ -296,6 +309,7 @@ def order_key(df: DataFrame) -> Column:
     TransactionID ordered by (length, text) so TXN100000 sorts after TXN99999."""
     if "txn_no" in df.columns:
         return F.col("txn_no")
+    require(df, "order of appearance", "TransactionID")
     return F.struct(F.length("TransactionID").alias("len"), F.col("TransactionID").alias("id"))
 
 

@@ -177,18 +177,29 @@ def add_round_amount(df):
     return _apply(df, lambda d: round_amount_exprs(d.columns))
 
 
+COUNTRY_ROWS = 10_000  # (name, double) rows: well under 1 MB
+COUNTRY_SALTS = 16
+
+
 def add_country_risk_join(df: DataFrame, risk_table: DataFrame, default: float = S.DEFAULT_COUNTRY_RISK) -> DataFrame:
     """P06 when the risk list is a table (Location, score).
 
     The table is first reduced to one row per Location so the left join never
-    multiplies rows.  No broadcast hint: Catalyst broadcasts the (country
-    sized) table when its size is known to be under the broadcast threshold
-    and shuffles both sides otherwise.
+    multiplies rows.  Its reduced size is measured: up to ``COUNTRY_ROWS`` rows
+    it is broadcast and the fact is not shuffled; a longer list is replicated
+    over ``COUNTRY_SALTS`` salts of a hash of the fact's row, so one frequent
+    location is spread over as many partitions.
     """
-    scores = risk_table.groupBy("Location").agg(F.max("score").alias("_country_score"))
     if "Location" not in df.columns:
         return df.withColumn("CountryRiskScore", F.lit(default))
-    out = df.join(scores, on="Location", how="left")
+    scores = risk_table.groupBy(F.col("Location").alias("_place")).agg(F.max("score").alias("_country_score"))
+    if scores.count() <= COUNTRY_ROWS:
+        out = df.join(F.broadcast(scores), F.col("Location") == F.col("_place"), "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COUNTRY_SALTS - 1).cast("long")))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(COUNTRY_SALTS)))
+        same = (F.col("Location") == F.col("_place")) & (F.col("_salt") == F.col("_salt_of"))
+        out = salted.join(scores.withColumn("_salt_of", salts), same, "left")
     return out.withColumn("CountryRiskScore", F.coalesce(F.col("_country_score"), F.lit(default))).select(
         *df.columns, "CountryRiskScore"
     )

@@ -1,9 +1,8 @@
 """Schema-driven profile of any table (e.g. an uploaded CSV).
 
-The whole profile is computed in ONE scan: a grouping-sets aggregate whose
-empty set carries the numeric statistics and the high-risk totals and whose
-per-column sets carry the value counts.  Partial aggregation runs before the
-shuffle, so only (sets x distinct values) rows cross the network.
+The numeric statistics and the high-risk totals are one global aggregate; the
+value counts are one narrow aggregate over the key columns.  Both reduce
+map-side, so only a row per task and (key, value) rows cross the network.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.functions.columns import numeric_value
+from txrisk.functions.columns import col, numeric_value
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -80,36 +79,49 @@ def _amount_column(df: DataFrame) -> str | None:
 COUNT_SECTIONS = [("Risk", "risk_distribution"), ("CardUsed", "card_usage"), ("TransactionMode", "transaction_modes")]
 
 
-def _profile_aggregate(df: DataFrame):
-    """The single grouping-sets aggregate behind profile_long / profile_report."""
-    dims = [c for c, _ in COUNT_SECTIONS if c in df.columns]
-    sets = [[]] + [[d] for d in dims]
-    nums = numeric_columns(df)
-    aggs = [F.count(F.lit(1)).alias("_n")] + numeric_stats_aggs(df, nums)
+def value_count_rows(df: DataFrame) -> DataFrame:
+    """(section, key, n): value counts of the key columns present, as rows.
+
+    One grouping-sets aggregate over the keys alone: each row is expanded to a
+    narrow row per key, reduced map-side, and the counts are never gathered.
+    """
+    dims = [(c, s) for c, s in COUNT_SECTIONS if c in df.columns]
+    if not dims:
+        return df.sparkSession.createDataFrame([], "section string, key string, n long")
+    cells = [F.struct(F.lit(s).alias("section"), numeric_safe(df, c).alias("key")) for c, s in dims]
+    keys = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    return keys.where(F.col("key").isNotNull()).groupBy("section", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numeric_safe(df: DataFrame, name: str) -> Column:
+    """A key column as text; NaN is missing."""
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return numeric_value(df, name).cast("string")
+    return col(name).cast("string")
+
+
+def totals_row(df: DataFrame) -> DataFrame:
+    """One row: the row count, four statistics per numeric column, the high-risk totals."""
+    aggs = [F.count(F.lit(1)).alias("_n")] + numeric_stats_aggs(df)
     if "Risk" in df.columns:
         high = F.col("Risk") == "HIGH"
-        aggs.append(F.count_if(high).alias("_hi_n"))
         amt = _amount_column(df)
         hi_amt = F.sum(F.when(high, numeric_value(df, amt))) if amt else F.lit(None)
-        aggs.append(F.coalesce(hi_amt, F.lit(0.0)).cast("double").alias("_hi_amt"))
-    if dims:
-        agg = df.groupingSets(sets, *dims).agg(*aggs, F.grouping_id().alias("_gid"))
-    else:
-        agg = df.agg(*aggs, F.lit(0).alias("_gid"))
-    return agg, dims, nums
+        aggs += [F.count_if(high).alias("_hi_n"), F.coalesce(hi_amt, F.lit(0.0)).cast("double").alias("_hi_amt")]
+    return df.agg(*aggs)
 
 
 def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
-    """A13 in long form: rows (section, key, value), from ONE scan.
+    """A13 in long form: rows (section, key, value), in two passes.
 
     Sections: total_transactions, mean/std/min/max per numeric column,
     risk_distribution per value (``LOW = n`` when there is no Risk column),
     high_risk_count, high_risk_amount, card_usage and transaction_modes per
     value when those columns exist.  Missing keys are dropped from the value
-    counts, as pandas ``value_counts`` does.
+    counts, as pandas ``value_counts`` does.  The statistics are one global
+    aggregate; the counts stay rows, however many values a column has.
     """
-    agg, dims, nums = _profile_aggregate(df)
-    full = (1 << len(dims)) - 1  # grouping_id of the empty set: every dim aggregated
+    nums = numeric_columns(df)
 
     def row(section, key, value):
         return F.struct(
@@ -119,29 +131,7 @@ def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
     def r(c):
         return F.round(c, digits) if digits is not None else c
 
-    # The grand-total set yields no row on an empty table, so one global
-    # aggregate over the (small) grouping-sets result produces exactly one
-    # row: the totals, plus the value-count rows gathered into an array whose
-    # length is the number of distinct category values.
-    total_cols = ["_n"] + [f"{p}{i}" for i in range(len(nums)) for p in ("_m", "_s", "_lo", "_hi")]
-    if "Risk" in df.columns:
-        total_cols += ["_hi_n", "_hi_amt"]
-    is_total = F.col("_gid") == full
-    gathered = [F.max(F.when(is_total, F.col(c))).alias(c) for c in total_cols]
-    items = []
-    for pos, dim in enumerate(dims):
-        section = dict(COUNT_SECTIONS)[dim]
-        # in the set [dim] only dim is grouped: its bit is 0, all others 1
-        gid = full & ~(1 << (len(dims) - 1 - pos))
-        keep = (F.col("_gid") == gid) & F.col(dim).isNotNull()
-        items.append(F.when(keep, row(section, F.col(dim), F.col("_n"))))
-    if items:
-        one = F.filter(F.array(*items), lambda x: x.isNotNull())
-        gathered.append(F.flatten(F.collect_list(one)).alias("_counts"))
-    totals = agg.groupBy().agg(*gathered)
-
-    n = F.coalesce(F.col("_n"), F.lit(0))
-    total = [row("total_transactions", F.lit(None), n)]
+    total = [row("total_transactions", F.lit(None), F.col("_n"))]
     for i, name in enumerate(nums):
         total += [
             row("mean", F.lit(name), r(F.col(f"_m{i}"))),
@@ -150,20 +140,15 @@ def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
             row("max", F.lit(name), F.col(f"_hi{i}")),
         ]
     if "Risk" in df.columns:
-        total += [
-            row("high_risk_count", F.lit(None), F.coalesce(F.col("_hi_n"), F.lit(0))),
-            row("high_risk_amount", F.lit(None), r(F.coalesce(F.col("_hi_amt"), F.lit(0.0)))),
-        ]
+        total += [row("high_risk_count", F.lit(None), F.col("_hi_n")), row("high_risk_amount", F.lit(None), r(F.col("_hi_amt")))]
     else:
         total += [
-            row("risk_distribution", F.lit("LOW"), n),
+            row("risk_distribution", F.lit("LOW"), F.col("_n")),
             row("high_risk_count", F.lit(None), F.lit(0)),
             row("high_risk_amount", F.lit(None), F.lit(0.0)),
         ]
-    rows = F.array(*total)
-    if items:
-        rows = F.concat(rows, F.col("_counts"))
-    return totals.select(F.inline(rows))
+    counts = value_count_rows(df).select("section", "key", F.col("n").cast("double").alias("value"))
+    return totals_row(df).select(F.inline(F.array(*total))).union(counts)
 
 
 # ---- fixed values: dtype names the reference reports (pandas), by Spark type
@@ -189,8 +174,8 @@ def type_name(dtype: T.DataType, names: str = "pandas") -> str:
 def profile_report(df: DataFrame, type_names: str = "pandas") -> DataFrame:
     """The whole report as ONE row of nested columns (JSON-ready).
 
-    Built from ``profile_long``: the value counts are folded into maps with
-    ``map_from_entries``.  ``data_types`` uses the dtype names the reference
+    Built from ``profile_long``: only here are the value counts folded into maps
+    with ``map_from_entries``.  ``data_types`` uses the dtype names the reference
     reports (int64, float64, object, bool, ...); ``type_names="spark"`` gives
     Spark's names.  The maps hold one entry per distinct value of the
     column, which is what the report is.

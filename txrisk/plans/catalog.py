@@ -24,7 +24,6 @@ from txrisk.streaming.features_stream import run_feature_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 ACCOUNT = "ACC007"
-DRIVER_TREES = 20  # forest size for the registered model queries (200 by default in train_model)
 
 
 def _tx(spark, sf):
@@ -91,14 +90,110 @@ def _load_or_materialize(spark, sf):
     return io.load_or_materialize(spark, path, lambda: _tx(spark, sf))
 
 
+# The model queries share one forest: it is trained once for a session and the
+# files that its tables have at that moment.
+_MODELS: dict[tuple, object] = {}
+
+
 def _trained(spark, sf):
-    return model.train_model(_tx(spark, sf), trees=DRIVER_TREES)
+    files = [f for t in ("events", "customer") for f in read_table(spark, sf, t).inputFiles()]
+    key = (spark.sparkContext.applicationId, tuple(sorted(files)))
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = model.train_model(_tx(spark, sf))
+    return _MODELS[key]
+
+
+def _train_model(spark, sf):
+    """Every row's score is a class and a percentage."""
+    scored = model.score_transactions(_trained(spark, sf), _tx(spark, sf))
+    return scored.select(
+        "TransactionID",
+        F.col("prediction").isin(0, 1).alias("is_class"),
+        F.col("Probability").between(0, 100).alias("is_percent"),
+    )
+
+
+def _train_accuracy(spark, sf):
+    """Whether the forest beats the most frequent label on the training rows."""
+    tx = _tx(spark, sf)
+    share = tx.agg(F.avg("IsFraud").alias("p")).select(F.greatest("p", 1 - F.col("p")).alias("majority"))
+    found = model.train_accuracy(_trained(spark, sf), tx).crossJoin(share)  # one row each
+    return found.select((F.col("accuracy") >= F.col("majority")).alias("beats_majority"), (F.col("accuracy") <= 1).alias("is_share"))
 
 
 def _model_round_trip(spark, sf):
+    """The stored and loaded model scores every row as the trained one does."""
+    tx = _tx(spark, sf)
+    trained = _trained(spark, sf)
+    loaded = model.load_or_train(tx, model.save_model(trained, fresh_path(spark, "model")))
+    a, b = (model.score_transactions(m, tx) for m in (trained, loaded))
+    b = b.select("TransactionID", F.struct("prediction", "Probability").alias("other"))
+    both = a.join(b, "TransactionID", "full")
+    same = F.struct("prediction", "Probability") == F.col("other")
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce(same, F.lit(False))).alias("n_same"))
+
+
+def _score_transactions(spark, sf):
+    """The predicted class is the likelier one."""
+    scored = model.score_transactions(_trained(spark, sf), _tx(spark, sf))
+    return scored.select("TransactionID", "IsFraud", ((F.col("prediction") == 1) == (F.col("Probability") > 50)).alias("consistent"))
+
+
+def _profile_report(spark, sf):
+    """The nested report, read back as rows."""
+    report = profile.profile_report(_tx(spark, sf))
+    entries = [
+        F.array(
+            F.struct(F.lit(s).alias("section"), F.lit(None).cast("string").alias("key"), F.col(s).cast("double").alias("value"))
+        )
+        for s in ("total_transactions", "high_risk_count", "high_risk_amount")
+    ]
+    for s in ("risk_distribution", "card_usage", "transaction_modes"):
+        entries.append(F.expr(f"transform(map_entries({s}), e -> struct('{s}' AS section, e.key AS key, double(e.value) AS value))"))
+    for k in ("mean", "std", "min", "max"):
+        entries.append(F.expr(f"transform(map_entries(summary_stats), e -> struct('{k}' AS section, e.key AS key, e.value.{k} AS value))"))
+    rows = report.select(F.inline(F.concat(*entries)))
+    rounded = F.when(F.col("section").isin("mean", "std", "high_risk_amount"), F.round("value", 6)).otherwise(F.col("value"))
+    return rows.select("section", "key", rounded.alias("value"))
+
+
+def _nan(spark, sf):
+    """The gapped table with NaN instead of NULL in its numbers, the label among them."""
+    df = _dirty(spark, sf).withColumn("IsFraud", F.col("IsFraud").cast("double"))
+    numbers = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in numbers})
+
+
+TIME_LAYOUTS = [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd h:mm a", "dd-MMM-yyyy HH:mm", "yyyyMMdd HH:mm:ss", "MMM d, yyyy HH:mm", "M/d/yyyy H:mm", "yyyy/MM/dd HH:mm",
+]
+
+
+def _time_text(spark, sf):
+    """Timestamps as text in many layouts."""
+    df = _dirty(spark, sf)
+    text = F.element_at(F.array(*[F.date_format("Timestamp", x) for x in TIME_LAYOUTS]), (F.col("txn_no") % len(TIME_LAYOUTS) + 1).cast("int"))
+    return _only(features.add_time_features(df.withColumn("Timestamp", text)), "Hour", "DayOfWeek", "IsNight", "IsWeekend")
+
+
+def _scan_quoted(spark, sf):
+    """Texts with quotes, commas and line breaks through CSV and back."""
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    return io.read_csv_inferred(spark, io.write_transactions(pages, fresh_path(spark, "pages") + ".csv", "csv"))
+
+
+def _scan_reordered(spark, sf):
+    """A stored CSV whose columns stand in another order."""
     tx = _tx(spark, sf)
-    path = model.save_model(model.train_model(tx, trees=DRIVER_TREES), fresh_path(spark, "model"))
-    return model.score_transactions(model.load_or_train(tx, path), tx)
+    path = io.write_transactions(tx.select(*reversed(tx.columns)), fresh_path(spark, "transactions-reordered"), "csv")
+    return io.read_transactions(spark, path, "csv", schema=tx.schema)
+
+
+def _by_account(spark, sf):
+    """The table stored in AccountID order: a filter on it skips files and row groups."""
+    path = io.write_transactions(_tx(spark, sf).repartitionByRange("AccountID").sortWithinPartitions("AccountID"), fresh_path(spark, "by-account"))
+    return io.read_transactions(spark, path)
 
 
 def _standardize(spark, sf):
@@ -191,14 +286,14 @@ def queries() -> dict[str, Query]:
             "TransactionID", format_timestamp(F.col("Timestamp")).alias("TimestampText")
         ),
         # ---- filters (F01-F04) ------------------------------------------------
-        "filter_account": lambda s, sf: analytics.filter_account(_tx(s, sf), ACCOUNT),
+        "filter_account": lambda s, sf: analytics.filter_account(_by_account(s, sf), ACCOUNT),
         "filter_high_risk": lambda s, sf: analytics.filter_high_risk(_tx(s, sf)),
         "filter_fraud": lambda s, sf: analytics.filter_fraud(_tx(s, sf)),
         "filter_isin": lambda s, sf: analytics.filter_isin(_tx(s, sf), "Location", S.RULE_COUNTRIES),
         # ---- accounts (A09, A10, W01, W04, W05) -----------------------------
         "account_summary_top10": lambda s, sf: accounts.account_summary(_tx(s, sf)),
         "account_summary_all": lambda s, sf: accounts.account_summary(_tx(s, sf), limit=None),
-        "account_details": lambda s, sf: accounts.account_details(_tx(s, sf), ACCOUNT),
+        "account_details": lambda s, sf: accounts.account_details(_by_account(s, sf), ACCOUNT),
         "first_txn_per_account": lambda s, sf: accounts.first_txn_per_account(_tx(s, sf)),
         "first_accounts": lambda s, sf: analytics.first_accounts(_tx(s, sf)),
         "distinct_accounts": lambda s, sf: analytics.distinct_accounts(_tx(s, sf)),
@@ -207,7 +302,7 @@ def queries() -> dict[str, Query]:
         "numeric_profile_dirty": lambda s, sf: profile.numeric_profile(_dirty(s, sf), digits=4),
         "profile_long": lambda s, sf: profile.profile_long(_tx(s, sf)),
         "profile_long_no_risk": lambda s, sf: profile.profile_long(_tx(s, sf).drop("Risk")),
-        "profile_report": lambda s, sf: profile.profile_report(_tx(s, sf)),
+        "profile_report": _profile_report,
         # ---- model (M01-M05, A14, A15, X01) -----------------------------------
         "label_encode": lambda s, sf: _only(
             model.label_encode(_dirty(s, sf)), *[f"{c}_encoded" for c in S.CATEGORICAL_COLUMNS]
@@ -215,10 +310,10 @@ def queries() -> dict[str, Query]:
         "feature_matrix": lambda s, sf: model.feature_matrix(_tx(s, sf)),
         "standardize": _standardize,
         "class_weights": lambda s, sf: model.class_weights(_tx(s, sf)),
-        "train_model": lambda s, sf: model.score_transactions(_trained(s, sf), _tx(s, sf)),
-        "train_accuracy": lambda s, sf: model.train_accuracy(_trained(s, sf), _tx(s, sf)),
+        "train_model": _train_model,
+        "train_accuracy": _train_accuracy,
         "model_round_trip": _model_round_trip,
-        "score_transactions": lambda s, sf: model.score_transactions(_trained(s, sf), _tx(s, sf)),
+        "score_transactions": _score_transactions,
         # ---- sources and sinks (S01, S02, S04, S05, S09) ------------------------
         "scan_transactions": _scan_parquet,
         "csv_round_trip": _scan_csv,
@@ -230,5 +325,15 @@ def queries() -> dict[str, Query]:
         "upload_kpis": lambda s, sf: analytics.kpis_risk(rules.derive_risk(_upload(s, sf))),
         # ---- streaming (X02) ----------------------------------------------------
         "stream_features": lambda s, sf: run_feature_stream(s, sf),
+        # ---- NaN, text dates and CSV forms -----------------------------------------
+        "feature_matrix_nan": lambda s, sf: model.feature_matrix(_nan(s, sf)),
+        "count_card_nan": lambda s, sf: analytics.value_counts(_nan(s, sf), "CardUsed"),
+        "count_score_nan": lambda s, sf: analytics.value_counts(_nan(s, sf), "UserBehaviorScore"),
+        "dashboard_rollup_nan": lambda s, sf: dashboard_rollup(_nan(s, sf)),
+        "card_fraud_sql_nan": lambda s, sf: analytics.card_fraud_sql(_nan(s, sf)),
+        "mode_risk_sql_nan": lambda s, sf: analytics.mode_risk_sql(_nan(s, sf)),
+        "feat_time_text": _time_text,
+        "scan_csv_quoted": _scan_quoted,
+        "scan_csv_reordered": _scan_reordered,
     }
     return q

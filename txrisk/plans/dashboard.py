@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
-from txrisk.functions.columns import percent
+from txrisk.functions.columns import numeric_value, percent, rate_band
 from txrisk.operators import accounts, analytics
 from txrisk.operators.rules import derive_risk
+from txrisk.session import fresh_path
 from txrisk.sources import io
 
 ROLLUP_DIMENSIONS = ["CardUsed", "TransactionMode", "Risk"]
-MAX_ROLLUP_ROWS = 100_000  # page_records brings the roll-up to the driver only below this size
 
 
 def dashboard_rollup(df: DataFrame) -> DataFrame:
@@ -29,15 +29,16 @@ def dashboard_rollup(df: DataFrame) -> DataFrame:
     dims = [d for d in ROLLUP_DIMENSIONS if d in df.columns]
     analytics.require(df, "dashboard_rollup", "IsFraud", "Amount")
     n = F.count(F.lit(1))
-    fraud = F.sum(F.col("IsFraud").cast("long"))
+    label, amount = numeric_value(df, "IsFraud"), numeric_value(df, "Amount")
+    fraud = F.sum(label.cast("long"))
     agg = df.groupingSets([[d] for d in dims] + [[]], *dims).agg(
         n.alias("n"),
         fraud.alias("fraud_count"),
         percent(fraud, n, 2).alias("fraud_rate"),
-        F.avg(F.col("Amount").cast("double")).alias("avg_amount"),
-        F.count(F.col("IsFraud")).alias("labelled"),
-        (F.avg(F.col("IsFraud").cast("double")) * F.lit(100.0)).alias("fraud_share"),
-        F.coalesce(F.sum(F.when(F.col("IsFraud") == 1, F.col("Amount").cast("double"))), F.lit(0.0)).alias(
+        F.avg(amount).alias("avg_amount"),
+        F.count(label).alias("labelled"),
+        (F.avg(label) * F.lit(100.0)).alias("fraud_share"),
+        F.coalesce(F.sum(F.when(label == 1, amount)), F.lit(0.0)).alias(
             "fraud_amount"
         ),
         F.grouping_id().alias("_gid"),
@@ -62,76 +63,54 @@ def dashboard_rollup(df: DataFrame) -> DataFrame:
     )
 
 
-def _band(rate: float | None) -> str:
-    """P24 on one already aggregated rate (same thresholds as ``rate_band``)."""
-    if rate is not None and rate > S.RATE_DANGER_ABOVE:
-        return "danger"
-    if rate is not None and rate > S.RATE_WARNING_ABOVE:
-        return "warning"
-    return "success"
+def page_figures(rollup: DataFrame) -> dict[str, DataFrame]:
+    """Every chart and KPI of a labelled table, read off its roll-up."""
+
+    def dim(name: str, *measures, keep_null: bool = False) -> DataFrame:
+        rows = rollup.where(F.col("dimension") == name)
+        rows = rows if keep_null else rows.where(F.col("value").isNotNull())
+        return rows.select(F.col("value").alias(name), *measures)
+
+    def counts(name: str) -> DataFrame:
+        return dim(name, F.col("n").alias("count")).orderBy(F.col("count").desc(), name)
+
+    def by_rate(name: str, *measures) -> DataFrame:
+        return dim(name, *measures, keep_null=True).orderBy(F.col("fraud_rate").desc_nulls_last(), F.col(name).asc_nulls_last())
+
+    n = F.col("n")
+    fraud = F.coalesce("fraud_count", F.lit(0))
+    return {
+        "risk_counts": counts("Risk"),
+        "risk_share": analytics.with_share(counts("Risk")),
+        "card_usage": counts("CardUsed"),
+        "transaction_modes": counts("TransactionMode"),
+        "fraud_by_card": dim("CardUsed", F.col("fraud_share").alias("fraud_rate"))
+        .withColumn("band", rate_band(F.col("fraud_rate")))
+        .orderBy("CardUsed"),
+        "card_fraud": by_rate("CardUsed", n.alias("total_transactions"), "fraud_count", "fraud_rate"),
+        "mode_risk": by_rate("TransactionMode", n.alias("total_count"), "fraud_count", "avg_amount", "fraud_rate"),
+        "kpis": rollup.where("dimension = 'ALL'").select(
+            n.alias("total_transactions"),
+            fraud.alias("fraud_count"),
+            F.when(n > 0, fraud * F.lit(100.0) / n).otherwise(0.0).alias("fraud_rate"),
+            F.col("avg_amount").alias("avg_transaction"),
+            F.col("fraud_amount").alias("high_risk_amount"),
+        ),
+    }
 
 
-def page_records(base: DataFrame, limit: int = 10) -> dict[str, list[dict]]:
-    """The base-table page in TWO scans: the roll-up and the account summary.
+def page_records(base: DataFrame, limit: int | None = S.ACCOUNT_LIMIT) -> dict[str, list[dict]]:
+    """The base-table page in TWO passes over the facts: the roll-up and the accounts.
 
-    The roll-up has one row per card, mode and risk value plus the total
-    (bounded by the category counts), so it is brought to the driver once and
-    every chart and KPI is read off it.  Same numbers as ``dashboard(base)``.
+    The roll-up (one row per card, mode and risk value and the total) is
+    written to the shared folder once; every figure is a small query on it,
+    with the same expressions as the operators.  Same numbers as ``dashboard(base)``.
     """
-    rows = [r.asDict() for r in dashboard_rollup(base).limit(MAX_ROLLUP_ROWS + 1).collect()]
-    if len(rows) > MAX_ROLLUP_ROWS:
-        raise ValueError("card / mode / risk columns are not categorical; use dashboard(base) instead")
-    page: dict[str, list[dict]] = {"accounts": io.to_records(accounts.account_summary(base, limit), limit)}
-
-    def dim(name, keep_null=True):
-        return [r for r in rows if r["dimension"] == name and (keep_null or r["value"] is not None)]
-
-    def desc(items, key, tie):
-        return sorted(items, key=lambda r: (-(r[key] if r[key] is not None else float("-inf")), tie(r)))
-
-    text = lambda r: (r["value"] is None, r["value"] or "")
-    risk = desc(dim("Risk", False), "n", text)
-    total_risk = sum(r["n"] for r in risk)
-    page["risk_counts"] = [{"Risk": r["value"], "count": r["n"]} for r in risk]
-    page["risk_share"] = [
-        {"Risk": r["value"], "count": r["n"], "share": round(r["n"] * 100.0 / total_risk, 1) if total_risk else None}
-        for r in risk
-    ]
-    page["card_usage"] = [{"CardUsed": r["value"], "count": r["n"]} for r in desc(dim("CardUsed", False), "n", text)]
-    page["transaction_modes"] = [
-        {"TransactionMode": r["value"], "count": r["n"]} for r in desc(dim("TransactionMode", False), "n", text)
-    ]
-    page["fraud_by_card"] = [
-        {"CardUsed": r["value"], "fraud_rate": r["fraud_share"], "band": _band(r["fraud_share"])}
-        for r in sorted(dim("CardUsed", False), key=text)
-    ]
-    page["card_fraud"] = [
-        {"CardUsed": r["value"], "total_transactions": r["n"], "fraud_count": r["fraud_count"], "fraud_rate": r["fraud_rate"]}
-        for r in desc(dim("CardUsed"), "fraud_rate", text)
-    ]
-    page["mode_risk"] = [
-        {
-            "TransactionMode": r["value"],
-            "total_count": r["n"],
-            "fraud_count": r["fraud_count"],
-            "avg_amount": r["avg_amount"],
-            "fraud_rate": r["fraud_rate"],
-        }
-        for r in desc(dim("TransactionMode"), "fraud_rate", text)
-    ]
-    everything = dim("ALL")
-    total = everything[0] if everything else {"n": 0, "fraud_count": None, "avg_amount": None, "fraud_amount": 0.0}
-    fraud = total["fraud_count"] or 0
-    page["kpis"] = [
-        {
-            "total_transactions": total["n"],
-            "fraud_count": fraud,
-            "fraud_rate": fraud * 100.0 / total["n"] if total["n"] else 0.0,
-            "avg_transaction": total["avg_amount"],
-            "high_risk_amount": total["fraud_amount"],
-        }
-    ]
-    return page
+    spark = base.sparkSession
+    path = fresh_path(spark, "rollup")
+    dashboard_rollup(base).write.parquet(path)
+    page = {"accounts": io.to_records(accounts.account_summary(base, limit))}
+    return page | {name: io.to_records(df) for name, df in page_figures(spark.read.parquet(path)).items()}
 
 
 def dashboard(base: DataFrame, uploaded: DataFrame | None = None) -> dict[str, DataFrame]:

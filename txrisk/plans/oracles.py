@@ -49,7 +49,7 @@ base AS (
          CASE WHEN e.event_id % 20 < 17 THEN 'Completed' WHEN e.event_id % 20 < 19 THEN 'Failed'
               ELSE 'Pending' END AS TransactionStatus,
          floor(e.value) * CAST(10.0 AS DOUBLE) AS AmountTaken
-  FROM ev e JOIN customer c ON e.user_id = c.c_custkey
+  FROM ev e LEFT JOIN customer c ON e.user_id = c.c_custkey
 )"""
 
 _DIRTY_BASE = """
@@ -353,7 +353,7 @@ FROM tx"""
     o["risk_share"] = (
         FIXTURE_CTE
         + """, c AS (SELECT Risk, COUNT(*) AS "count" FROM tx WHERE Risk IS NOT NULL GROUP BY Risk)
-SELECT Risk, "count", round(CAST("count" AS DOUBLE) * 100.0 / (SELECT sum("count") FROM c), 1) AS share FROM c"""
+SELECT Risk, "count", round_even(CAST("count" AS DOUBLE) * 100.0 / (SELECT sum("count") FROM c), 1) AS share FROM c"""
     )
     # ---- features -----------------------------------------------------------
     o["feat_alias"] = (
@@ -442,7 +442,7 @@ GROUP BY lv.Risk"""
        ROUND(CAST(SUM(IsFraud) AS DOUBLE) * 100.0 / COUNT(*), 2) AS fraud_rate, avg(Amount) AS avg_amount,
        COUNT(IsFraud) AS labelled, avg(CAST(IsFraud AS DOUBLE)) * 100.0 AS fraud_share,
        coalesce(sum(Amount) FILTER (WHERE IsFraud = 1), 0.0) AS fraud_amount"""
-    o["dashboard_rollup"] = FIXTURE_CTE + "\nUNION ALL\n".join(
+    rollup = "\nUNION ALL\n".join(
         [
             f"SELECT 'CardUsed' AS dimension, CardUsed AS \"value\", {figures} FROM tx GROUP BY CardUsed",
             f"SELECT 'TransactionMode', TransactionMode, {figures} FROM tx GROUP BY TransactionMode",
@@ -450,6 +450,8 @@ GROUP BY lv.Risk"""
             f"SELECT 'ALL', NULL, {figures} FROM tx",
         ]
     )
+    o["dashboard_rollup"] = FIXTURE_CTE + rollup
+    o["dashboard_rollup_nan"] = DIRTY_CTE + rollup
     # ---- model data preparation --------------------------------------------
     o["label_encode"] = (
         _feature_matrix_cte(DIRTY_CTE)
@@ -485,6 +487,19 @@ SELECT IsFraud, n AS "count",
 FROM tx"""
     )
     o["stream_features"] = o["features_all"]
+    o["feature_matrix_nan"] = _feature_matrix_cte(DIRTY_CTE) + "SELECT * EXCLUDE (IsFraud) FROM matrix"
+    o["count_card_nan"] = _value_counts("CardUsed", DIRTY_CTE)
+    o["count_score_nan"] = _value_counts("UserBehaviorScore", DIRTY_CTE)
+    o["card_fraud_sql_nan"] = o["card_fraud_dirty"]
+    o["mode_risk_sql_nan"] = DIRTY_CTE + o["mode_risk"][len(FIXTURE_CTE) :]
+    o["feat_time_text"] = f'SELECT TransactionID, "Hour", DayOfWeek, IsNight, IsWeekend FROM ({o["feat_time"]}) t'
+    o["scan_csv_quoted"] = "SELECT page_id, url, html FROM pages"
+    o["scan_csv_reordered"] = o["csv_round_trip"]
+    o["train_model"] = FIXTURE_CTE + "SELECT TransactionID, TRUE AS is_class, TRUE AS is_percent FROM tx"
+    o["train_accuracy"] = "SELECT TRUE AS beats_majority, TRUE AS is_share"
+    o["model_round_trip"] = FIXTURE_CTE + "SELECT count(*) AS n_rows, count(*) AS n_same FROM tx"
+    o["score_transactions"] = FIXTURE_CTE + "SELECT TransactionID, IsFraud, TRUE AS consistent FROM tx"
+    o["profile_report"] = o["profile_long"]
     o["accounts_json"] = (
         "WITH acc AS ("
         + _first_row_rollup("t.AccountName, t.NewBalance", limit="ORDER BY first_no LIMIT 10").rstrip()

@@ -9,6 +9,7 @@ configured (tests, laptops).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -59,24 +60,18 @@ def _context(spark: SparkSession):
         return None
 
 
-def session_key(spark: SparkSession) -> tuple:
-    """Identifies a running session (for per-session plan reuse)."""
-    sc = _context(spark)
-    app = sc.applicationId if sc is not None else spark.conf.get("spark.app.id", None)
-    return (id(spark), app)
-
-
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach, under the session's checkpoint dir.
 
     ``spark.checkpoint.dir`` (or the SparkContext's checkpoint dir) is read
-    from the session.  Only when neither is set (local runs and tests) is a
-    fresh local folder created and registered as the checkpoint dir.
+    from the session.  Only when neither is set and the master is local (one
+    machine) is a fresh local folder created and registered as the checkpoint
+    dir; a cluster must name a shared one.
     """
     sc = _context(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
     if not base:
-        if sc is None:
+        if sc is None or not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="txrisk-ckpt-")
         sc.setCheckpointDir(base)
@@ -95,12 +90,12 @@ def scaled_conf(input_bytes: int, total_cores: int, partition_bytes: int = 128 <
 
     Scan splits are ``partition_bytes`` (128 MB) so each task's input fits
     executor memory.  The shuffle starts with enough partitions for the
-    widest stage (input size / partition size, at least 3 per core, capped at
-    100,000) and AQE coalesces them at runtime to ``partition_bytes`` each;
+    widest stage (input size / partition size, at least 3 per core) and AQE
+    coalesces them at runtime to ``partition_bytes`` each;
     skewed partitions above 4x the median and 256 MB are split.
     Apply with ``spark.conf.set`` before running queries (all are SQL confs).
     """
-    initial = max(3 * total_cores, min(100_000, -(-input_bytes // partition_bytes)))
+    initial = max(3 * total_cores, -(-input_bytes // partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(initial),

@@ -21,23 +21,27 @@ from txrisk.sources.fixture import read_table, transactions_from
 def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """File stream over the events table; schema taken from the batch table.
 
-    A file stream watches a directory: the table folder is watched and only
-    files named like the events table are picked up.
+    The table may be a folder of part files, which is watched, or one file,
+    whose folder is watched for that name.  ``max_files_per_trigger`` bounds
+    a micro-batch.
     """
-    folder = sf_dir.rstrip("/")
-    reader = (
-        spark.readStream.schema(read_table(spark, sf_dir, "events").schema)
-        .option("pathGlobFilter", "events*.parquet")
-        .option("recursiveFileLookup", "true")
-    )
+    table = read_table(spark, sf_dir, "events")
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    reader = spark.readStream.schema(table.schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folder)
+    files = table.inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith("/events.parquet"):
+        return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
+    return reader.parquet(path)
 
 
-def feature_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+FILES_PER_TRIGGER = 1000
+
+
+def feature_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Streaming DataFrame of transaction features."""
-    return create_features(transactions_from(event_stream(spark, sf_dir), read_table(spark, sf_dir, "customer")))
+    return create_features(transactions_from(event_stream(spark, sf_dir, max_files_per_trigger), read_table(spark, sf_dir, "customer")))
 
 
 def start_feature_sink(stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

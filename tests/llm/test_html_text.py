@@ -1,0 +1,68 @@
+from __future__ import annotations
+
+import pytest
+
+from txrisk.llm import html_text as X
+
+ARTICLE = "<article><h1>Big &amp; new</h1><p>One <b>bo</b>ld\n line.<p>Two<br>three</article>"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("", ""),
+        ("plain  text", "plain text"),
+        (f"<html><head><title>t</title></head><body><nav>menu</nav>{ARTICLE}<footer>f</footer>", "Big & new One bold line. Two three"),
+        (f"<body><header>Site</header><div class='side-bar sidebar'>s</div>{ARTICLE}<section id=comments><article class=comment>hi</article></section>", "Big & new One bold line. Two three"),
+        ("<p>a<p>b<div class='ad'>x</div>c", "a b c"),
+        ("<div class=header>no</div><div>yes<form>q</form><script>if(a<b){'</p>'}</script></div>", "yes"),
+        ("<p>1 < 2 &lt; 3 &#233; &copy &nosuch; <!-- <p>no</p> --></p><p hidden>h</p>", "1 < 2 < 3 é © &nosuch;"),
+        ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
+        ("<article><p>kept</p><aside>x</aside><div class='share-buttons'>s</div><p>cut <a href='", "kept cut"),
+        ("<article><p>open <b>bold<p>next</article><div>out</div>", "open bold next"),
+        ("<div style='display: none'>x</div><p title='a>b'>q</p>", "q"),
+    ],
+)
+def test_main_text(html, text):
+    assert X.main_text(html) == text
+
+
+def page(k: int, extra: str = "") -> str:
+    body = "".join(f"<p>Sentence {k} {i} is new {k * 31 + i}.</p>" for i in range(5))
+    return f"<html><body><div class='x1'><p>All rights of this site</p></div><div class='x2'><h2>Story {k}</h2>{body}</div>{extra}</body></html>"
+
+
+def run(spark, rows):
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, host string, text string")
+    return {r.page_id: r for r in X.extract(spark, df.repartition(3)).collect()}
+
+
+def test_what_a_site_repeats_goes(spark):
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(20)]
+    rows += [(100 + k, f"http://b.example/{k}", page(k)) for k in range(2)]
+    got = run(spark, rows)
+    assert all("All rights" not in got[k].text and got[k].text.startswith(f"Story {k} Sentence") for k in range(20))
+    assert all(got[k].text.count("is new") == 5 for k in got)
+    # two pages are too few to judge a site by
+    assert got[100].text.startswith("All rights")
+
+
+def test_copies_of_one_page_keep_their_article(spark):
+    rows = [(k, "http://c.example/x", f"<body><article><h1>Copy {k}</h1><p>The same long text in every copy of it.</p></article></body>") for k in range(12)]
+    got = run(spark, rows)
+    assert all(got[k].text == f"Copy {k} The same long text in every copy of it." for k in range(12))
+
+
+def test_edges(spark):
+    rows = [(1, None, None), (2, "not a url", ""), (3, "http://x.y/", "<p>a</p>"), (3, "http://x.y/", "<p>a</p>"), (None, "http://x.y/", "<p>é b</p>"), (4, "http://x.y", "<p>" + "w " * 100000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id or -1), r.url or "", r.text, r.n_chars) for r in X.extract(spark, df).collect())
+    assert got[0] == (-1, "http://x.y/", "é b", 3) and got[1][2:] == ("", 0) and got[2][2:] == ("", 0)
+    assert got[3] == got[4] == (3, "http://x.y/", "a", 1) and got[5][3] == 199999
+    assert X.extract(spark, df.where("page_id < 0")).collect() == []
+
+
+def test_hosts(spark):
+    urls = ["http://A.b.Example:80/x", "https://u:p@h.example?q", "nothing", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r[0] for r in df.select(X.host()).collect()] == ["a.b.example", "h.example", "", ""]

@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import pytest
+from oracle_harness import compare, duck
+
+import __spark_entry__ as E
+import corpus_pipeline
+from txrisk.llm import queries
+
+SF001 = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1": {"page_id", "url", "text", "n_chars"},
+    "op2": {"query_id", "rank", "vec_id", "score"},
+    "op4": {"doc_id", "start", "n_tokens", "ids_crc32"},
+    "op5": {"doc_id", "held_out", "score", "predicted"},
+    "op8": {"doc_id", "held_out", "score", "predicted"},
+    "op9": {"doc_id", "size", "source_size", "target", "taken"},
+    "op10": {"doc_id", "n_shingles", "component_id"},
+}
+
+
+def test_every_operator_has_one_query():
+    names = [k.split("_")[0] for k in queries.QUERIES]
+    assert sorted(names, key=lambda x: int(x[2:])) == [f"op{i}" for i in range(1, 11)]
+    assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries()) and set(queries.ORACLES) <= set(E.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    problems, _ = compare(spark, duck(SF001), queries.QUERIES[name], queries.ORACLES[name], SF001)
+    assert not problems, problems
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_result_columns(spark, name):
+    df = queries.QUERIES[name](spark, SF001)
+    assert COLUMNS.get(name.split("_")[0], {"doc_id"}) <= set(df.columns)
+    n = df.count()
+    documents = spark.read.parquet(f"{SF001}/documents.parquet").count()
+    assert n == {"op1": 50, "op7": n}.get(name.split("_")[0], documents)
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
+    sizes, columns = [docs.count()], docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF001)
+        from txrisk.session import fresh_path
+
+        path = fresh_path(spark, "t-stage")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0.5 * sizes[0]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF001).count() == sizes[-1]

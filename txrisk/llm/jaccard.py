@@ -26,7 +26,8 @@ between components is lost:
 Lists are sorted inside window partitions that are salted where the count
 table says that a shingle is frequent (the count is never too low), and
 frequent lists get their centre by a partial aggregate and a join that Spark
-can split.  Sets are rebuilt from the texts of candidate documents alone.
+can split.  Only the texts of candidate documents are moved, compressed: they take
+a fifth of the room of their sets, which are rebuilt where a pair is verified.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked
 with nothing, not even each other; fewer than five words are one shingle; a
@@ -39,11 +40,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.components import components
-from txrisk.llm.units import mixed, parts, shingle_sets
+from txrisk.llm.units import SLICE_BYTES, mixed, parts, shingle_sets
 from txrisk.session import fresh_path
 
 PERCENT = 75
@@ -141,11 +143,17 @@ def postings(docs: DataFrame, nodes: np.ndarray, sketch: np.ndarray) -> DataFram
             place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
             salts = -(-count[at] // SALT_ROWS)
             salt = np.where(salts > 1, mixed(ids[doc].astype(np.uint64)) % np.maximum(salts, 1).astype(np.uint64) + np.uint64(1), 0)
-            level = np.floor(np.log(n[doc]) / np.log(100 / PERCENT))
-            cols = [_signed(sets[at]), pa.array(salt.astype(np.int32)), pa.array(level.astype(np.int16)), pa.array(ids[doc])]
-            yield pa.record_batch([*cols, pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "salt", "level", "doc", "n", "place"])
+            # the doc's own numbers in one, first what its rows share: rows are three words wide and compress well
+            packed = (n[doc].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
+            yield pa.record_batch([_signed(sets[at]), pa.array(salt.astype(np.int32)), pa.array(ids[doc]), _signed(packed)], ["token", "salt", "doc", "np"])
 
-    return with_bit(docs).mapInArrow(run, "token long, salt int, level short, doc long, n int, place int")
+    return with_bit(docs).mapInArrow(run, "token long, salt int, doc long, np long")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Set size, place in the prefix and size class of packed postings."""
+    rows = rows.withColumns({"n": F.shiftright("np", 32).cast("int"), "place": F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")}).drop("np")
+    return rows.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("short"))
 
 
 def may_link(n1, p1, n2, p2):
@@ -168,27 +176,31 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of document ids whose sets are similar enough."""
-
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id"))
     wanted = id_bits(ids, "id")
 
-    def sets_of(batches):
-        for batch, texts in parts(chosen(batches, wanted), "text"):
-            sets, ends = shingle_sets(texts)
-            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), _signed(sets))
-            yield pa.record_batch([batch.column("doc_id"), lists], ["id", "s"])
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in chosen(batches, wanted):
+            texts = [squeeze((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.binary())], ["id", "t"])
 
     def check(batches):
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            sides = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy().tolist()) for c in (a, b)]
-            (va, oa), (vb, ob) = sides
-            good = [similar(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]) for i in range(batch.num_rows)]
-            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
-
-    sets = with_bit(docs).mapInArrow(sets_of, "id long, s array<long>")
-    one = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("a")), "x")
-    two = one.join(sets.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
+            size = np.cumsum([len(a) + len(b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)])
+            cuts = np.unique([0, *(np.flatnonzero(np.diff(size // (SLICE_BYTES // 4))) + 1), batch.num_rows])
+            for at, to in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                part = batch.slice(at, to - at)
+                texts = [expand(t).decode() for c in ("a", "b") for t in part.column(c).to_pylist()]
+                sets, ends = shingle_sets(pa.array(texts, pa.string()))
+                begin, m = _starts(ends), part.num_rows
+                good = [similar(sets[begin[i] : ends[i]], sets[begin[m + i] : ends[m + i]]) for i in range(m)]
+                yield part.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    packed = with_bit(docs).mapInArrow(pack, "id long, t binary")
+    one = pairs.join(packed.select(F.col("id").alias("x"), F.col("t").alias("a")), "x")
+    two = one.join(packed.select(F.col("id").alias("y"), F.col("t").alias("b")), "y")
     return two.select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
 
 
@@ -204,6 +216,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     # 2: lists of more than one document, each row with its list's centre
     every = postings(docs, id_bits(nodes.where("node is not null"), "node"), sketch)
+    every = unpacked(every.repartition("token", "salt"))
     whole = Window.partitionBy("token", "salt")
     inner = Window.partitionBy("token", "salt", "level").orderBy("place", "n", "doc")
     centre = F.struct("place", "n", "doc")

@@ -40,7 +40,9 @@ def test_few_rows_and_short_vectors(spark):
     rows = [(1, [1, 2]), (2, [3]), (3, [0, 0]), (50, [2, 2])]
     got = run(spark, rows, [(50, [2, 2])])
     assert got == {50: [(1, 6), (2, 6), (3, 0)]}
-    assert run(spark, rows, []) == {} if rows is None else True
+    one = spark.createDataFrame([(50, [2, 2])], "vec_id long, v array<long>")
+    assert M.top_k(spark, one, one).collect() == []
+    assert M.top_k(spark, one, one.where("vec_id < 0")).collect() == []
 
 
 def test_bad_vectors_take_no_part(spark):

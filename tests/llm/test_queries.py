@@ -55,3 +55,56 @@ def test_pipeline_stages(spark):
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0.5 * sizes[0]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF001).count() == sizes[-1]
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on its own input: the stages after toxicity against plain Python and SQL."""
+    import re
+    import struct
+    import zlib
+
+    import duckdb
+    from test_jaccard import brute
+    from tokenizers import Tokenizer
+
+    from txrisk.llm import mixing, toxicity
+    from txrisk.llm.token_orc import default_tokenizer
+    from txrisk.session import fresh_path
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+
+    def kept(name, df):
+        path = fresh_path(spark, f"t-{name}")
+        stages[name](spark, df, SF001).write.parquet(path)
+        out = spark.read.parquet(path)
+        return out, [(r.doc_id, r.text) for r in out.collect()], path.removeprefix("file:")
+
+    clean, rows, _ = kept("toxicity", docs)
+    model = toxicity.fit(spark, docs, spark.read.parquet(f"{SF001}/labels.parquet"))
+    bad = {r.doc_id for r in toxicity.score(docs, model).where("_tox_score >= 0.5").collect()}
+    assert bad and {d for d, _ in rows} == {r.doc_id for r in docs.collect()} - bad
+
+    single, got, _ = kept("ngram_jaccard_join", clean)
+    assert sorted(d for d, _ in got) == sorted(d for d, (_, c) in brute(rows).items() if c == d)
+
+    words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    items = [words(r.text) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
+    fresh, left, path = kept("benchmark_decontamination", single)
+    assert sorted(d for d, _ in left) == sorted(d for d, t in got if not any(i in words(t) for i in items))
+
+    mixed, copies, _ = kept("mixing", fresh)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = {d: taken // size for d, size, _, _, taken in con.execute(mixing.SQL).fetchall() if size}
+    n = {}
+    for d, _ in copies:
+        n[d] = n.get(d, 0) + 1
+    assert all(n.get(d, 0) == k for d, k in want.items())
+
+    t, start = Tokenizer.from_file(default_tokenizer()), 0
+    found = sorted(stages["token_output"](spark, mixed, SF001).collect(), key=lambda r: r.start)
+    for r, (d, text) in zip(found, sorted(copies, key=lambda x: (x[0], x[1])), strict=True):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.units import parts, string_hash
+from txrisk.llm.units import bounded_batches, parts, string_hash
 
 TERM_BITS = 18  # hash buckets of words whose frequencies are counted
 TERMS = 1 << 15  # hashed terms of the passage matrix
@@ -52,7 +52,7 @@ WINDOW = 32
 DENSE = 1 << 23  # so many sums of windows and passages at most are held as a table
 COSINE = 0.4
 TAIL = 0.25
-COPIED, REWORDED, ANSWERED = 0.7, 0.5, 0.9
+COPIED, REWORDED, ANSWERED = 0.6, 0.5, 0.9
 LEAST = 5
 BLOCK = 4096
 LEAK = "doc_id long, item_id long, cosine double, shared double, answered boolean, at_word long"
@@ -84,8 +84,8 @@ def word_weights(docs: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["b", "n"])
 
     counts = np.zeros(1 << TERM_BITS)
-    for b, n in docs.select("text").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n")).collect():
-        counts[b] = n  # at most a row per bucket
+    found = docs.select("text").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("b").to_numpy()] = found.column("n").to_numpy()  # at most a row per bucket
     return np.log((counts.sum() + len(counts)) / (counts + 1)).astype(np.float32)
 
 
@@ -160,8 +160,9 @@ def gram_times(table: DataFrame, weights: np.ndarray, q: np.ndarray | None, k: i
     schema = "t long, v array<float>"
     out = np.zeros((TERMS, k), np.float32)
     # every task has summed its passages; a term's sums meet in one task
-    for t, v in table.select("text").mapInArrow(part, schema).repartition("t").mapInArrow(add, schema).collect():
-        out[t] += np.array(v, np.float32)
+    sums = table.select("text").mapInArrow(part, schema).repartition("t").mapInArrow(add, schema).toArrow().combine_chunks()
+    for t, v in zip(sums.column("t").to_pylist(), sums.column("v"), strict=True):
+        out[t] += v.values.to_numpy()
     return out
 
 
@@ -289,6 +290,7 @@ def search(texts: pa.Array, block: Block) -> list[tuple]:
 
 def blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame):
     """The benchmark as :class:`Block` s of bounded size."""
+    bounded_batches(spark)
     table = passages(benchmark)
     n = table.count()
     if n == 0:

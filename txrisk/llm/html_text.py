@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from txrisk.llm.units import bounded_batches
 from txrisk.session import fresh_path
 
 IMPORTANCE = 0.1
@@ -239,6 +240,7 @@ def low_branches(tree: DataFrame) -> DataFrame:
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host().alias("host"))
+    bounded_batches(spark)
     path = fresh_path(spark, "style-tree")
     tree_rows(pages.select("host", "html")).groupBy("host", "kind", "path", "value").agg(F.count("*").alias("pages")).write.parquet(path)
     low = fresh_path(spark, "low-branches")

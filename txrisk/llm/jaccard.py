@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.components import components
-from txrisk.llm.units import SLICE_BYTES, mixed, parts, shingle_sets
+from txrisk.llm.units import SLICE_BYTES, bounded_batches, mixed, parts, shingle_sets
 from txrisk.session import fresh_path
 
 PERCENT = 75
@@ -102,10 +102,9 @@ def id_bits(ids: DataFrame, column: str) -> np.ndarray:
     """A bit table that has a bit for every id of a column (and maybe others): ``2**ID_BITS`` bits."""
     at = F.shiftright(F.xxhash64(column), 64 - ID_BITS) + (1 << (ID_BITS - 1))
     got = ids.select(at.alias("at")).select(F.shiftright("at", 5).alias("w"), (F.col("at") % 32).cast("int").alias("b"))
-    got = got.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).collect()  # at most 2**(ID_BITS - 5) rows
+    got = got.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toArrow()  # at most 2**(ID_BITS - 5) rows
     table = np.zeros(1 << (ID_BITS - 5), np.uint32)
-    for w, bits in got:
-        table[w] = bits
+    table[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     return table
 
 
@@ -206,11 +205,12 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = _kept(spark, survey(docs), "survey")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in seen.where("n = -1").groupBy("f1").agg(F.sum("f2").alias("c")).collect():  # a row per bucket
-        sketch[r["f1"]] = r["c"]
+    counted = seen.where("n = -1").groupBy("f1").agg(F.sum("f2").alias("c")).toArrow()  # a row per bucket
+    sketch[counted.column("f1").to_numpy()] = counted.column("c").to_numpy()
     rows = seen.where("n >= 0")
     nodes = _kept(spark, rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")), "nodes")
 

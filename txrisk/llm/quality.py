@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.llm.toxicity import sample
-from txrisk.llm.units import parts, slices, string_hash
+from txrisk.llm.units import bounded_batches, parts, slices, string_hash
 
 WORDS, LAYOUT = 1 << 14, 1 << 12  # hashed terms of either kind
 RANK = 48
@@ -99,10 +99,9 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(at), pa.array(df[at])], ["term", "df"])
 
-    rows = docs.select(text).mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    rows = docs.select(text).mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(WORDS + LAYOUT + 1, np.int64)  # at most as many rows as terms
-    for r in rows:
-        df[r["term"]] = r["df"]
+    df[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
     return df[:-1], int(df[-1])
 
 
@@ -191,6 +190,7 @@ def votes(texts: pa.Array, model) -> np.ndarray:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE):
+    bounded_batches(spark)
     df, n = document_frequencies(docs)
     return learn(*sample(spark, docs, labels, "quality", 4, 2, most), df, n)
 

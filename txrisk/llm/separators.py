@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.token_orc import default_tokenizer
 from txrisk.llm.tokens import encoder
-from txrisk.llm.units import parts
+from txrisk.llm.units import bounded_batches, parts
 from txrisk.session import fresh_path
 
 END = 50256
@@ -53,6 +53,7 @@ def _uri(path: str) -> str:
 def write_flat(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> tuple[DataFrame, DataFrame]:
     """Token files of the documents: (part, path, bytes) of each file, (part, place, doc_id) of each document."""
     folder = _uri(folder)
+    bounded_batches(spark)
 
     def encode(batches):
         part, place, written = TaskContext.get().partitionId(), 0, 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.tokens import encoder
-from txrisk.llm.units import slices
+from txrisk.llm.units import bounded_batches, slices
 from txrisk.session import fresh_path
 
 END = 2
@@ -67,6 +67,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                 )
                 pos += int(upto[-1])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_last())
     return rows.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text").mapInArrow(encode, ROW)

@@ -10,14 +10,16 @@ tokenizer whole.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 RUNS = r"[\s\x0b\x{85}\p{Z}]{2}"
 MARKS = ".,;:!?%&$*#|\"')]}"
-KEPT_PIECES = 500_000  # pieces a worker remembers; then it starts anew
-KEPT_IDS = 1 << 24
+KEPT_PIECES = 300_000  # pieces a worker remembers at most
+KEPT_IDS = 1 << 23  # ids of pieces and of the marked words of single batches
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -52,6 +54,16 @@ class Encoder:
         self._append(np.array(sum(first, []), np.uint32), np.array([len(x) for x in first]))
         self.rows[""] = 0
 
+    def _forget(self) -> None:
+        """Keep the half of the pieces that was learned first: frequent words come early."""
+        kept = dict(islice(self.rows.items(), KEPT_PIECES // 2))
+        self.n = max(3, max(kept.values()) + 1)
+        self.used = int(self.start[self.n - 1] + self.length[self.n - 1])
+        if self.used > KEPT_IDS // 2:
+            self._clear()
+        else:
+            self.rows = kept
+
     def _append(self, ids: np.ndarray, length: np.ndarray, gap: int = 0) -> np.ndarray:
         """New rows of so many ids each, ``gap`` ids apart; returns their numbers."""
         while self.used + len(ids) > len(self.flat):
@@ -123,7 +135,7 @@ class Encoder:
         coded = words.flatten().dictionary_encode()
         codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if len(self.rows) > KEPT_PIECES or self.used > KEPT_IDS:
-            self._clear()
+            self._forget()
         ends = np.cumsum(per_line)
         begins = ends - per_line  # every line has a first word, maybe empty: it has no leading space
         inner = np.ones(len(codes), bool)

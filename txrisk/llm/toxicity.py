@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.llm.units import code_points, parts, slices, word_units
+from txrisk.llm.units import bounded_batches, code_points, parts, slices, word_units
 
 BITS = 20
 DECAY = 0.6
@@ -282,16 +282,17 @@ def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str,
     """(texts, labels, share of label 1): at most ``most`` labelled documents of each class outside the held-out fold."""
     fold = F.crc32(F.col("doc_id").cast("string")) % modulus
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold != held))
-    rows = rows.select("doc_id", F.col(label).cast("int").alias("_label")).dropDuplicates(["doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     n = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}  # two rows
     few = [rows.where(F.col("_label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
     chosen = few[0].union(few[1])  # at most 2 * most ids
     got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = got.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    got = got.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [r["text"] for r in got], [r["_label"] for r in got], (n.get(1, 0) / sum(n.values()) if n else 0.0)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE):
+    bounded_batches(spark)
     texts, toxic, share = sample(spark, docs, labels, "toxic", 5, 0, most)
     return train(texts, toxic, share)
 

@@ -10,6 +10,19 @@ SLICE_BYTES = 3 << 20  # text that a task works on at a time
 SPELLED = 3  # so many single characters in a row are also read as one word
 
 
+# Arrow's own pool keeps what it has freed; a reused worker should give it back
+pa.set_memory_pool(pa.system_memory_pool())
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark) -> None:
+    """Hand texts to Python workers in batches of at most ``BATCH_ROWS``: the default of 10,000 documents
+    takes some 100 MB on either side, and far more where long ones stand together."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def as_text(column) -> pa.Array:
     """A column of texts with "" for null."""
     if isinstance(column, pa.ChunkedArray):

@@ -51,8 +51,9 @@ def test_large_leaves_are_split(spark, docs_of, monkeypatch, most):
 
 def test_templates_of_a_leaf():
     lines = ["a b c d", "a b c e", "a b x y z", "q q q q"]
-    groups = pd.DataFrame({"line": [1, 2, 4], "m": [lines[0], lines[1], lines[3]], "docs": [5, 2, 1]})
+    groups = pd.DataFrame({"key": [7, 7, 7], "line": [1, 2, 4], "m": [lines[0], lines[1], lines[3]], "docs": [5, 2, 1]})
     assert L.templates(groups).values.tolist() == [[1, 1], [2, 1]]
+    assert L.templates(groups.assign(key=[1, 2, 3])).empty
 
 
 def test_masks(spark):

@@ -25,10 +25,13 @@ gives no rows.  Extra columns are kept by :func:`drop_recurring`.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txrisk.llm.units import bounded_batches
 from txrisk.session import fresh_path
 
 DEPTH = 3
@@ -46,16 +49,17 @@ def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def masked(line: Column) -> Column:
-    """A line with single spaces and ``<*>`` for tokens that hold a digit."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), r"[^ ]*[0-9][^ ]*", "<*>")
+    """A line with single spaces and ``<*>`` for tokens that hold a digit; most lines need neither change."""
+    spaced = F.when(line.rlike(r"[^\S ]|  |^ | $"), F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
 
 
-def tokens(line: Column) -> Column:
-    return F.split(masked(line), " ")
+def n_tokens(m: Column) -> Column:
+    return F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
 
 
-def leaf(parts: Column, depth) -> Column:
-    return F.xxhash64(F.size(parts), F.slice(parts, 1, depth))
+def leaf(m: Column, depth: int) -> Column:
+    return F.xxhash64(n_tokens(m), F.substring_index(m, " ", depth))
 
 
 def document(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -66,8 +70,8 @@ def lines(docs: DataFrame) -> DataFrame:
     """(doc, m, line, leaf, n): the lines with tokens, masked and hashed."""
     rows = docs.select(document().alias("doc"), F.explode(F.split("text", "\n")).alias("l"))
     rows = rows.select("doc", masked(F.col("l")).alias("m")).where("m != ''")
-    parts = F.split("m", " ")
-    return rows.select("doc", "m", F.xxhash64("m").alias("line"), leaf(parts, DEPTH).alias("leaf"), F.size(parts).alias("n"))
+    m = F.col("m")
+    return rows.select("doc", "m", F.xxhash64(m).alias("line"), leaf(m, DEPTH).alias("leaf"), n_tokens(m).alias("n"))
 
 
 def _bit(column: str) -> Column:
@@ -75,7 +79,12 @@ def _bit(column: str) -> Column:
 
 
 def templates(group: pd.DataFrame) -> pd.DataFrame:
-    """(line, template) for the lines of one leaf that share a template with another."""
+    """(line, template) for the lines of leaves (``key``) that share a template with another line of theirs."""
+    out = [x for _, leaf_ in group.groupby("key", sort=False) for x in one_leaf(leaf_)]
+    return pd.DataFrame(out, columns=["line", "template"]).astype("int64")
+
+
+def one_leaf(group: pd.DataFrame) -> list[tuple[int, int]]:
     group = group.sort_values(["docs", "line"], ascending=[False, True])
     found: list[list[str]] = []
     members: list[list[int]] = []
@@ -92,7 +101,7 @@ def templates(group: pd.DataFrame) -> pd.DataFrame:
         else:
             found.append(parts)
             members.append([line])
-    return pd.DataFrame([(x, m[0]) for m in members if len(m) > 1 for x in m], columns=["line", "template"]).astype("int64")
+    return [(x, m[0]) for m in members if len(m) > 1 for x in m]
 
 
 def parse(spark: SparkSession, docs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -100,17 +109,12 @@ def parse(spark: SparkSession, docs: DataFrame, seen: DataFrame) -> DataFrame:
     shared = seen.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
     shared = _kept(spark, shared, "leaves")
     words = shared.select(_bit("leaf").alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
-    bits = words.agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias("x")).collect()  # at most 2**(LEAF_BITS - 6) rows
-    table = [0] * (1 << (LEAF_BITS - 6))
-    for w, x in bits:
-        table[w] = x
-    table = spark.sparkContext.broadcast(bytes(b"".join((x & (1 << 64) - 1).to_bytes(8, "little") for x in table)))
+    bits = words.agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias("x")).toArrow()  # at most 2**(LEAF_BITS - 6) rows
+    table = np.zeros(1 << (LEAF_BITS - 6), np.int64)
+    table[bits.column("w").to_numpy()] = bits.column("x").to_numpy()
+    mask = table.view(np.uint8)
 
     def may(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        mask = np.frombuffer(table.value, np.uint8)
         for batch in batches:
             b = batch.column("b").to_numpy()
             yield batch.filter(pa.array((mask[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)).select(["leaf", "line", "m"])
@@ -120,11 +124,13 @@ def parse(spark: SparkSession, docs: DataFrame, seen: DataFrame) -> DataFrame:
     todo = _kept(spark, few.join(seen.select("leaf", "line", "docs"), ["leaf", "line"]).join(shared, "leaf"), "parsed")
     out, depth = None, DEPTH
     while not todo.isEmpty():
-        todo = todo.withColumn("key", leaf(F.split("m", " "), depth))
-        size = todo.groupBy("key").agg(F.count("*").alias("k"), F.max(F.size(F.split("m", " "))).alias("n"))
+        todo = todo.withColumn("key", leaf(F.col("m"), depth))
+        size = todo.groupBy("key").agg(F.count("*").alias("k"), F.max(n_tokens(F.col("m"))).alias("n"))
         sized = _kept(spark, todo.join(size, "key"), "sized")
         small = sized.where((F.col("k") <= LEAF_LINES) & (F.col("k") > 1))
-        done = small.groupBy("key").applyInPandas(lambda g: templates(g), "line long, template long")
+        # leaves are dealt into groups of about LEAF_LINES lines: a group of its own for each would cost more than its work
+        groups = F.pmod("key", F.lit(-(-small.count() // LEAF_LINES) + 1))
+        done = small.groupBy(groups.alias("g")).applyInPandas(lambda g: templates(g), "line long, template long")
         out = done if out is None else out.union(done)
         todo = sized.where((F.col("k") > LEAF_LINES) & (F.col("n") > depth)).drop("key", "k", "n")
         depth *= 2
@@ -133,6 +139,7 @@ def parse(spark: SparkSession, docs: DataFrame, seen: DataFrame) -> DataFrame:
 
 def recurring(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, line) of all documents, and the lines (line) of recurring templates."""
+    bounded_batches(spark)
     whose = _kept(spark, lines(docs).select("doc", "line", "leaf", "n").distinct(), "seen")
     seen = _kept(spark, whose.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.max("n").alias("n")), "counted")
     merged = _kept(spark, parse(spark, docs, seen), "templates")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
-from txrisk.functions.columns import format_account_id, format_customer_name, format_timestamp, format_txn_id, rate_band
+from txrisk.functions.columns import fit_row, format_account_id, format_customer_name, format_timestamp, format_txn_id, rate_band
 from txrisk.operators import accounts, analytics, features, model, profile, rules
 from txrisk.plans.dashboard import dashboard_rollup
 from txrisk.session import fresh_path
@@ -117,9 +117,9 @@ def _train_model(spark, sf):
 def _train_accuracy(spark, sf):
     """Whether the forest beats the most frequent label on the training rows."""
     tx = _tx(spark, sf)
-    share = tx.agg(F.avg("IsFraud").alias("p")).select(F.greatest("p", 1 - F.col("p")).alias("majority"))
-    found = model.train_accuracy(_trained(spark, sf), tx).crossJoin(share)  # one row each
-    return found.select((F.col("accuracy") >= F.col("majority")).alias("beats_majority"), (F.col("accuracy") <= 1).alias("is_share"))
+    share = fit_row(tx, F.avg("IsFraud"))[0]
+    found = model.train_accuracy(_trained(spark, sf), tx)
+    return found.select((F.col("accuracy") >= F.lit(max(share, 1 - share))).alias("beats_majority"), (F.col("accuracy") <= 1).alias("is_share"))
 
 
 def _model_round_trip(spark, sf):

@@ -60,6 +60,21 @@ def test_blocks_cover_the_benchmark(spark, docs_of, corpus, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in D.find_leaks(spark, docs, bench).collect()) == [(i, i) for i, _ in items]
 
 
+def test_no_copy_is_lost_among_thousands_of_passages():
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(20000)}" for _ in range(n))
+    rows = [{"item_id": i, "text": text(16), "answer": ""} for i in range(3000)]
+    weights = np.full(1 << D.TERM_BITS, 2.0, np.float32)
+    row, term, value = D.vectors(*D.clean_words(pa.array([r["text"] for r in rows])), weights)
+    a = np.zeros((len(rows), D.TERMS), np.float32)
+    a[row, term] = value
+    values, u = np.linalg.eigh(a @ a.T)  # the space that latent_space approximates
+    space = (a.T @ u[:, -D.RANK :] / np.sqrt(values[-D.RANK :])).astype(np.float32)
+    block = D.Block(rows, space, weights)
+    docs = pa.array([f"{text(30)} {r['text']} {text(30)}" for r in rows[::100]])
+    assert {(r, item) for r, item, *_ in D.search(docs, block)} == {(r, 100 * r) for r in range(30)}
+
+
 def test_latent_space_is_the_row_space(spark, corpus):
     items = corpus[0]
     table = D.passages(spark.createDataFrame(items, "item_id long, text string"))

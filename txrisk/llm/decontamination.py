@@ -12,8 +12,10 @@ Every document is read in half-overlapping windows of ``WINDOW`` words.
 A passage's head is its heaviest words, without which its length is at most
 ``TAIL``; a cosine with the passage exceeds the part that lies on its head by
 at most that much, so an inverted index of heads rules out nearly all windows.
-The rest are folded into the latent space and compared with every passage;
-pairs with a cosine of ``COSINE`` or more are candidates.
+The rest are folded into the latent space and compared with every passage; a
+cosine is at most the product there plus the product of what the space leaves
+out of both, and pairs where this is ``COSINE`` or more are candidates: no
+rank and no number of passages loses one.
 
 A candidate is a leak if the longest common subsequence of the passage's words
 and the words around the window has ``COPIED`` of the passage's words, or
@@ -193,7 +195,8 @@ class Block:
         latent = np.zeros((len(rows), space.shape[1]), np.float32)
         np.add.at(latent, row, space[term] * value[:, None].astype(np.float32))
         latent = latent[keep]
-        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        self.latent = latent
+        self.outside = np.sqrt(np.maximum(0.0, 1 - (latent**2).sum(1)))
         self.space, self.weights = space, weights
         # the heads as an inverted index: words in order, where each one's list begins, passage and value
         heads = []
@@ -276,6 +279,7 @@ def search(texts: pa.Array, block: Block) -> list[tuple]:
         value = np.sqrt(count) * block.weights[bucket(own)]
         x = value.astype(np.float32) @ block.space[(own % np.uint64(TERMS)).astype(np.int64)] / np.linalg.norm(value)
         cosine = block.latent @ x
+        cosine += block.outside * np.sqrt(max(0.0, 1 - float(x @ x)))  # at most so much lies outside the space
         for p in np.flatnonzero(cosine >= COSINE).tolist():
             passage, answer = block.words[p], block.answers[p]
             lo, hi = max(int(begin[r]), i - len(passage)), min(int(ends[r]), j + len(passage))

@@ -75,6 +75,37 @@ def test_no_copy_is_lost_among_thousands_of_passages():
     assert {(r, item) for r, item, *_ in D.search(docs, block)} == {(r, 100 * r) for r in range(30)}
 
 
+def test_short_and_reworded_items_are_found(corpus):
+    _, _, text, word = corpus
+    rng = random.Random(9)
+    rows, docs = [], []
+    for i in range(240):
+        n = (5, 6, 8, 12, 20, 40)[i % 6]
+        own = [word() for _ in range(n)]
+        rows.append({"item_id": i, "text": " ".join(own), "answer": ""})
+        if i % 12 >= 6:
+            for j in rng.sample(range(n), int(0.4 * n)):
+                own[j] = word()
+        docs.append(f"{text(80)} {' '.join(own)} {text(80)}")
+    weights = np.full(1 << D.TERM_BITS, 2.0, np.float32)
+    row, term, value = D.vectors(*D.clean_words(pa.array([r["text"] for r in rows])), weights)
+    a = np.zeros((len(rows), D.TERMS), np.float32)
+    a[row, term] = value
+    block = D.Block(rows, np.linalg.svd(a, full_matrices=False)[2].T, weights)  # the complete space
+    got = {(r, item) for r, item, *_ in D.search(pa.array(docs), block)}
+    assert got >= {(i, i) for i in range(240)}
+
+
+def test_frequent_words_alone_are_no_copy():
+    frequent = ["the", "of", "and", "to", "in"]
+    weights = np.full(1 << D.TERM_BITS, 10.0, np.float32)
+    weights[D.bucket(D.clean_words(pa.array([" ".join(frequent)]))[0])] = 2.0
+    rows = [{"item_id": 1, "text": "the of and kappa lambda", "answer": ""}]
+    block = D.Block(rows, np.zeros((D.TERMS, 1), np.float32), weights)
+    assert D.search(pa.array(["one the two of three and four", " ".join(frequent * 9)]), block) == []
+    assert [x[:2] for x in D.search(pa.array(["", "x the of kappa lambda y"]), block)] == [(1, 1)]
+
+
 def test_latent_space_is_the_row_space(spark, corpus):
     items = corpus[0]
     table = D.passages(spark.createDataFrame(items, "item_id long, text string"))

@@ -8,20 +8,24 @@ decomposition of the passage matrix gives the latent space: each multiplication
 by the matrix and its transpose is a job over the passages, only matrices of
 ``RANK`` columns meet on the driver.
 
-Every document is read in half-overlapping windows of ``WINDOW`` words.
-A passage's head is its heaviest words, without which its length is at most
-``TAIL``; a cosine with the passage exceeds the part that lies on its head by
-at most that much, so an inverted index of heads rules out nearly all windows.
-The rest are folded into the latent space and compared with every passage; a
-cosine is at most the product there plus the product of what the space leaves
-out of both, and pairs where this is ``COSINE`` or more are candidates: no
-rank and no number of passages loses one.
+Every document is read in overlapping windows of a width for each class of
+passage lengths: a class of at most ``c`` words (``SIZES``) has windows of
+``3 * c + SPREAD`` words, one every ``c``, so a copy that is spread over up to
+``2 * c + SPREAD`` words lies in one of them as a whole.  A window that passes
+the check below holds ``HELD`` of the passage's weight, and so many of its words
+that their weight is at least that of as many of the lightest; no bound on
+candidates asks for more than this ``need``.  A passage's head is its heaviest
+words, without which less than half of its need is left; an inverted index of
+heads rules out nearly all pairs.  The rest are folded into the latent space: their product there, and at
+most the product of what the space leaves out of both, is what the window holds
+of the passage, so no rank and no number of passages loses a pair.
 
 A candidate is a leak if the longest common subsequence of the passage's words
-and the words around the window has ``COPIED`` of the passage's words, or
+and the window's has ``COPIED`` of the passage's words, or
 ``REWORDED`` of them and, in the right order, ``ANSWERED`` of the item's last
-sentence (its answer).  Changed, added and moved words lower these shares
-gradually.
+sentence (its answer), and if the window's words hold ``HELD`` of the passage's
+weight (the squared length of its vector), as frequent words alone are no copy.
+Changed, added and moved words lower these shares gradually.
 
 The benchmark is searched in blocks of at most ``BLOCK`` passages, one pass
 over the documents each; a block is what tasks receive (at most ``BLOCK *
@@ -50,10 +54,10 @@ TERM_BITS = 18  # hash buckets of words whose frequencies are counted
 TERMS = 1 << 15  # hashed terms of the passage matrix
 RANK = 256
 PASSAGE = 64
-WINDOW = 32
-DENSE = 1 << 23  # so many sums of windows and passages at most are held as a table
-COSINE = 0.4
-TAIL = 0.25
+SIZES = np.array([8, 12, 16, 24, 32, 48, PASSAGE])  # classes of passage lengths
+SPREAD = 16
+HELD = 0.25
+ROUNDING = 1e-3  # share of both lengths that rounding may take from a product
 COPIED, REWORDED, ANSWERED = 0.6, 0.5, 0.9
 LEAST = 5
 BLOCK = 4096
@@ -191,22 +195,25 @@ class Block:
         self.words = [words[begin[i] : ends[i]] for i in keep]
         answers, a_ends = clean_words(pa.array([rows[i]["answer"] for i in keep], pa.string()))
         self.answers = np.split(answers, a_ends[:-1]) if keep else []
-        row, term, value = vectors(words, ends, weights)
-        latent = np.zeros((len(rows), space.shape[1]), np.float32)
-        np.add.at(latent, row, space[term] * value[:, None].astype(np.float32))
-        latent = latent[keep]
-        self.latent = latent
-        self.outside = np.sqrt(np.maximum(0.0, 1 - (latent**2).sum(1)))
         self.space, self.weights = space, weights
+        self.size = SIZES[np.searchsorted(SIZES, [len(own) for own in self.words])]
+        self.need, self.head_need = np.zeros(len(keep)), np.zeros(len(keep))
+        self.latent = np.zeros((len(keep), space.shape[1]), np.float32)
+        self.outside = np.zeros(len(keep))
+        self.norm = np.zeros(len(keep))
         # the heads as an inverted index: words in order, where each one's list begins, passage and value
         heads = []
         for p, own in enumerate(self.words):
+            energy = np.sort(weights[bucket(own)].astype(np.float64) ** 2)
+            self.need[p] = max(HELD * energy.sum(), energy[: least_shared(len(own), len(self.answers[p]))].sum())
+            self.latent[p], self.norm[p], self.outside[p] = folded(own, space, weights)
             name, count = np.unique(own, return_counts=True)
-            value = np.sqrt(count) * weights[bucket(name)]
-            value /= max(np.linalg.norm(value), 1e-12)
-            order = np.argsort(-value, kind="stable")
-            head = order[: int((np.cumsum(value[order] ** 2) < 1 - TAIL**2).sum()) + 1]
-            heads += [(int(w), p, float(v)) for w, v in zip(name[head], value[head], strict=True)]
+            value = np.sqrt(count) * weights[bucket(name)].astype(np.float64)
+            order = np.argsort(weights[bucket(name)], kind="stable")
+            left = np.cumsum(value[order] ** 2)
+            tail = int((left < self.need[p] / 2).sum())
+            self.head_need[p] = self.need[p] - (left[tail - 1] if tail else 0.0)
+            heads += [(int(w), p, float(v)) for w, v in zip(name[order[tail:]], value[order[tail:]], strict=True)]
         heads.sort()
         words_ = np.array([w for w, _, _ in heads], np.uint64)
         self.vocabulary, begin = np.unique(words_, return_index=True)
@@ -215,6 +222,23 @@ class Block:
         self.value = np.array([v for _, _, v in heads])
 
 
+def least_shared(n: int, answer: int) -> int:
+    """The fewest words in common with which a passage of ``n`` words can be a leak."""
+    share = REWORDED if 0 < answer < n else COPIED
+    return next(m for m in range(n + 1) if m / n >= share)
+
+
+def folded(words: np.ndarray, space: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(latent vector, length, length of what the space leaves out) of the weighted word counts."""
+    own, count = np.unique(words, return_counts=True)
+    value = np.sqrt(count) * weights[bucket(own)]
+    term, at = np.unique((own % np.uint64(TERMS)).astype(np.int64), return_inverse=True)
+    value = np.bincount(at, value).astype(np.float32)
+    x = value @ space[term]
+    square = float(value @ value)
+    return x, square**0.5, max(0.0, square - float(x @ x)) ** 0.5
+
+
 def common(passage: np.ndarray, region: np.ndarray) -> int:
     """Length of the longest common subsequence, a bit per word of the passage."""
     at: dict[int, int] = {}
@@ -229,41 +253,48 @@ def common(passage: np.ndarray, region: np.ndarray) -> int:
     return len(passage) - state.bit_count()
 
 
+def held(passage: np.ndarray, region: np.ndarray, weights: np.ndarray) -> float:
+    """The share of the passage's weight in words that the region holds, as often as it holds them."""
+    name, count = np.unique(passage, return_counts=True)
+    other, n = np.unique(region, return_counts=True)
+    at = np.minimum(np.searchsorted(other, name), len(other) - 1)
+    energy = weights[bucket(name)].astype(np.float64) ** 2
+    return float((np.minimum(count, np.where(other[at] == name, n[at], 0)) * energy).sum() / max((count * energy).sum(), 1e-12))
+
+
 def likely(words: np.ndarray, n: np.ndarray, block: Block):
-    """(document, first word, end) of windows whose cosine with some passage may reach ``COSINE``."""
+    """(document, first word, end, passage) of windows that may hold what a leak of the passage needs, by window."""
     ends = np.cumsum(n)
-    begin, step = ends - n, WINDOW // 2
-    windows = np.maximum(1, -(-(n - WINDOW) // step) + 1) * (n > 0)
-    base = np.cumsum(windows) - windows
+    begin = ends - n
     place = np.minimum(np.searchsorted(block.vocabulary, words), len(block.vocabulary) - 1)
     at = np.flatnonzero(block.vocabulary[place] == words)
     many = (block.begin[1:] - block.begin[:-1])[place[at]]
     entry = np.repeat(block.begin[place[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
     at = np.repeat(at, many)
     doc = np.searchsorted(ends, at, "right")
-    last = (at - begin[doc]) // step  # a word is in this window and the one before
-    weight = block.weights[bucket(words)].astype(np.float64)
-    total = np.concatenate([[0], np.cumsum(weight**2)])
-    key, part = [], []
-    for k in (last, last - 1):
-        good = (k >= 0) & (k < windows[doc])
-        key.append((base[doc[good]] + k[good]) * len(block.items) + block.passage[entry[good]])
-        part.append(weight[at[good]] * block.value[entry[good]])
-    key, part = np.concatenate(key), np.concatenate(part)
-    if windows.sum() * len(block.items) <= DENSE:
-        part = np.bincount(key, part)
-        key = np.flatnonzero(part)
-        part = part[key]
-    else:
-        key, where = np.unique(key, return_inverse=True)
-        part = np.bincount(where, part, len(key))
-    window = key // len(block.items)
-    doc = np.searchsorted(base + windows, window, "right")
-    a = begin[doc] + (window - base[doc]) * step
-    b = np.minimum(a + WINDOW, ends[doc])
-    good = part >= (COSINE - TAIL) * np.sqrt(total[b] - total[a])
-    first = np.unique(window[good], return_index=True)[1]
-    return doc[good][first], a[good][first], b[good][first]
+    passage = block.passage[entry]
+    part = block.weights[bucket(words[at])] * block.value[entry]
+    out = []
+    for size in np.unique(block.size).tolist():
+        width = 3 * size + SPREAD
+        windows = np.maximum(1, -(-(n - width) // size) + 1) * (n > 0)
+        base = np.cumsum(windows) - windows
+        here = np.flatnonzero(block.size[passage] == size)
+        d, word = doc[here], at[here] - begin[doc[here]]
+        key, value = [], []
+        for back in range(-(-width // size)):
+            k = word // size - back
+            good = (k >= 0) & (k < windows[d]) & (word - k * size < width)
+            key.append((base[d[good]] + k[good]) * len(block.items) + passage[here[good]])
+            value.append(part[here[good]])
+        key, where = np.unique(np.concatenate(key), return_inverse=True)
+        value = np.bincount(where, np.concatenate(value), len(key))
+        key = key[value >= block.head_need[key % len(block.items)] * (1 - ROUNDING)]
+        window, p = key // len(block.items), key % len(block.items)
+        d = np.searchsorted(base + windows, window, "right")
+        first = begin[d] + (window - base[d]) * size
+        out.append((d, first, np.minimum(first + width, ends[d]), p))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def search(texts: pa.Array, block: Block) -> list[tuple]:
@@ -274,19 +305,24 @@ def search(texts: pa.Array, block: Block) -> list[tuple]:
     n = np.diff(ends, prepend=0)
     begin = ends - n
     found: dict[tuple, tuple] = {}
-    for r, i, j in zip(*(x.tolist() for x in likely(words, n, block)), strict=True):
-        own, count = np.unique(words[i:j], return_counts=True)
-        value = np.sqrt(count) * block.weights[bucket(own)]
-        x = value.astype(np.float32) @ block.space[(own % np.uint64(TERMS)).astype(np.int64)] / np.linalg.norm(value)
-        cosine = block.latent @ x
-        cosine += block.outside * np.sqrt(max(0.0, 1 - float(x @ x)))  # at most so much lies outside the space
-        for p in np.flatnonzero(cosine >= COSINE).tolist():
+    doc, first, end, pair = likely(words, n, block)
+    if len(doc) == 0:
+        return []
+    cuts = np.flatnonzero(np.diff(first, prepend=-1) | np.diff(end, prepend=-1))
+    for at, to in zip(cuts.tolist(), np.append(cuts[1:], len(first)).tolist(), strict=True):
+        r, i, j, near = int(doc[at]), int(first[at]), int(end[at]), pair[at:to]
+        x, norm, outside = folded(words[i:j], block.space, block.weights)
+        product = block.latent[near] @ x
+        most = product + outside * block.outside[near] + ROUNDING * norm * block.norm[near]
+        for p, dot in zip(near[most >= block.need[near]].tolist(), product[most >= block.need[near]].tolist(), strict=True):
             passage, answer = block.words[p], block.answers[p]
-            lo, hi = max(int(begin[r]), i - len(passage)), min(int(ends[r]), j + len(passage))
-            shared = common(passage, words[lo:hi]) / len(passage)
-            answered = len(answer) > 0 and common(answer, words[lo:hi]) >= ANSWERED * len(answer)
+            shared = common(passage, words[i:j]) / len(passage)
+            if shared < min(COPIED, REWORDED) or held(passage, words[i:j], block.weights) < HELD * (1 - ROUNDING):
+                continue
+            answered = len(answer) > 0 and common(answer, words[i:j]) >= ANSWERED * len(answer)
             if shared >= COPIED or (shared >= REWORDED and answered and len(answer) < len(passage)):
-                key, best = (r, block.items[p]), (shared, float(cosine[p]), bool(answered), i - int(begin[r]))
+                cosine = dot / max(norm * float(np.linalg.norm(block.latent[p])), 1e-12)
+                key, best = (r, block.items[p]), (shared, cosine, bool(answered), i - int(begin[r]))
                 if best[:2] > found.get(key, (0, 0))[:2]:
                     found[key] = best
     return [(r, item, c, s, ans, at) for (r, item), (s, c, ans, at) in sorted(found.items())]

@@ -49,6 +49,16 @@ def test_large_leaves_are_split(spark, docs_of, monkeypatch, most):
         assert dropped == set(range(8))
 
 
+@pytest.mark.parametrize("most", [2000, 7, 3, 2])
+def test_large_leaves_lose_no_template(spark, docs_of, monkeypatch, most):
+    monkeypatch.setattr(L, "LEAF_LINES", most)
+    rows = [(i, f"one two three Posted by {w} at the noon today") for i, w in enumerate("abcdefgh")]
+    rows += [(20 + i, f"one two three {w} q r s t u v") for i, w in enumerate("abcdefgh")]
+    rows += [(50 + i, "one two three " + " ".join([w] * 7)) for i, w in enumerate("klmnopqrst")]
+    got = run(spark, docs_of(rows))
+    assert {i for i, r in got.items() if r._n_dropped} == {*range(8), *range(20, 28)}
+
+
 def test_templates_of_a_leaf():
     lines = ["a b c d", "a b c e", "a b x y z", "q q q q"]
     groups = pd.DataFrame({"key": [7, 7, 7], "line": [1, 2, 4], "m": [lines[0], lines[1], lines[3]], "docs": [5, 2, 1]})

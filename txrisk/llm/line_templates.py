@@ -13,8 +13,10 @@ Lines are counted as (leaf, line) hashes by partial aggregates, so a line that
 a third of all documents share is one row per task.  Only leaves with several
 lines are parsed, and only their lines' tokens are moved; a bit table of
 ``2**LEAF_BITS`` leaf hashes (2 MB) leaves out the others at the scan, the join
-behind it is exact.  A leaf of more than ``LEAF_LINES`` distinct lines is split
-at twice the depth, and so on, until lines that agree on every token are one.
+behind it is exact.  The depth is the same at every size: a leaf of more than
+``LEAF_LINES`` distinct lines is merged in pieces of about that many, the pieces'
+templates are merged again, and so on; when a round leaves more than ``FEWER`` of
+a leaf's templates, the rest meet in one piece, so that none stays apart.
 
 Defined cases: a null text has no lines and stays null; an empty text has one
 empty line; lines without tokens are never dropped; a line that repeats within
@@ -39,6 +41,7 @@ SIMILAR = 0.6
 DOCUMENTS = 5
 LONG, LONG_DOCUMENTS = 50, 2
 LEAF_LINES = 2000
+FEWER = 0.9
 LEAF_BITS = 24
 
 
@@ -80,28 +83,55 @@ def _bit(column: str) -> Column:
 
 def templates(group: pd.DataFrame) -> pd.DataFrame:
     """(line, template) for the lines of leaves (``key``) that share a template with another line of theirs."""
-    out = [x for _, leaf_ in group.groupby("key", sort=False) for x in one_leaf(leaf_)]
-    return pd.DataFrame(out, columns=["line", "template"]).astype("int64")
+    found = [m for _, leaf_ in group.groupby("key", sort=False) for m, _ in one_leaf(leaf_)]
+    return pd.DataFrame([(x, m[0]) for m in found if len(m) > 1 for x in m], columns=["line", "template"]).astype("int64")
 
 
-def one_leaf(group: pd.DataFrame) -> list[tuple[int, int]]:
+def one_leaf(group: pd.DataFrame) -> list[tuple[list[int], str]]:
+    """(lines, text) of the templates of a leaf, or of a piece of it."""
     group = group.sort_values(["docs", "line"], ascending=[False, True])
-    found: list[list[str]] = []
+    codes = {"<*>": 0}
+    rows = np.array([[codes.setdefault(x, len(codes)) for x in text.split(" ")] for text in group["m"]], np.int32)
+    names = list(codes)
+    found = np.empty_like(rows)
     members: list[list[int]] = []
-    for line, text in zip(group["line"], group["m"], strict=True):
-        parts = text.split(" ")
-        best, at = 0.0, -1
-        for i, t in enumerate(found):
-            same = sum(a == b for a, b in zip(t, parts, strict=True)) / len(parts)
-            if same > best:
-                best, at = same, i
-        if best >= SIMILAR:
-            found[at] = [a if a == b else "<*>" for a, b in zip(found[at], parts, strict=True)]
+    for line, row in zip(group["line"].tolist(), rows, strict=True):
+        same = (found[: len(members)] == row).sum(1)
+        at = int(same.argmax()) if members else -1
+        if members and same[at] / len(row) >= SIMILAR:
+            found[at, found[at] != row] = 0
             members[at].append(line)
         else:
-            found.append(parts)
+            found[len(members)] = row
             members.append([line])
-    return [(x, m[0]) for m in members if len(m) > 1 for x in m]
+    return [(m, " ".join(names[c] for c in row)) for m, row in zip(members, found.tolist())]
+
+
+def piece(group: pd.DataFrame) -> pd.DataFrame:
+    """Every line of a leaf's piece with its template, whose first line also gets the template's text."""
+    docs = dict(zip(group["line"].tolist(), group["docs"].tolist(), strict=True))
+    leaf_, k, pieces = group[["leaf", "k", "pieces"]].iloc[0].tolist()
+    out = [(leaf_, x, m[0], text if x == m[0] else None, docs[x], k, pieces) for m, text in one_leaf(group) for x in m]
+    return pd.DataFrame(out, columns=["leaf", "line", "template", "m", "docs", "before", "pieces"])
+
+
+def merged_pieces(spark: SparkSession, units: DataFrame) -> DataFrame:
+    """(line, template) of the lines (leaf, line, m, docs) of large leaves, by rounds of bounded pieces."""
+    whose = units.select("line", F.col("line").alias("template"))
+    units, step = units.withColumn("before", F.lit(None).cast("long")), 0
+    while not units.isEmpty():
+        size = units.groupBy("leaf").agg(F.count("*").alias("k"))
+        fewer = F.col("before").isNull() | (F.col("k") <= FEWER * F.col("before"))
+        cut = units.join(size, "leaf").withColumn("pieces", F.when(fewer, F.ceil(F.col("k") / LEAF_LINES)).otherwise(1).cast("long"))
+        cut = cut.withColumn("piece", F.pmod(F.xxhash64("line", F.lit(step)), F.col("pieces")))
+        schema = "leaf long, line long, template long, m string, docs long, before long, pieces long"
+        done = _kept(spark, cut.groupBy("leaf", "piece").applyInPandas(lambda g: piece(g), schema), "pieces")
+        renamed = done.select(F.col("line").alias("_line"), F.col("template").alias("_template"))
+        whose = whose.join(renamed, F.col("template") == F.col("_line"), "left")
+        whose = _kept(spark, whose.select("line", F.coalesce("_template", "template").alias("template")), "whose")
+        units = done.where("pieces > 1 and m is not null").select("leaf", "line", "m", "docs", "before")
+        step += 1
+    return whose
 
 
 def parse(spark: SparkSession, docs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -122,19 +152,14 @@ def parse(spark: SparkSession, docs: DataFrame, seen: DataFrame) -> DataFrame:
     few = lines(docs).select("leaf", "line", "m", _bit("leaf").alias("b")).mapInArrow(may, "leaf long, line long, m string")
     few = few.groupBy("leaf", "line").agg(F.min("m").alias("m"))  # a frequent line is one row per task
     todo = _kept(spark, few.join(seen.select("leaf", "line", "docs"), ["leaf", "line"]).join(shared, "leaf"), "parsed")
-    out, depth = None, DEPTH
-    while not todo.isEmpty():
-        todo = todo.withColumn("key", leaf(F.col("m"), depth))
-        size = todo.groupBy("key").agg(F.count("*").alias("k"), F.max(n_tokens(F.col("m"))).alias("n"))
-        sized = _kept(spark, todo.join(size, "key"), "sized")
-        small = sized.where((F.col("k") <= LEAF_LINES) & (F.col("k") > 1))
-        # leaves are dealt into groups of about LEAF_LINES lines: a group of its own for each would cost more than its work
-        groups = F.pmod("key", F.lit(-(-small.count() // LEAF_LINES) + 1))
-        done = small.groupBy(groups.alias("g")).applyInPandas(lambda g: templates(g), "line long, template long")
-        out = done if out is None else out.union(done)
-        todo = sized.where((F.col("k") > LEAF_LINES) & (F.col("n") > depth)).drop("key", "k", "n")
-        depth *= 2
-    return out if out is not None else spark.createDataFrame([], "line long, template long")
+    size = todo.groupBy("leaf").agg(F.count("*").alias("k"))
+    sized = _kept(spark, todo.join(size, "leaf"), "sized")
+    small = sized.where((F.col("k") <= LEAF_LINES) & (F.col("k") > 1)).withColumnRenamed("leaf", "key")
+    # leaves are dealt into groups of about LEAF_LINES lines: a group of its own for each would cost more than its work
+    groups = F.pmod("key", F.lit(-(-small.count() // LEAF_LINES) + 1))
+    done = small.groupBy(groups.alias("g")).applyInPandas(lambda g: templates(g), "line long, template long")
+    large = sized.where(F.col("k") > LEAF_LINES).select("leaf", "line", "m", "docs")
+    return done if large.isEmpty() else done.union(merged_pieces(spark, large))
 
 
 def recurring(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -67,3 +67,10 @@ def test_tree_computes_few_distances():
     scores = x @ x[3]
     want = sorted(((int(s), -i) for i, s in enumerate(scores) if i != 3), reverse=True)[:5]
     assert tree.search(q, 3, 5, float("inf")) == [(s, -i) for s, i in want]
+
+
+def test_repeated_rows_of_the_query_leave_k_others(spark):
+    ids = [1] * 7 + [2, 3, 4, 5, 6, 7, 8]
+    vectors = spark.createDataFrame([(i, [3, 4]) for i in ids], "vec_id long, v array<long>")
+    got = M.top_k(spark, vectors, vectors.where("vec_id = 1").limit(1)).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 3, 4, 5, 6]

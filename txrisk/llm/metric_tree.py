@@ -20,8 +20,8 @@ the k-th best.  Scores are exact integers; comparisons of distances leave
 ``SLACK`` for rounding.  Queries are dealt in blocks of ``QUERY_ROWS``, so no
 group grows with the input.
 
-Of equal vectors only the k + 1 with the smallest ids can be among the best k;
-the others are left out before the shuffle.
+Of equal vectors only those with the k + 1 smallest ids, and k rows of each id,
+can be among the best k; the others are left out before the search.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part, neither does a null ``vec_id``; shorter vectors count as filled up with
@@ -136,8 +136,10 @@ def quantised(embeddings: DataFrame) -> DataFrame:
 def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query (vec_id, v)."""
     path = fresh_path(spark, "vectors")
+    one = Window.partitionBy("v", "vec_id").orderBy("vec_id")
     first = Window.partitionBy("v").orderBy("vec_id")
-    vectors.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r").write.parquet(path)
+    few = vectors.withColumn("r", F.row_number().over(one)).where(F.col("r") <= k)
+    few.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1).drop("r").write.parquet(path)
     rows = spark.read.parquet(path)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, bound, width = rows.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()

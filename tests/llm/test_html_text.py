@@ -66,3 +66,13 @@ def test_hosts(spark):
     urls = ["http://A.b.Example:80/x", "https://u:p@h.example?q", "nothing", None]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert [r[0] for r in df.select(X.host()).collect()] == ["a.b.example", "h.example", "", ""]
+
+
+def test_a_text_on_a_third_of_a_large_host_stays(spark):
+    from txrisk.llm import html_text
+
+    m = 1_000_000
+    rows = [("h", 0, 1, 0, m), ("h", 2, 1, 7, m // 3), ("h", 2, 1, 8, 6 * m // 10)]
+    tree = spark.createDataFrame(rows, "host string, kind int, path long, value long, pages long")
+    removed = {k for r in html_text.low_branches(tree).collect() for k in r.removed}
+    assert 7 not in removed and 8 in removed

@@ -42,6 +42,7 @@ from txrisk.session import fresh_path
 
 IMPORTANCE = 0.1
 COMMON = 0.9
+COMMON_SHARE = 0.5  # of the pages of a host, at every size
 LEAST = 8
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>", re.S)
@@ -233,7 +234,7 @@ def low_branches(tree: DataFrame) -> DataFrame:
     texts = F.sum(F.when(F.col("kind") == 2, F.col("pages")))
     paths = share.groupBy("host", "path").agg(spread.alias("style"), (news / texts).alias("text"))
     low = paths.where((F.col("style") + F.col("text")) / 2 < IMPORTANCE).select("host", F.col("path").alias("key"))
-    common = share.where((F.col("kind") == 2) & (F.col("pages") >= F.pow("m", F.lit(COMMON)))).select("host", F.col("value").alias("key"))
+    common = share.where((F.col("kind") == 2) & (F.col("pages") >= F.greatest(F.pow("m", F.lit(COMMON)), COMMON_SHARE * F.col("m")))).select("host", F.col("value").alias("key"))
     return low.union(common).groupBy("host").agg(F.collect_list("key").alias("removed"))
 
 

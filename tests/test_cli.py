@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from conftest import SF001
+from places import SF001
 
 from txrisk.__main__ import main
 

@@ -9,7 +9,7 @@ import sys
 import tempfile
 
 import pytest
-from conftest import ROOT, SF001
+from places import ROOT, SF001
 from pyspark.sql import functions as F
 
 from txrisk import schema as S

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF001
+from places import SF001
 from oracle_harness import compare, duck
 
 import __spark_entry__ as E

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF001
+from places import SF001
 
 from txrisk.operators import analytics as A
 from txrisk.plans import catalog

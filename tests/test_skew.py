@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import contextlib
 
-from conftest import SF001
+from places import SF001
 from pyspark.sql import functions as F
 
 from txrisk.operators import accounts as AC

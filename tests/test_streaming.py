@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import SF001
+from places import SF001
 
 from txrisk.operators.features import create_features
 from txrisk.streaming.features_stream import run_feature_stream

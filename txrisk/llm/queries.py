@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from txrisk.llm import (
     decontamination,
+    fill_in_middle,
+    filter_audit,
     html_text,
     jaccard,
     line_templates,
@@ -11,6 +13,7 @@ from txrisk.llm import (
     mixing,
     quality,
     separators,
+    tiled_cosine,
     token_orc,
     toxicity,
 )
@@ -26,9 +29,15 @@ QUERIES = {
     "op8_string_kernel_toxicity": toxicity.op8_string_kernel_toxicity,
     "op9_systematic_mix": mixing.op9_systematic_mix,
     "op10_order_filter_join": jaccard.op10_order_filter_join,
+    "op11_chunk_memo_fim": fill_in_middle.op11_chunk_memo_fim,
+    "op12_survival_words": filter_audit.op12_survival_words,
+    "op13_pca_tiled_dedup": tiled_cosine.op13_pca_tiled_dedup,
 }
 
 ORACLES = {
     "op2_metric_tree_search": metric_tree.SQL,
     "op9_systematic_mix": mixing.SQL,
+    "op11_chunk_memo_fim": fill_in_middle.SQL,
+    "op12_survival_words": filter_audit.SQL,
+    "op13_pca_tiled_dedup": tiled_cosine.SQL,
 }

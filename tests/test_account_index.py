@@ -1,0 +1,146 @@
+"""Lookups by account through the index."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from txrisk.operators import accounts as AC
+from txrisk.sources.account_index import AccountIndex, build_account_index
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file:")
+
+
+def _tree(path: str) -> dict[str, float]:
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, files in os.walk(_local(path)) for f in files}
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """30,000 rows of 400 accounts; one holds a third of them; some have no account."""
+    account = F.when(F.col("id") % 3 == 0, F.lit("ACC200")).when(F.col("id") % 101 == 0, F.lit(None)).otherwise(F.format_string("ACC%03d", F.col("id") % 400))
+    return spark.range(30_000).select(
+        F.format_string("TXN%05d", F.col("id")).alias("TransactionID"), account.alias("AccountID"), F.concat(F.lit("Customer "), account).alias("AccountName"),
+        (F.col("id") * 1.0).alias("NewBalance"), (F.col("id") * 2.0).alias("OldBalance"), (F.col("id") % 7 == 0).cast("int").alias("IsFraud"),
+    )
+
+
+@pytest.fixture(scope="module")
+def index(spark, skewed):
+    from txrisk.session import fresh_path
+
+    return build_account_index(skewed, fresh_path(spark, "t-index"), files=24)
+
+
+def test_F01_rows_equal_a_filter_of_the_table(index, skewed):
+    for account in ("ACC200", "ACC007", "ACC399", "ACC000"):
+        want = sorted(tuple(r) for r in skewed.where(F.col("AccountID") == account).collect())
+        assert want and sorted(tuple(r) for r in index.rows_of(account).collect()) == want
+
+
+def test_F01_a_lookup_opens_only_the_files_of_its_account(index, skewed):
+    n = index.files.count()
+    assert n >= 16
+    assert len(index.files_of(["ACC007"])) <= 2
+    assert len(index.rows_of("ACC007").inputFiles()) <= 2
+    hot = len(index.files_of(["ACC200"]))
+    assert n // 4 <= hot <= n // 2 + 2  # a third of the rows, a third of the files
+    sizes = [r.n_rows for r in index.files.collect()]
+    assert max(sizes) <= 3 * sum(sizes) / len(sizes) and sum(sizes) == skewed.count()
+
+
+def test_F01_a_lookup_writes_and_shuffles_nothing(index):
+    before = _tree(index.path)
+    rows = index.rows_of("ACC007")
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "EqualTo(AccountID,ACC007)" in plan
+    assert _tree(index.path) == before
+
+
+def test_F01_missing_and_unknown_accounts(index):
+    assert index.rows_of("NOPE").count() == 0 and index.rows_of("ACC00").count() == 0
+    assert index.rows_of(None).count() == 0 and index.rows_of().count() == 0
+    assert index.rows_of("NOPE").columns == index.rows_of("ACC007").columns
+    with pytest.raises(ValueError, match="at most"):
+        index.files_of(f"A{i}" for i in range(1001))
+
+
+def test_F01_some_accounts_at_once(index, skewed):
+    some = ["ACC001", "ACC002", "ACC200", "NOPE", None]
+    want = {r.AccountID: r["count"] for r in skewed.where(F.col("AccountID").isin([a for a in some if a])).groupBy("AccountID").count().collect()}
+    assert {r.AccountID: r["count"] for r in index.rows_of(*some).groupBy("AccountID").count().collect()} == want
+
+
+def test_A10_details_through_the_index(index, skewed):
+    for account in ("ACC200", "ACC007"):
+        assert AC.account_details(index.rows_of(account), account).collect() == AC.account_details(skewed, account).collect()
+    assert AC.account_details(index.rows_of("NOPE"), "NOPE").count() == 0
+
+
+def test_F01_index_opened_again_and_never_overwritten(spark, index, skewed):
+    again = AccountIndex(spark, index.path + "/")
+    assert again.rows_of("ACC007").count() == index.rows_of("ACC007").count()
+    with pytest.raises(Exception, match="(?i)exists"):
+        build_account_index(skewed, index.path)
+
+
+def test_F01_page_index_and_bloom_filter_are_written(spark, index):
+    import pyarrow.parquet as pq
+
+    path = index.files_of(["ACC007"])[0]
+    meta = pq.ParquetFile(_local(path)).metadata
+    at = [meta.row_group(0).column(i).path_in_schema for i in range(meta.num_columns)].index("AccountID")
+    column = meta.row_group(0).column(at)
+    assert column.has_column_index and column.has_offset_index and column.statistics.has_min_max
+
+
+def test_F01_bloom_filter_where_a_dictionary_does_not_fit(spark, monkeypatch, tmp_out):
+    """Of few accounts the dictionary tells what a row group holds; of many the Bloom filter does."""
+    from txrisk.sources import account_index as AI
+
+    many = spark.range(200_000).select(F.format_string("TXN%05d", F.col("id")).alias("TransactionID"), F.sha2(F.col("id").cast("string"), 256).alias("AccountID"))
+    size = lambda p: sum(os.path.getsize(f) for f in _tree(p) if f.endswith(".parquet"))
+    filtered = build_account_index(many, tmp_out("bloom"), files=1)
+    assert filtered.rows_of(filtered.files.first().lo).count() == 1
+    monkeypatch.setattr(AI, "LAYOUT", {k: v for k, v in AI.LAYOUT.items() if "bloom" not in k})
+    assert size(filtered.path) > size(build_account_index(many, tmp_out("bare"), files=1).path) + 100_000
+
+
+TIES = "TransactionID string, AccountID string, AccountName string, OldBalance double, NewBalance double, IsFraud int"
+
+
+def test_A09_W01_ties_give_one_stored_row(spark):
+    rows = [
+        ("a-2x", "ACC1", "A", 7.0, 5.0, 0), ("a-1x", "ACC1", "Z", 9.0, 1.0, 0), ("TXN1", "ACC2", "B", 1.0, 8.0, 0), ("AXN1", "ACC2", "C", 2.0, 3.0, 1),
+        (None, "ACC3", "n", 1.0, 1.0, 0), ("TXN2", "ACC3", "o", 2.0, 2.0, 0), (None, "ACC4", "p", 3.0, 3.0, 0), ("TXN9", "ACC2", None, 4.0, 4.0, 0),
+    ]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, TIES).repartition(3)
+        got = {r.AccountID: (r.AccountName, r.NewBalance) for r in AC.account_summary(df, limit=None).collect()}
+        assert got == {"ACC1": ("Z", 1.0), "ACC2": ("C", 3.0), "ACC3": ("o", 2.0), "ACC4": ("p", 3.0)}
+        first = {r.AccountID: tuple(r) for r in AC.first_txn_per_account(df).collect()}
+        assert {a: (r[2], r[4]) for a, r in first.items()} == got and set(first.values()) <= set(rows)
+        last = {r.AccountID: (r.AccountName, r.NewBalance) for r in AC.account_summary(df, limit=None, balance="latest").collect()}
+        assert last == {"ACC1": ("A", 5.0), "ACC2": (None, 4.0), "ACC3": ("o", 2.0), "ACC4": ("p", 3.0)}
+        one = AC.account_details(df, "ACC2").first()
+        assert (one.AccountName, one.OldBalance, one.NewBalance) == ("C", 2.0, 3.0)
+
+
+def test_A09_first_accounts_of_texts_without_a_number(spark):
+    rows = [("x-b", "ACC1", "A", 1.0, 1.0, 0), ("x-a", "ACC2", "B", 1.0, 1.0, 0), ("TXN5", "ACC3", "C", 1.0, 1.0, 0)]
+    got = AC.account_summary(spark.createDataFrame(rows, TIES), limit=2).collect()
+    assert [r.AccountID for r in got] == ["ACC3", "ACC2"]
+
+
+def test_P08_digits_are_no_year(spark):
+    from txrisk.operators.features import add_time_features
+
+    rows = [("12345",), ("123456",), ("20240105",), ("2024-01-05 07:08:09",), ("2024",)]
+    df = spark.createDataFrame(rows, "Timestamp string").withColumn("text", F.col("Timestamp"))
+    got = {r.text: r.Hour for r in add_time_features(df).collect()}
+    assert got["12345"] == 12 and got["123456"] == 12 and got["20240105"] == 0 and got["2024-01-05 07:08:09"] == 7

@@ -87,7 +87,7 @@ def parse_timestamp(c: Column) -> Column:
     or 12 hours, are tried next, in order.  Eight digits are a date, not a year.
     """
     fallbacks = [F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in TIMESTAMP_FALLBACK_PATTERNS]
-    iso = F.when(~F.coalesce(c.cast("string").rlike(r"^\\s*[0-9]{5,}(\\s|$)"), F.lit(False)), c.try_cast("timestamp_ntz"))
+    iso = F.when(~F.coalesce(c.cast("string").rlike(r"^\s*[0-9]{5,}(\s|$)"), F.lit(False)), c.try_cast("timestamp_ntz"))
     return F.coalesce(iso, *fallbacks)
 
 

@@ -1,41 +1,41 @@
 """Per-account roll-up.
 
-"First row of an account" is the row with the smallest transaction order
-(``order_key``, or a column given as ``order_by``).  Every pass over the facts
-is a hash aggregate of fixed-width values (smallest order, counts), so a hot
-account (even a third of all rows) is one partial row per task and no row is
-sorted.  Names and balances are fetched by joining the few first rows back.
+"First row of an account" is the row with the smallest transaction order: the
+number of the transaction, then its id as text, then the values themselves, so
+that it is one stored row even where orders tie.  It is the minimum of one
+struct, found in the same pass as the counts: partial per task, so a hot account
+(even a third of all rows) is one partial row per task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from txrisk import schema as S
-from txrisk.functions.columns import account_risk_level, numeric_value
-from txrisk.operators.analytics import order_key, require
+from txrisk.functions.columns import account_risk_level, col, numeric_value
+from txrisk.operators.analytics import require
 
+LAST = (1 << 63) - 1
 
-def _order(df: DataFrame, order_by: str | None, op: str):
-    """A long that orders the rows, and the column that tells equal ones apart (or None).
 
-    TransactionID has the form of a text and a number; numbers order it without
-    a variable-width key, ids of another form come after them in text order.
-    """
+def row_order(df: DataFrame, op: str, order_by: str | None = None) -> list[Column]:
+    """The columns that order the rows: ``order_by``, else ``txn_no``, else the
+    number in TransactionID (ids of another form come last); then the id as text."""
+    tie = [F.col("TransactionID")] if "TransactionID" in df.columns else []
     if order_by is not None:
         require(df, op, order_by)
-        return F.col(order_by)
+        return [col(order_by), *tie]
     if "txn_no" in df.columns:
-        return F.col("txn_no")
+        return [F.col("txn_no"), *tie]
     require(df, op, "TransactionID")
-    return order_key(df)
+    number = F.coalesce(F.regexp_extract("TransactionID", r"^[A-Za-z]*([0-9]{1,18})$", 1).try_cast("long"), F.lit(LAST))
+    return [F.when(F.col("TransactionID").isNotNull(), number), *tie]
 
 
-def _fixed_width(df: DataFrame, order) -> bool:
-    kind = df.select(order.alias("o")).schema["o"].dataType
-    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+def _placed(order: list[Column], row: Column, missing: Column) -> Column:
+    """A struct that compares by order, then by the row; ``missing`` tells rows without an order apart."""
+    return F.struct(missing.alias("missing"), *[c.alias(f"o{i}") for i, c in enumerate(order)], row.alias("row"))
 
 
 def _account_rollup(
@@ -44,26 +44,17 @@ def _account_rollup(
     require(df, "account_summary", "AccountID")
     if balance not in ("first", "latest"):
         raise ValueError("balance must be 'first' or 'latest'")
-    order = _order(df, order_by, "account_summary")
-    if not _fixed_width(df, order):
-        # text orders: a number per row first, so that the aggregate below stays fixed width
-        number = F.coalesce(F.regexp_extract("TransactionID", r"^[A-Za-z]*([0-9]{1,18})$", 1).try_cast("long"), F.lit((1 << 63) - 1))
-        order = F.when(F.col("TransactionID").isNotNull(), number) if order_by is None else order
-    rows = df.withColumn("_order", order)
+    order = row_order(df, "account_summary", order_by)
+    row = F.struct(*[(F.col(src) if src in df.columns else F.lit(default)).alias(out) for out, (src, default) in fields.items()])
     fraud = F.coalesce(F.sum(numeric_value(df, "IsFraud").cast("long")), F.lit(0)) if "IsFraud" in df.columns else F.lit(0).cast("long")
-    taken = F.min("_order") if balance == "first" else F.max("_order")
-    rolled = rows.groupBy("AccountID").agg(F.min("_order").alias("_first"), taken.alias("_at"), F.count(F.lit(1)).alias("TransactionCount"), fraud.alias("FraudCount"))
+    first = F.min(_placed(order, row, order[0].isNull()))
+    aggs = [first.alias("_first"), F.count(F.lit(1)).alias("TransactionCount"), fraud.alias("FraudCount")]
+    if balance == "latest":
+        aggs.append(F.max(_placed(order, row, order[0].isNotNull())).alias("_last"))
+    rolled = df.groupBy("AccountID").agg(*aggs)
     if limit is not None:
-        rolled = rolled.orderBy(F.col("_first").asc_nulls_last(), "AccountID").limit(limit)
-    stored = [(out, src) for out, (src, _) in fields.items() if src in df.columns]
-    named = rows.select("AccountID", "_order", *[F.col(src).alias(f"_{out}") for out, src in stored])
-    ids = rolled.select(F.col("AccountID").alias("_id"), F.col("_at").alias("_when"))
-    first = named.join(ids, F.col("AccountID").eqNullSafe(F.col("_id")) & F.col("_order").eqNullSafe(F.col("_when")))
-    tie = [F.min(f"_{out}").alias(f"_{out}") for out, _ in stored]  # rows with the same order: the smallest values
-    first = first.groupBy("_id").agg(F.count("*").alias("_rows"), *tie)
-    out = rolled.join(first, F.col("AccountID").eqNullSafe(F.col("_id")), "left")
-    defaults = {o: (F.col(f"_{o}") if (o, s_) in stored else F.lit(d)) for o, (s_, d) in fields.items()}
-    return out.withColumn("_row", F.struct(*[c.alias(o) for o, c in defaults.items()]))
+        rolled = rolled.orderBy("_first", "AccountID").limit(limit)
+    return rolled.withColumn("_row", F.col("_first.row" if balance == "first" else "_last.row"))
 
 
 SUMMARY_FIELDS = {"AccountName": ("AccountName", "Unknown"), "NewBalance": ("NewBalance", 0.0)}
@@ -111,15 +102,8 @@ def account_details(df: DataFrame, account_id: str, balance: str = "first", orde
 
 
 def first_txn_per_account(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """The whole first row of every account.
-
-    The smallest order of each account is found by a hash aggregate and its
-    row by a join, instead of a window that would sort every account; rows of
-    the same order give the smallest row.
-    """
-    order = _order(df, order_by, "first_txn_per_account")
-    rows = df.withColumn("_order", order)
-    first = rows.groupBy("AccountID").agg(F.min("_order").alias("_at")).withColumnRenamed("AccountID", "_id")
-    same = F.col("AccountID").eqNullSafe(F.col("_id")) & F.col("_order").eqNullSafe(F.col("_at"))
-    found = rows.join(first, same).groupBy("_id").agg(F.min(F.struct(*df.columns)).alias("_row"))
-    return found.select("_row.*")
+    """The whole first row of every account, by the same order as A09."""
+    order = row_order(df, "first_txn_per_account", order_by)
+    row = F.struct(*[col(c) for c in df.columns])
+    found = df.groupBy("AccountID").agg(F.min(_placed(order, row, order[0].isNull())).alias("_first"))
+    return found.select("_first.row.*")

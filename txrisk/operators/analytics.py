@@ -41,17 +41,6 @@ def _fraud_sum(df: DataFrame) -> Column:
     return F.sum(_label(df).cast("long"))
 
 
-def _sql_text(key: str, measures: dict[str, str]) -> str:
-    """The SQL text of a grouped figure: a key and named measures, best rate first."""
-    named = ", ".join(f"{text} AS {name}" for name, text in measures.items())
-    return f"SELECT {key}, {named} FROM {{view}} GROUP BY {key} ORDER BY fraud_rate DESC NULLS LAST, {key} NULLS LAST"
-
-
-ROWS_TEXT = "count(*)"
-FRAUD_TEXT = "sum(CAST(IsFraud AS BIGINT))"
-RATE_TEXT = f"round(CAST({FRAUD_TEXT} AS DOUBLE) * 100.0D / {ROWS_TEXT}, 2)"
-
-
 def _view(df: DataFrame, view: str) -> None:
     """Name the table for SQL with NaN in its numbers read as missing."""
     numbers = {c: numeric_value(df, c) for c in ("IsFraud", "Amount") if dict(df.dtypes).get(c) in ("double", "float")}
@@ -74,7 +63,14 @@ def card_fraud(df: DataFrame) -> DataFrame:
     )
 
 
-CARD_FRAUD_SQL = _sql_text("CardUsed", {"total_transactions": ROWS_TEXT, "fraud_count": FRAUD_TEXT, "fraud_rate": RATE_TEXT})
+# The SQL text form that S07 asks for: the same columns and order as card_fraud.
+CARD_FRAUD_SQL = """
+SELECT CardUsed, count(*) AS total_transactions, sum(CAST(IsFraud AS BIGINT)) AS fraud_count,
+       round(CAST(sum(CAST(IsFraud AS BIGINT)) AS DOUBLE) * 100.0D / count(*), 2) AS fraud_rate
+FROM {view}
+GROUP BY CardUsed
+ORDER BY fraud_rate DESC NULLS LAST, CardUsed NULLS LAST
+"""
 
 
 def card_fraud_sql(df: DataFrame, view: str = "transactions") -> DataFrame:
@@ -100,10 +96,15 @@ def mode_risk(df: DataFrame) -> DataFrame:
     )
 
 
-MODE_RISK_SQL = _sql_text(
-    "TransactionMode",
-    {"total_count": ROWS_TEXT, "fraud_count": FRAUD_TEXT, "avg_amount": "avg(CAST(Amount AS DOUBLE))", "fraud_rate": RATE_TEXT},
-)
+# The SQL text form that S07 asks for: the same columns and order as mode_risk.
+MODE_RISK_SQL = """
+SELECT TransactionMode, count(*) AS total_count, sum(CAST(IsFraud AS BIGINT)) AS fraud_count,
+       avg(CAST(Amount AS DOUBLE)) AS avg_amount,
+       round(CAST(sum(CAST(IsFraud AS BIGINT)) AS DOUBLE) * 100.0D / count(*), 2) AS fraud_rate
+FROM {view}
+GROUP BY TransactionMode
+ORDER BY fraud_rate DESC NULLS LAST, TransactionMode NULLS LAST
+"""
 
 
 def mode_risk_sql(df: DataFrame, view: str = "transactions") -> DataFrame:

@@ -433,6 +433,12 @@ GROUP BY lv.Risk"""
     )
     o["first_accounts"] = FIXTURE_CTE + "SELECT AccountID FROM tx GROUP BY AccountID ORDER BY min(txn_no) LIMIT 10"
     o["distinct_accounts"] = FIXTURE_CTE + "SELECT DISTINCT AccountID FROM tx"
+    o["account_index"] = o["distinct_accounts"]
+    o["account_lookup_many"] = (
+        FIXTURE_CTE
+        + """SELECT AccountID, count(*) AS n_rows, sum(Amount) AS amount, CAST(sum(IsFraud) AS BIGINT) AS fraud
+FROM tx WHERE AccountID IN (SELECT AccountID FROM tx GROUP BY AccountID ORDER BY min(txn_no) LIMIT 10) GROUP BY AccountID"""
+    )
     # ---- profile ------------------------------------------------------------
     o["numeric_profile"] = _numeric_profile(FIXTURE_CTE)
     o["numeric_profile_dirty"] = _numeric_profile(DIRTY_CTE)

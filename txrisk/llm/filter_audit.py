@@ -79,7 +79,9 @@ def failed_filters(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows.write.parquet(path)  # the texts are read once
     rows = spark.read.parquet(path)
     first = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    first = first.select(F.col("same").alias("copied"), "first")
+    path = fresh_path(spark, "audit-copied")
+    first.select(F.col("same").alias("copied"), "first").write.parquet(path)  # Spark splits hot keys of a join of tables, not of an aggregate
+    first = spark.read.parquet(path)
     rows = rows.join(first, F.col("same") == F.col("copied"), "left")
     late = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return rows.select("doc_id", "part", (F.col("failed") + F.when(late, F.lit(1 << FILTERS.index("E"))).otherwise(0)).cast("int").alias("failed"))

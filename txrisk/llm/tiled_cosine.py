@@ -292,6 +292,7 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
         F.col("label").alias("l0"), F.col("h1").alias("g1"), F.col("h2").alias("g2"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id",
     )
+    named = _kept(spark, named, "named")  # Spark splits hot keys of a join of tables
     out = rows.select("vec_id", "label", F.col("v").isNotNull().alias("part"), "h1", "h2")
     mine = F.col("part") & (F.col("label") == F.col("l0")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
     out = out.join(named, mine, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -78,3 +78,21 @@ def test_word_count(spark, text, n):
 def test_plan_has_no_python(spark, docs_of):
     plan = mixing.mix(spark, mixing.sized(docs_of([(1, "a", "s"), (2, "b", "t")])))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_stage_copies_of_repeated_rows(spark, monkeypatch):
+    """Equal rows give together what the mix takes of them, and every other column is kept."""
+    monkeypatch.setattr(mixing, "RUN", 3)
+    rows = [(1, "the same words", "a", "en")] * 40 + [(i, f"words of text number {i} " * (i % 5), "ab"[i % 2], "de") for i in range(2, 60)]
+    rows += [(None, None, None, None)] * 7 + [(70, "", "a", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    want = {}
+    for r in mixing.mix(spark, mixing.sized(docs)).collect():
+        key = (r.doc_id, r.text, r.source, r.lang)
+        want[key] = want.get(key, 0) + r._mix_copies
+    out = mixing.stage_mix(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        got[tuple(r)] = got.get(tuple(r), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}

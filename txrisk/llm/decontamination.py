@@ -41,6 +41,7 @@ theirs; empty tables give no rows.  Extra columns are not read, and are kept by
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.units import bounded_batches, parts, string_hash
+from txrisk.llm.units import as_text, bounded_batches, parts, slices, string_hash
 
 TERM_BITS = 18  # hash buckets of words whose frequencies are counted
 TERMS = 1 << 15  # hashed terms of the passage matrix
@@ -365,20 +366,21 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak."""
+    """The documents without a leak; only the texts go through Python."""
 
     def kept_by(block: Block):
-        def run(batches):
-            for batch, texts in parts(batches, "text"):
-                keep = np.ones(len(texts), bool)
-                keep[[r for r, *_ in search(texts, block)]] = False
-                yield batch.filter(pa.array(keep))
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                texts, keep = as_text(column), np.ones(len(column), bool)
+                for at, n in slices(texts):
+                    keep[[at + r for r, *_ in search(texts.slice(at, n), block)]] = False
+                yield pa.array(keep)
 
-        return run
+        return F.arrow_udf(run, "boolean")
 
     out = docs
     for block in blocks(spark, docs, benchmark):
-        out = out.mapInArrow(kept_by(block), docs.schema)
+        out = out.where(kept_by(block)(F.col("text")))
     return out
 
 

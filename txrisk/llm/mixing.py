@@ -35,6 +35,7 @@ CAP = 2
 BLOCK_ROWS = 512  # expected rows of one hash block
 MAX_BLOCKS = 1 << 16  # blocks of one size class (the hash has 20 bits for them)
 CLASSES = 260  # quarter octaves of a 64-bit size
+RUN = 1000  # copies of one text that a row of work emits
 
 
 def word_count(text: Column) -> Column:
@@ -135,8 +136,29 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the mix, one row per copy."""
-    return emit(mix(spark, sized(docs)), docs.columns)
+    """Pipeline stage: the documents of the mix, one row per copy.
+
+    Copies are found on sizes alone, without the texts; equal rows have one name (a
+    hash of all columns) and their copies are added up.  Texts are moved once, to
+    meet their number of copies, and only those that the mix takes.
+    """
+    name = {"_mix_row_a": F.xxhash64(*docs.columns), "_mix_row_b": F.xxhash64(F.lit(1), *docs.columns)}
+    sizes, found = fresh_path(spark, "mix-sizes"), fresh_path(spark, "mix-copies")
+    sized(docs.withColumns(name).select("doc_id", "text", "source", *name)).drop("text").write.parquet(sizes)
+    copies = mix(spark, spark.read.parquet(sizes)).groupBy(*name)
+    copies.agg(F.sum("_mix_copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")).where("_mix_copies > 0").write.parquet(found)
+    copies = spark.read.parquet(found)
+    named = docs.withColumns(name)
+    out = emit(named.join(copies.where("_mix_rows = 1"), [*name]), docs.columns)
+    repeated = copies.where("_mix_rows > 1")
+    if repeated.isEmpty():
+        return out
+    # equal rows: one of them gives all copies, dealt in runs of at most RUN
+    one = named.join(repeated, [*name], "left_semi").dropDuplicates([*name]).join(repeated, [*name])
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_copies") - 1) / RUN))
+    one = one.withColumn("_mix_run", F.explode(runs)).repartition("_mix_row_a", "_mix_run")
+    left = F.least(F.col("_mix_copies") - F.col("_mix_run") * RUN, F.lit(RUN).cast("long"))
+    return out.union(emit(one.withColumn("_mix_copies", left), docs.columns))
 
 
 SQL = r"""

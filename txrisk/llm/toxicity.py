@@ -33,15 +33,15 @@ score in each; an empty table gives no rows.  Extra columns pass through
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from txrisk.llm.units import bounded_batches, code_points, parts, slices, word_units
+from txrisk.llm.units import as_text, bounded_batches, code_points, slices, word_units
 
 BITS = 20
 DECAY = 0.6
@@ -298,17 +298,19 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAM
 
 
 def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """``docs`` with ``_tox_score``, the probability that its text is toxic."""
-
-    def run(batches):
-        for batch, texts in parts(batches, text):
-            units, unit, doc = word_units(texts)
-            value = unit_scores(units, model[0])
-            worst = np.full(batch.num_rows, -np.inf)
-            np.maximum.at(worst, doc, value[unit])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability(worst, model))], [*batch.schema.names, "_tox_score"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_tox_score", T.DoubleType())]))
+    """``docs`` with ``_tox_score``, the probability that its text is toxic; only the texts go through Python."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            texts, found = as_text(column), np.empty(len(column))
+            for at, n in slices(texts):
+                units, unit, doc = word_units(texts.slice(at, n))
+                worst = np.full(n, -np.inf)
+                np.maximum.at(worst, doc, unit_scores(units, model[0])[unit])
+                found[at : at + n] = probability(worst, model)
+            yield pa.array(found)
+
+    return docs.withColumn("_tox_score", F.arrow_udf(run, "double")(F.col(text)))
 
 
 def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

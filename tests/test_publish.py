@@ -1,0 +1,123 @@
+"""S04, M05, M06 on stores of whole versions; A09 on a stream."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from txrisk.operators import accounts, model
+from txrisk.sources.publish import Published, open_or_build_table, publish_table
+from txrisk.streaming.account_stream import read_accounts, start_account_sink
+
+
+def test_S04_built_once_and_opened_again(spark, tmp_out):
+    path, built = tmp_out("store"), []
+    build = lambda: (built.append(1), spark.range(5).toDF("x"))[1]
+    assert open_or_build_table(spark, path, build).count() == 5
+    assert open_or_build_table(spark, path, build).count() == 5 and len(built) == 1
+    assert publish_table(spark.range(7).toDF("x"), path).count() == 7
+    assert open_or_build_table(spark, path, build).count() == 7 and len(built) == 1
+
+
+def test_S04_readers_of_an_old_version_go_on(spark, tmp_out):
+    path = tmp_out("readers")
+    old = open_or_build_table(spark, path, lambda: spark.range(5).toDF("x"))
+    publish_table(old.where("x > 2"), path)  # written from the version that it replaces
+    assert old.count() == 5 and open_or_build_table(spark, path, lambda: 1 / 0).count() == 2
+
+
+def test_S04_a_failed_write_changes_nothing(spark, tmp_out):
+    path = tmp_out("failing")
+
+    def dies(folder):
+        spark.range(3).write.parquet(folder)
+        raise OSError("disk full")
+
+    store = Published(spark, path)
+    with pytest.raises(OSError):
+        store.open_or_publish(dies)
+    assert store.current() is None
+    open_or_build_table(spark, path, lambda: spark.range(4).toDF("x"))
+    before = store.current()
+    with pytest.raises(OSError):
+        store.publish(dies)
+    assert store.current() == before and spark.read.parquet(before).count() == 4
+
+
+def test_S04_two_builders_leave_one_version_that_both_use(spark, tmp_out):
+    path = tmp_out("race")
+    first, second = Published(spark, path), Published(spark, path)
+    seen = []
+
+    def slow(folder):  # another builder ends while this one writes
+        seen.append(second.open_or_publish(lambda f: spark.range(9).write.parquet(f)))
+        spark.range(4).write.parquet(folder)
+
+    assert first.open_or_publish(slow) == seen[0] == second.current()
+    assert spark.read.parquet(first.current()).count() == 9
+
+
+def test_S04_pointers_are_exclusive_and_unfinished_ones_are_skipped(spark, tmp_out):
+    store = Published(spark, tmp_out("pointers"))
+    one = store.publish(lambda f: spark.range(1).write.parquet(f))
+    assert not store._point(0, "other.") and store.current() == one
+    assert store._point(1, "half")  # a writer that died while it wrote its pointer
+    assert store.current() == one
+    two = store.publish(lambda f: spark.range(2).write.parquet(f))
+    assert store.current() == two and store._numbers() == [0, 1, 2]
+
+
+@pytest.fixture(scope="module")
+def small(spark, tx):
+    return tx.where("txn_no % 5 = 0").cache()
+
+
+def test_M05_M06_models_are_published_whole(spark, small, tmp_out, monkeypatch):
+    path = tmp_out("models")
+    fitted = model.open_or_train(small, path, trees=2, depth=2)
+    again = model.open_or_train(small, path, trees=99)  # loaded, not trained
+    assert again.stages[-1].getNumTrees == 2
+    score = lambda m: sorted(tuple(r) for r in model.score_transactions(m, small).collect())
+    assert score(fitted) == score(again)
+    store = Published(spark, path)
+    before = store.current()
+
+    class Dies:
+        def write(self):
+            raise OSError("no space")
+
+    with pytest.raises(OSError):
+        model.publish_model(Dies(), path)
+    assert store.current() == before
+    model.publish_model(model.train_model(small, trees=3, depth=2), path)
+    assert model.open_or_train(small, path).stages[-1].getNumTrees == 3
+
+
+def test_A09_stream_over_batches_and_a_restart(spark, tx, tmp_out):
+    source, out = tmp_out("arriving").removeprefix("file:"), tmp_out("accounts")
+    keep = ["TransactionID", "AccountID", "AccountName", "NewBalance", "IsFraud", "txn_no"]
+    rows = tx.select(*keep).withColumn("AccountID", F.when(F.col("txn_no") % 97 == 0, None).otherwise(F.col("AccountID")))
+    parts = [rows.where(F.col("txn_no") % 4 == k) for k in (2, 0, 3, 1)]  # first rows arrive late
+    os.makedirs(source)
+
+    def drain():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+        query = start_account_sink(stream, out, out + "-checkpoint")
+        query.awaitTermination()
+        assert query.exception() is None
+        return query.lastProgress
+
+    for k, part in enumerate(parts):
+        part.coalesce(2).write.parquet(f"{source}/{k}")
+        if k % 2 == 1:
+            progress = drain()  # a new query each time: a restart from the checkpoint
+    arrived = rows
+    for limit in (None, 10):
+        want = accounts.account_summary(arrived, limit=limit)
+        assert sorted(tuple(r) for r in read_accounts(spark, out, limit).collect()) == sorted(tuple(r) for r in want.collect())
+    assert "RocksDB" in str(progress) or "rocksdb" in str(progress).lower()
+    drain()  # nothing new
+    assert read_accounts(spark, out, None).count() == accounts.account_summary(arrived, limit=None).count()
+    assert len([f for f in os.listdir(out.removeprefix("file:")) if f.startswith("batch=")]) >= 4

@@ -79,6 +79,34 @@ TIMESTAMP_FALLBACK_PATTERNS = [
 ]
 
 
+# ---- fixed values: the shapes of ISO 8601 text, one layout each ------------
+ISO_SHAPES = {
+    "iso date": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "iso minutes": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$",
+    "iso seconds": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "iso fraction": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}[.][0-9]{1,9}$",
+    "iso T minutes": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{2}$",
+    "iso T seconds": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "iso T fraction": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{2}:[0-9]{2}[.][0-9]{1,9}$",
+}
+TIME_LAYOUTS = [*ISO_SHAPES, *TIMESTAMP_FALLBACK_PATTERNS]
+
+
+def parse_layout(c: Column, layout: str) -> Column:
+    """Text of one layout as a timestamp, in one expression; any other text is NULL."""
+    if layout in ISO_SHAPES:
+        return F.when(c.rlike(ISO_SHAPES[layout]), c.try_cast("timestamp_ntz"))
+    return F.try_to_timestamp(c, F.lit(layout)).cast("timestamp_ntz")
+
+
+def layout_mask(c: Column) -> Column:
+    """A bit for each of ``TIME_LAYOUTS`` that a text has; 0 for a missing one."""
+    mask = F.lit(0).cast("long")
+    for i, layout in enumerate(TIME_LAYOUTS):
+        mask = mask + F.when(parse_layout(c, layout).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    return mask
+
+
 def parse_timestamp(c: Column) -> Column:
     """Lenient timestamp parse: bad text becomes NULL (no ANSI error).
 

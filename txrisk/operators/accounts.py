@@ -2,14 +2,16 @@
 
 "First row of an account" is the row with the smallest transaction order: the
 number of the transaction, then its id as text, then the values themselves, so
-that it is one stored row even where orders tie.  It is the minimum of one
-struct, found in the same pass as the counts: partial per task, so a hot account
-(even a third of all rows) is one partial row per task.
+that it is one stored row even where orders tie.  Every pass over the facts is a
+hash aggregate of fixed-width values (smallest order, counts), so a hot account (even
+a third of all rows) is one partial row per task and no row is sorted.  The few
+rows that have an account's smallest order are joined back, and the smallest of
+them is taken whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk import schema as S
@@ -33,9 +35,10 @@ def row_order(df: DataFrame, op: str, order_by: str | None = None) -> list[Colum
     return [F.when(F.col("TransactionID").isNotNull(), number), *tie]
 
 
-def _placed(order: list[Column], row: Column, missing: Column) -> Column:
-    """A struct that compares by order, then by the row; ``missing`` tells rows without an order apart."""
-    return F.struct(missing.alias("missing"), *[c.alias(f"o{i}") for i, c in enumerate(order)], row.alias("row"))
+def _ordered(df: DataFrame, op: str, order_by: str | None) -> DataFrame:
+    """``df`` with ``_order``, and ``_tie`` for rows of the same order."""
+    order = row_order(df, op, order_by)
+    return df.withColumns({"_order": order[0], "_tie": order[1] if len(order) > 1 else F.lit(None).cast("string")})
 
 
 def _account_rollup(
@@ -44,17 +47,25 @@ def _account_rollup(
     require(df, "account_summary", "AccountID")
     if balance not in ("first", "latest"):
         raise ValueError("balance must be 'first' or 'latest'")
-    order = row_order(df, "account_summary", order_by)
-    row = F.struct(*[(F.col(src) if src in df.columns else F.lit(default)).alias(out) for out, (src, default) in fields.items()])
+    rows = _ordered(df, "account_summary", order_by)
     fraud = F.coalesce(F.sum(numeric_value(df, "IsFraud").cast("long")), F.lit(0)) if "IsFraud" in df.columns else F.lit(0).cast("long")
-    first = F.min(_placed(order, row, order[0].isNull()))
-    aggs = [first.alias("_first"), F.count(F.lit(1)).alias("TransactionCount"), fraud.alias("FraudCount")]
-    if balance == "latest":
-        aggs.append(F.max(_placed(order, row, order[0].isNotNull())).alias("_last"))
-    rolled = df.groupBy("AccountID").agg(*aggs)
+    latest = balance == "latest"
+    taken = F.max("_order") if latest else F.min("_order")
+    rolled = rows.groupBy("AccountID").agg(F.min("_order").alias("_first"), taken.alias("_at"), F.count(F.lit(1)).alias("TransactionCount"), fraud.alias("FraudCount"))
+    if limit is not None:  # with all accounts that tie with the last of them; few unless ids have no number
+        place = F.rank().over(Window.orderBy(F.col("_first").asc_nulls_last()))
+        rolled = rolled.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+    stored = [(out, src) for out, (src, _) in fields.items() if src in df.columns]
+    named = rows.select("AccountID", "_order", "_tie", F.struct(F.lit(0).alias("_"), *[F.col(src).alias(out) for out, src in stored]).alias("_row"))
+    ids = rolled.select(F.col("AccountID").alias("_id"), F.col("_at").alias("_when"))
+    found = named.join(ids, F.col("AccountID").eqNullSafe(F.col("_id")) & F.col("_order").eqNullSafe(F.col("_when")))
+    one = F.struct("_tie", "_row")
+    found = found.groupBy("_id").agg((F.max(one) if latest else F.min(one)).alias("_one"), F.min("_tie").alias("_tie"))
+    out = rolled.join(found, F.col("AccountID").eqNullSafe(F.col("_id")), "left")
     if limit is not None:
-        rolled = rolled.orderBy("_first", "AccountID").limit(limit)
-    return rolled.withColumn("_row", F.col("_first.row" if balance == "first" else "_last.row"))
+        out = out.orderBy(F.col("_first").asc_nulls_last(), "_tie", "AccountID").limit(limit)
+    defaults = {o: (F.col(f"_one._row.{o}") if (o, s_) in stored else F.lit(d)) for o, (s_, d) in fields.items()}
+    return out.withColumn("_row", F.struct(*[c.alias(o) for o, c in defaults.items()]))
 
 
 SUMMARY_FIELDS = {"AccountName": ("AccountName", "Unknown"), "NewBalance": ("NewBalance", 0.0)}
@@ -102,8 +113,13 @@ def account_details(df: DataFrame, account_id: str, balance: str = "first", orde
 
 
 def first_txn_per_account(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """The whole first row of every account, by the same order as A09."""
-    order = row_order(df, "first_txn_per_account", order_by)
-    row = F.struct(*[col(c) for c in df.columns])
-    found = df.groupBy("AccountID").agg(F.min(_placed(order, row, order[0].isNull())).alias("_first"))
-    return found.select("_first.row.*")
+    """The whole first row of every account, by the same order as A09.
+
+    The smallest order of each account is found by a hash aggregate and its row by
+    a join, instead of a window that would sort every account.
+    """
+    rows = _ordered(df, "first_txn_per_account", order_by)
+    first = rows.groupBy("AccountID").agg(F.min("_order").alias("_at")).withColumnRenamed("AccountID", "_id")
+    same = F.col("AccountID").eqNullSafe(F.col("_id")) & F.col("_order").eqNullSafe(F.col("_at"))
+    row = F.struct("_tie", F.struct(*[col(c) for c in df.columns]).alias("row"))
+    return rows.join(first, same).groupBy("_id").agg(F.min(row).alias("_row")).select("_row.row.*")

@@ -69,7 +69,7 @@ def numeric_profile(df: DataFrame, digits: int | None = None) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def _amount_column(df: DataFrame) -> str | None:
+def amount_column(df: DataFrame) -> str | None:
     for name in ("Amount", "AmountTaken"):
         if name in df.columns:
             return name
@@ -85,14 +85,18 @@ def value_count_rows(df: DataFrame) -> DataFrame:
     One grouping-sets aggregate over the keys alone: each row is expanded to a
     narrow row per key, reduced map-side, and the counts are never gathered.
     """
-    dims = [(c, s) for c, s in COUNT_SECTIONS if c in df.columns]
-    if not dims:
+    cells = value_cells(df)
+    if not cells:
         return df.sparkSession.createDataFrame([], "section string, key string, n long")
-    cells = [F.struct(F.lit(s).alias("section"), numeric_safe(df, c).alias("key")) for c, s in dims]
     keys = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
     return keys.where(F.col("key").isNotNull()).groupBy("section", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_cells(df: DataFrame) -> list[Column]:
+    """A struct (section, key) for each of the counted columns that are present."""
+    return [F.struct(F.lit(s).alias("section"), numeric_safe(df, c).alias("key")) for c, s in COUNT_SECTIONS if c in df.columns]
+
+
 def numeric_safe(df: DataFrame, name: str) -> Column:
     """A key column as text; NaN is missing."""
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
@@ -105,7 +109,7 @@ def totals_row(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")] + numeric_stats_aggs(df)
     if "Risk" in df.columns:
         high = F.col("Risk") == "HIGH"
-        amt = _amount_column(df)
+        amt = amount_column(df)
         hi_amt = F.sum(F.when(high, numeric_value(df, amt))) if amt else F.lit(None)
         aggs += [F.count_if(high).alias("_hi_n"), F.coalesce(hi_amt, F.lit(0.0)).cast("double").alias("_hi_amt")]
     return df.agg(*aggs)
@@ -121,6 +125,12 @@ def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
     counts, as pandas ``value_counts`` does.  The statistics are one global
     aggregate; the counts stay rows, however many values a column has.
     """
+    counts = value_count_rows(df).select("section", "key", F.col("n").cast("double").alias("value"))
+    return long_rows(totals_row(df), df, digits).union(counts)
+
+
+def long_rows(totals: DataFrame, df: DataFrame, digits: int | None) -> DataFrame:
+    """The one row of :func:`totals_row` for the columns of ``df`` as rows (section, key, value)."""
     nums = numeric_columns(df)
 
     def row(section, key, value):
@@ -147,8 +157,7 @@ def profile_long(df: DataFrame, digits: int | None = 6) -> DataFrame:
             row("high_risk_count", F.lit(None), F.lit(0)),
             row("high_risk_amount", F.lit(None), F.lit(0.0)),
         ]
-    counts = value_count_rows(df).select("section", "key", F.col("n").cast("double").alias("value"))
-    return totals_row(df).select(F.inline(F.array(*total))).union(counts)
+    return totals.select(F.inline(F.array(*total)))
 
 
 # ---- fixed values: dtype names the reference reports (pandas), by Spark type

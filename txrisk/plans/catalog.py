@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from txrisk import schema as S
 from txrisk.functions.columns import fit_row, format_account_id, format_customer_name, format_timestamp, format_txn_id, rate_band
 from txrisk.operators import accounts, analytics, features, model, profile, rules
+from txrisk.operators.time_layout import parse_time_column
 from txrisk.plans.dashboard import dashboard_rollup
 from txrisk.session import fresh_path
-from txrisk.sources import io
+from txrisk.sources import io, publish
 from txrisk.sources.account_index import AccountIndex, build_account_index
 from txrisk.sources.fixture import read_table, transactions
+from txrisk.sources.ledger import FileLedger
+from txrisk.streaming.account_stream import run_account_stream
 from txrisk.streaming.features_stream import run_feature_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,11 +173,20 @@ TIME_LAYOUTS = [
 ]
 
 
-def _time_text(spark, sf):
-    """Timestamps as text in many layouts."""
-    df = _dirty(spark, sf)
+def _many_layouts(spark, sf):
+    """The gapped table with its timestamps as text in many layouts."""
     text = F.element_at(F.array(*[F.date_format("Timestamp", x) for x in TIME_LAYOUTS]), (F.col("txn_no") % len(TIME_LAYOUTS) + 1).cast("int"))
-    return _only(features.add_time_features(df.withColumn("Timestamp", text)), "Hour", "DayOfWeek", "IsNight", "IsWeekend")
+    return _dirty(spark, sf).withColumn("Timestamp", text)
+
+
+def _time_text(spark, sf):
+    """Every row read by its own layout."""
+    return _only(features.add_time_features(_many_layouts(spark, sf)), "Hour", "DayOfWeek", "IsNight", "IsWeekend")
+
+
+def _time_layout(spark, sf):
+    """All rows read by the layout of the first; the others are missing."""
+    return _only(features.add_time_features(parse_time_column(_many_layouts(spark, sf))), "Hour", "DayOfWeek", "IsNight", "IsWeekend")
 
 
 def _scan_quoted(spark, sf):
@@ -214,6 +226,46 @@ def _account_lookup(spark, sf):
     return index.rows_of(*first).groupBy("AccountID").agg(F.count("*").alias("n_rows"), F.sum("Amount").alias("amount"), F.sum("IsFraud").alias("fraud"))
 
 
+def _grown_ledger(spark, sf) -> FileLedger:
+    """The table written in two parts, with a ledger that reads each part once."""
+    tx, folder = _tx(spark, sf), fresh_path(spark, "growing")
+    ledger = FileLedger(spark, folder, folder + "-ledger")
+    for part in (0, 1):
+        io.write_transactions(tx.where(F.col("txn_no") % 2 == part), folder, mode="append")
+        ledger.extend()
+    return ledger
+
+
+def _sketched_summary(spark, sf):
+    """The ledger's summary, with how far its estimate of the accounts is from the exact count."""
+    exact = fit_row(_tx(spark, sf), F.countDistinct("AccountID"))[0]
+    near = F.abs(F.col("n_accounts") - F.lit(exact)) <= F.lit(0.04 * exact + 1)
+    return _grown_ledger(spark, sf).dataset_summary().select("n_rows", "n_columns", near.alias("accounts_near"), "fraud_mean")
+
+
+def _first_accounts_by_files(spark, sf):
+    """The first accounts of the table stored in its order: from its first files."""
+    folder = fresh_path(spark, "by-order")
+    _tx(spark, sf).repartitionByRange(8, "txn_no").write.parquet(folder)
+    ledger = FileLedger(spark, folder, folder + "-ledger")
+    ledger.extend()
+    return ledger.first_accounts()[0]
+
+
+def _published_table(spark, sf):
+    """The current version of a table after a second version was published."""
+    path = fresh_path(spark, "published")
+    publish.open_or_build_table(spark, path, lambda: _tx(spark, sf).where("IsFraud = 1"))
+    publish.publish_table(_tx(spark, sf), path)
+    return publish.open_or_build_table(spark, path, lambda: _tx(spark, sf).limit(0))
+
+
+def _label_ranks(spark, sf):
+    """Codes of a column with as many values as rows, all with one beginning: ranked in ranges."""
+    ids = _tx(spark, sf).select(F.concat(F.lit("TXN-"), F.col("TransactionID")).alias("value")).distinct()
+    return model.distinct_ranks(ids, "value", "code", parts=16)
+
+
 def _standardize(spark, sf):
     matrix = model.feature_matrix(_tx(spark, sf))
     cols = [c for c in matrix.columns if c != "TransactionID"]
@@ -353,6 +405,15 @@ def queries() -> dict[str, Query]:
         "card_fraud_sql_nan": lambda s, sf: analytics.card_fraud_sql(_nan(s, sf)),
         "mode_risk_sql_nan": lambda s, sf: analytics.mode_risk_sql(_nan(s, sf)),
         "feat_time_text": _time_text,
+        "feat_time_layout": _time_layout,
+        "label_ranks": _label_ranks,
+        # ---- figures kept by file, published versions, accounts on a stream -----------
+        "profile_incremental": lambda s, sf: _grown_ledger(s, sf).profile_long(),
+        "numeric_profile_incremental": lambda s, sf: _grown_ledger(s, sf).numeric_profile(digits=4),
+        "dataset_summary_sketch": _sketched_summary,
+        "first_accounts_by_files": _first_accounts_by_files,
+        "published_table": _published_table,
+        "stream_accounts": lambda s, sf: run_account_stream(s, sf),
         "scan_csv_quoted": _scan_quoted,
         "scan_csv_reordered": _scan_reordered,
     }

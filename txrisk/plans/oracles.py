@@ -499,6 +499,25 @@ FROM tx"""
     o["card_fraud_sql_nan"] = o["card_fraud_dirty"]
     o["mode_risk_sql_nan"] = DIRTY_CTE + o["mode_risk"][len(FIXTURE_CTE) :]
     o["feat_time_text"] = f'SELECT TransactionID, "Hour", DayOfWeek, IsNight, IsWeekend FROM ({o["feat_time"]}) t'
+    o["feat_time_layout"] = f"""WITH f AS (SELECT *, CAST(substr(TransactionID, 4) AS BIGINT) % 7 AS layout,
+  CAST(substr(TransactionID, 4) AS BIGINT) AS n FROM ({o["feat_time"]}) t),
+g AS (SELECT *, "Timestamp" IS NOT NULL AND layout = (SELECT arg_min(layout, n) FROM f WHERE "Timestamp" IS NOT NULL) AS good FROM f)
+SELECT TransactionID, CASE WHEN good THEN "Hour" ELSE 12 END AS "Hour", CASE WHEN good THEN DayOfWeek ELSE 0 END AS DayOfWeek,
+  CASE WHEN good THEN IsNight ELSE 0 END AS IsNight, CASE WHEN good THEN IsWeekend ELSE 0 END AS IsWeekend FROM g"""
+    o["profile_incremental"] = o["profile_long"]
+    o["numeric_profile_incremental"] = o["numeric_profile"]
+    o["dataset_summary_sketch"] = (
+        FIXTURE_CTE
+        + """SELECT COUNT(*) AS n_rows, 19 AS n_columns, TRUE AS accounts_near, avg(CAST(IsFraud AS DOUBLE)) AS fraud_mean FROM tx"""
+    )
+    o["first_accounts_by_files"] = o["first_accounts"]
+    o["published_table"] = o["load_or_materialize"]
+    o["stream_accounts"] = o["account_summary_all"]
+    o["label_ranks"] = (
+        FIXTURE_CTE
+        + """SELECT 'TXN-' || TransactionID AS "value", CAST(row_number() OVER (ORDER BY TransactionID) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT TransactionID FROM tx) t"""
+    )
     o["scan_csv_quoted"] = "SELECT page_id, url, html FROM pages"
     o["scan_csv_reordered"] = o["csv_round_trip"]
     o["train_model"] = FIXTURE_CTE + "SELECT TransactionID, TRUE AS is_class, TRUE AS is_percent FROM tx"

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from txrisk import schema as S
 from txrisk.functions.columns import col, fit_row
 from txrisk.session import fresh_path
+from txrisk.sources import csv_ranges
 
 # CSV timestamp text: the reference format plus optional microseconds.
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -120,29 +121,45 @@ def read_csv_inferred(spark: SparkSession, path: str | None, multiline: bool = T
     """Any CSV with a header; column types are inferred like the
     reference's reader does it.
 
-    The file is read as text (quoted commas, quotes and, with ``multiline``,
-    line breaks; one task per file then), every spelling of "missing" becomes
-    NULL, then ONE aggregate pass decides each column's type: whole numbers
-    without gaps -> bigint; numbers (or whole numbers with gaps) -> double; only
-    True/False without gaps -> boolean; anything else stays text (dates
-    included: they are parsed later by the feature step).  A row with more
-    fields than the header is an ``UploadError``; missing ones are NULL.  The
-    typed table is written to the shared folder, so the text is parsed twice
-    whatever is done with the upload.
+    The fields are read as text (quoted commas, quotes and, with ``multiline``,
+    line breaks; large files are read in ranges by many tasks either way), every
+    spelling of "missing" becomes NULL, and they are written once to the shared
+    folder.  ONE aggregate pass over the written columns decides each one's type:
+    whole numbers without gaps -> bigint; numbers (or whole numbers with gaps) ->
+    double; only True/False without gaps -> boolean; anything else stays text (dates
+    included: they are parsed later by the feature step).  The result casts the
+    written columns as they are read.  A row with more fields than the header is
+    an ``UploadError``; missing ones are NULL.
     """
     check_upload(path)
     names = distinct_names(_header(spark, path, multiline))
     raw_names = [f"_c{i}" for i in range(len(names))]
     text = T.StructType([T.StructField(n, T.StringType()) for n in [*raw_names, EXTRA]])
-    raw = spark.read.schema(text).options(**CSV_DIALECT, multiLine=multiline).option("mode", "PERMISSIVE").csv(path)
-    clean = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in raw_names], EXTRA)
-    types = infer_types(clean.select(*raw_names, F.when(F.col(EXTRA).isNotNull(), F.lit("x")).alias(EXTRA)))
+    stored = fresh_path(spark, "upload-text")
+    for raw in _raw_fields(spark, path, text, multiline):
+        known = [F.when(F.col(c).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in raw_names]
+        raw.select(*known, F.when(F.col(EXTRA).isNotNull(), F.lit("x")).alias(EXTRA)).write.mode("append").parquet(stored)
+    clean = spark.read.schema(text).parquet(stored)
+    types = infer_types(clean)
     if types.pop(EXTRA) == "string":
         raise UploadError(f"Error tokenizing data: a row has more than {len(names)} fields")
-    stored = fresh_path(spark, "upload-typed")
-    typed = clean.select(*[F.col(c).cast(t).alias(n) for (c, t), n in zip(types.items(), names, strict=True)])
-    typed.write.parquet(stored)
-    return spark.read.parquet(stored)
+    return clean.select(*[F.col(c).cast(t).alias(n) for (c, t), n in zip(types.items(), names, strict=True)])
+
+
+def _raw_fields(spark: SparkSession, path: str, text: T.StructType, multiline: bool) -> list[DataFrame]:
+    """The fields of all records as text, in one or two tables."""
+    if not multiline or _carriage_returns_only(spark, path):
+        return [spark.read.schema(text).options(**CSV_DIALECT, multiLine=multiline).option("mode", "PERMISSIVE").csv(path)]
+    ddl = ", ".join(f"{n} string" for n in text.names)
+    options = {k: str(v) for k, v in CSV_DIALECT.items() if k != "header"}
+    one = F.regexp_replace("text", "\r$", "")  # a CRLF file
+    return [r.select(F.from_csv(one, ddl, options).alias("r")).select("r.*") for r in csv_ranges.records(spark, path)]
+
+
+def _carriage_returns_only(spark: SparkSession, path: str) -> bool:
+    """Whether the lines end with a carriage return alone, which no range can be cut at."""
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    return first is not None and "\r" in first["value"].rstrip("\r") and '"' not in first["value"]
 
 
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"

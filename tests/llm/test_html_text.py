@@ -76,3 +76,46 @@ def test_a_text_on_a_third_of_a_large_host_stays(spark):
     tree = spark.createDataFrame(rows, "host string, kind int, path long, value long, pages long")
     removed = {k for r in html_text.low_branches(tree).collect() for k in r.removed}
     assert 7 not in removed and 8 in removed
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>one</p><a href=x title=it's>two</a><p>three</p><p>it's four</p>", "one two three it's four"),
+        ("<p title='a > b'>one</p><p class=\"x>y\">two</p>", "one two"),
+        ("<p \"odd>one</p><p>two \"quoted\"</p>", 'one two "quoted"'),
+        ("<a title=\"never closed>one</a><p>two</p>", "one two"),
+        ("<p data-x=a'b\"c>one</p><p>two</p>", "one two"),
+        ("<p>energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds</p>", "energy E=m holds"),
+        ("<main><p>Body text of the page</p><article class='teaser'>Teaser card</article></main>", "Body text of the page Teaser card"),
+        ("<main><div>Short head</div><article><p>Long article text that is most of it</p></article></main>", "Long article text that is most of it"),
+        ("<main><p>Body</p></main><article>Other story elsewhere</article>", "Body"),
+        ("<article><div class='related-work'><p>Prior art</p></div><p class='social'>Society</p><p>End</p></article>", "Prior art Society End"),
+        ("<article><p>Text</p><div class='related-links'><p>More</p></div><ul class='social'><li>Post</li></ul><div id='share-bar'>Share</div></article>", "Text"),
+        ("<p>Text</p><div class='related-work'>Elsewhere</div>", "Text"),
+    ],
+)
+def test_tags_and_parts(html, want):
+    assert X.main_text(html) == want
+
+
+def test_tags_end_where_a_reference_parser_ends_them():
+    import random
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_data(self, data):
+            self.found.append(data)
+
+    rng = random.Random(3)
+    pieces = ["<b>", "</b>", "<i class=a>", "</i>", "<i title=it's>", '<i title="a>b">', "<i title='a>b'>", "<i a=b'c\"d x>", " word ", "x", "<br>", "<i a = 'q' b>", "&amp;", "5 > 3 ", "it's "]
+    for _ in range(500):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        parser = Texts()
+        parser.feed(html)
+        parser.close()
+        assert X.main_text(f"<p>{html}</p>").split() == "".join(x if x.strip() else " " for x in parser.found).split() or "<br>" in html, html

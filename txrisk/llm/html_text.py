@@ -14,7 +14,8 @@ The tree says what a site repeats.  What a page itself declares is used too,
 as an advert or a footer may be new on every page: menus, page headers,
 footers, asides, forms, scripts, hidden elements, and elements whose class, id
 or role names such a part are left out; if a page declares an article (or else
-a main part), only that is read.  If the tree would leave nothing of a page, or
+a main part), only that is read; of a page with both, the article if it is at
+least half of the main part's text, else the main part.  If the tree would leave nothing of a page, or
 less than half of a declared article, its declared content stands.
 
 Counts are partial aggregates over (host, path, value) rows, so a host of any
@@ -45,15 +46,18 @@ COMMON = 0.9
 COMMON_SHARE = 0.5  # of the pages of a host, at every size
 LEAST = 8
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>", re.S)
+# a quote opens a value only after "="; anywhere else it is a character like any other, and ">" ends the tag
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?][^>]*>", re.S)
 UNFINISHED = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
-ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
+ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noembed noframes noscript iframe template svg math canvas object".split())
+RAW = frozenset("script style textarea title xmp noembed noframes noscript iframe template svg canvas object annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong "
-    "sub sup time tt u var wbr input button select".split()
+    "sub sup time tt u var wbr input button select math semantics mi mo mn ms mtext mrow mstyle mfrac msqrt mroot msub msup msubsup munder mover "
+    "mfenced mspace".split()
 )
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th".split())
 DROPPED = frozenset("head nav aside form footer dialog menu button select datalist option audio video map".split()) | RAW
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}}
 SCOPES = frozenset("ul ol dl table body html article main section div td th".split())
@@ -61,6 +65,12 @@ NOISE_WORD = frozenset(
     "ad ads adv advt adbox nav navbar side menu menus footer foot masthead topbar modal overlay alert alerts gdpr popup popups cookies toolbar "
     "pager share sharing social related recirc replies reply respond reactions discussion breadcrumb breadcrumbs login signup widget widgets".split()
 )
+# words that an article may also use for a part of its own ("related-work"): there they are noise only beside these
+AMBIGUOUS = frozenset("side menu related social share sharing reply respond reactions discussion alert alerts foot login".split())
+NEUTRAL = frozenset(
+    "links link list lists box block bar buttons button icons icon posts post articles article stories story items item content container wrapper "
+    "wrap section area news more reading topics media tools inner outer top bottom left right".split()
+)
 NOISE_START = (
     "advert", "sponsor", "promo", "banner", "sidebar", "comment", "cookie", "consent", "notice", "notif", "navig", "newsletter", "subscri",
     "recommend", "pagination", "disqus",
@@ -82,9 +92,13 @@ def declared_noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in NOISE_ROLE:
         return True
-    for w in re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()):
-        if w in NOISE_WORD or w.startswith(NOISE_START) or (w == "header" and not inside):
-            return True
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = re.split(r"[^a-z0-9]+", name)
+        for w in words:
+            if w in AMBIGUOUS and inside and (tag in TEXT or not all(x in NOISE_WORD or x in NEUTRAL or x.isdigit() or not x for x in words)):
+                continue
+            if w in NOISE_WORD or w.startswith(NOISE_START) or (w == "header" and not inside):
+                return True
     return False
 
 
@@ -188,6 +202,10 @@ def main_text(html: str, removed: frozenset | set = frozenset()) -> str:
     blocks = Page(html).blocks
     blocks = [b for b in blocks if not b[2]]
     part = next((k for k in (3, 4) if any(b[k] for b in blocks)), 0)
+    if part == 3 and any(b[4] for b in blocks):  # both: the article is the main part's if it is most of it
+        main = [b for b in blocks if b[4]]
+        part = 3 if 2 * sum(len(b[1]) for b in main if b[3]) >= sum(len(b[1]) for b in main) else 4
+        blocks = main
     if part:
         blocks = [b for b in blocks if b[part]]
     if removed:

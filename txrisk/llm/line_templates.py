@@ -2,35 +2,36 @@
 
 Every line is a path in a tree of fixed depth: its number of tokens, then its
 first ``DEPTH`` tokens; tokens with digits are variable fields and count as
-``<*>``.  A leaf holds the distinct lines that agree so far.  Inside a leaf,
-lines are taken in order of their documents, each joining the most similar
-template if at least ``SIMILAR`` of its tokens agree; where they differ the
-template gets a variable field.  A template is recurring if it stands in
-``DOCUMENTS`` documents, or in ``LONG_DOCUMENTS`` if it has ``LONG`` tokens or
-more.  Every line of a recurring template is dropped from every document.
-
-Lines are counted as (leaf, line) hashes by partial aggregates, so a line that
-a third of all documents share is one row per task.  Only leaves with several
-lines are parsed, and only their lines' tokens are moved; a bit table of
-``2**LEAF_BITS`` leaf hashes (2 MB) leaves out the others at the scan, the join
-behind it is exact.  The depth is the same at every size: a leaf of more than
-``LEAF_LINES`` distinct lines is merged in pieces of about that many, the pieces'
-templates are merged again, and so on; when a round leaves more than ``FEWER`` of
-a leaf's templates, the rest meet in one piece, so that none stays apart.
+``<*>``.  A leaf holds the distinct lines that agree so far.  In a leaf, a token is
+a constant of its place if enough documents have it there, else a variable
+field.  So each line has a template of constants and fields, and further ones with one more
+of its constants as a field; a template is a template only if at least ``SIMILAR``
+of its places are constant.  It recurs if enough documents have a line of it.
+"Enough" is ``DOCUMENTS``; from ``LONG`` tokens on it is ``LONG_DOCUMENTS``, as so long a line
+does not come about twice by chance.  Every line of a recurring template, and every
+line that enough documents share as it is, is dropped from every document.
+
+Nothing here depends on the order of lines or on the size of a leaf: constants and
+templates are counts by key, so a leaf is never in one task.  Lines are counted as (leaf,
+line) hashes by partial aggregates, so a line that a third of all documents share
+is one row per task.  A template is the exclusive-or of its places' 64-bit hashes;
+one more field is two more hashes, so a line of n tokens has n short rows.  Texts are split
+and masked once; the masked lines are stored, and only those of leaves that can hold a
+recurring template are read again (a bit table of ``2**LEAF_BITS`` leaf hashes, 2 MB,
+leaves out the others, the join behind it is exact).
 
 Defined cases: a null text has no lines and stays null; an empty text has one
 empty line; lines without tokens are never dropped; a line that repeats within
 one document counts once; rows without ``doc_id`` count as documents by their
 text; repeated rows are one document if they share a ``doc_id``; an empty table
-gives no rows.  Extra columns are kept by :func:`drop_recurring`.
+gives no rows.  Other columns are kept by :func:`drop_recurring`, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.units import bounded_batches
@@ -40,9 +41,8 @@ DEPTH = 3
 SIMILAR = 0.6
 DOCUMENTS = 5
 LONG, LONG_DOCUMENTS = 50, 2
-LEAF_LINES = 2000
-FEWER = 0.9
 LEAF_BITS = 24
+FIELD = "<*>"
 
 
 def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -81,63 +81,15 @@ def _bit(column: str) -> Column:
     return F.shiftright(column, 64 - LEAF_BITS) + (1 << (LEAF_BITS - 1))
 
 
-def templates(group: pd.DataFrame) -> pd.DataFrame:
-    """(line, template) for the lines of leaves (``key``) that share a template with another line of theirs."""
-    found = [m for _, leaf_ in group.groupby("key", sort=False) for m, _ in one_leaf(leaf_)]
-    return pd.DataFrame([(x, m[0]) for m in found if len(m) > 1 for x in m], columns=["line", "template"]).astype("int64")
-
-
-def one_leaf(group: pd.DataFrame) -> list[tuple[list[int], str]]:
-    """(lines, text) of the templates of a leaf, or of a piece of it."""
-    group = group.sort_values(["docs", "line"], ascending=[False, True])
-    codes = {"<*>": 0}
-    rows = np.array([[codes.setdefault(x, len(codes)) for x in text.split(" ")] for text in group["m"]], np.int32)
-    names = list(codes)
-    found = np.empty_like(rows)
-    members: list[list[int]] = []
-    for line, row in zip(group["line"].tolist(), rows, strict=True):
-        same = (found[: len(members)] == row).sum(1)
-        at = int(same.argmax()) if members else -1
-        if members and same[at] / len(row) >= SIMILAR:
-            found[at, found[at] != row] = 0
-            members[at].append(line)
-        else:
-            found[len(members)] = row
-            members.append([line])
-    return [(m, " ".join(names[c] for c in row)) for m, row in zip(members, found.tolist())]
-
-
-def piece(group: pd.DataFrame) -> pd.DataFrame:
-    """Every line of a leaf's piece with its template, whose first line also gets the template's text."""
-    docs = dict(zip(group["line"].tolist(), group["docs"].tolist(), strict=True))
-    leaf_, k, pieces = group[["leaf", "k", "pieces"]].iloc[0].tolist()
-    out = [(leaf_, x, m[0], text if x == m[0] else None, docs[x], k, pieces) for m, text in one_leaf(group) for x in m]
-    return pd.DataFrame(out, columns=["leaf", "line", "template", "m", "docs", "before", "pieces"])
-
-
-def merged_pieces(spark: SparkSession, units: DataFrame) -> DataFrame:
-    """(line, template) of the lines (leaf, line, m, docs) of large leaves, by rounds of bounded pieces."""
-    whose = units.select("line", F.col("line").alias("template"))
-    units, step = units.withColumn("before", F.lit(None).cast("long")), 0
-    while not units.isEmpty():
-        size = units.groupBy("leaf").agg(F.count("*").alias("k"))
-        fewer = F.col("before").isNull() | (F.col("k") <= FEWER * F.col("before"))
-        cut = units.join(size, "leaf").withColumn("pieces", F.when(fewer, F.ceil(F.col("k") / LEAF_LINES)).otherwise(1).cast("long"))
-        cut = cut.withColumn("piece", F.pmod(F.xxhash64("line", F.lit(step)), F.col("pieces")))
-        schema = "leaf long, line long, template long, m string, docs long, before long, pieces long"
-        done = _kept(spark, cut.groupBy("leaf", "piece").applyInPandas(lambda g: piece(g), schema), "pieces")
-        renamed = done.select(F.col("line").alias("_line"), F.col("template").alias("_template"))
-        whose = whose.join(renamed, F.col("template") == F.col("_line"), "left")
-        whose = _kept(spark, whose.select("line", F.coalesce("_template", "template").alias("template")), "whose")
-        units = done.where("pieces > 1 and m is not null").select("leaf", "line", "m", "docs", "before")
-        step += 1
-    return whose
-
-
-def parse(spark: SparkSession, docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """(line, template) for every line that was generalised with others; a template is named by its first line."""
-    shared = seen.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
-    shared = _kept(spark, shared, "leaves")
+def enough(n: Column, documents: Column) -> Column:
+    """Whether so many documents make a line or template of ``n`` tokens a recurring one."""
+    return documents >= F.when(n >= LONG, LONG_DOCUMENTS).otherwise(DOCUMENTS)
+
+
+def possible(spark: SparkSession, stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """(leaf, line, m, docs, n): the lines of leaves with several lines and enough documents."""
+    shared = seen.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("docs").alias("d"), F.max("n").alias("n"))
+    shared = _kept(spark, shared.where((F.col("k") > 1) & enough(F.col("n"), F.col("d"))).select("leaf"), "leaves")
     words = shared.select(_bit("leaf").alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
     bits = words.agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias("x")).toArrow()  # at most 2**(LEAF_BITS - 6) rows
     table = np.zeros(1 << (LEAF_BITS - 6), np.int64)
@@ -149,47 +101,71 @@ def parse(spark: SparkSession, docs: DataFrame, seen: DataFrame) -> DataFrame:
             b = batch.column("b").to_numpy()
             yield batch.filter(pa.array((mask[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)).select(["leaf", "line", "m"])
 
-    few = lines(docs).select("leaf", "line", "m", _bit("leaf").alias("b")).mapInArrow(may, "leaf long, line long, m string")
+    few = stored.select("leaf", "line", "m", _bit("leaf").alias("b")).mapInArrow(may, "leaf long, line long, m string")
     few = few.groupBy("leaf", "line").agg(F.min("m").alias("m"))  # a frequent line is one row per task
-    todo = _kept(spark, few.join(seen.select("leaf", "line", "docs"), ["leaf", "line"]).join(shared, "leaf"), "parsed")
-    size = todo.groupBy("leaf").agg(F.count("*").alias("k"))
-    sized = _kept(spark, todo.join(size, "leaf"), "sized")
-    small = sized.where((F.col("k") <= LEAF_LINES) & (F.col("k") > 1)).withColumnRenamed("leaf", "key")
-    # leaves are dealt into groups of about LEAF_LINES lines: a group of its own for each would cost more than its work
-    groups = F.pmod("key", F.lit(-(-small.count() // LEAF_LINES) + 1))
-    done = small.groupBy(groups.alias("g")).applyInPandas(lambda g: templates(g), "line long, template long")
-    large = sized.where(F.col("k") > LEAF_LINES).select("leaf", "line", "m", "docs")
-    return done if large.isEmpty() else done.union(merged_pieces(spark, large))
+    return few.join(seen, ["leaf", "line"]).join(shared, "leaf")
+
+
+def templates(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(leaf, key, line, docs, n): every line with the keys of its templates."""
+    place = rows.select("leaf", "line", "docs", "n", F.posexplode(F.split("m", " ")).alias("pos", "token"))
+    field = F.xxhash64("pos", F.lit(FIELD))
+    place = place.select("leaf", "line", "docs", "n", "pos", F.xxhash64("pos", "token").alias("h"), field.alias("w"))
+    place = _kept(spark, place, "places")
+    common = place.where("h != w").groupBy("leaf", "h").agg(F.sum("docs").alias("d"), F.max("n").alias("n"))
+    common = _kept(spark, common.where(enough(F.col("n"), F.col("d"))).select(F.col("leaf").alias("l0"), F.col("h").alias("h0")), "constants")
+    marked = place.join(common, (F.col("leaf") == F.col("l0")) & (F.col("h") == F.col("h0")), "left")
+    constant = F.col("h0").isNotNull()
+    line = Window.partitionBy("leaf", "line")  # a line's own tokens
+    marked = marked.withColumn("constant", constant)
+    marked = marked.withColumns({
+        "whole": F.bit_xor(F.when(F.col("constant"), F.col("h")).otherwise(F.col("w"))).over(line), "constants": F.count_if("constant").over(line)
+    })
+    further = F.when(F.col("constant") & (F.col("pos") >= DEPTH) & (F.col("constants") - 1 >= SIMILAR * F.col("n")), F.col("whole").bitwiseXOR(F.col("h")).bitwiseXOR(F.col("w")))
+    first = F.when((F.col("pos") == 0) & (F.col("constants") >= SIMILAR * F.col("n")), F.col("whole"))
+    keys = marked.select("leaf", F.explode(F.array(first, further)).alias("key"), "line", "docs", "n")
+    return _kept(spark, keys.where("key is not null"), "keys")
 
 
 def recurring(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, line) of all documents, and the lines (line) of recurring templates."""
     bounded_batches(spark)
-    whose = _kept(spark, lines(docs).select("doc", "line", "leaf", "n").distinct(), "seen")
+    stored = _kept(spark, lines(docs), "lines")  # texts are split and masked once
+    whose = _kept(spark, stored.select("doc", "line", "leaf", "n").distinct(), "seen")
     seen = _kept(spark, whose.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.max("n").alias("n")), "counted")
-    merged = _kept(spark, parse(spark, docs, seen), "templates")
-    enough = F.when(F.col("n") >= LONG, F.col("docs") >= LONG_DOCUMENTS).otherwise(F.col("docs") >= DOCUMENTS)
-    alone = seen.where(enough).select("line")
-    joint = whose.join(merged, "line").groupBy("template", "doc").agg(F.max("n").alias("n"))
-    joint = joint.groupBy("template").agg(F.count("*").alias("docs"), F.max("n").alias("n")).where(enough).select("template")
-    return whose, _kept(spark, alone.union(merged.join(joint, "template").select("line")).distinct(), "recurring")
-
-
-def drop_recurring(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines of recurring templates, with ``_n_lines`` and ``_n_dropped``."""
+    alone = seen.where(enough(F.col("n"), F.col("docs"))).select("line")
+    keys = templates(spark, possible(spark, stored, seen))
+    # a template has at least the documents of its most frequent line and at most the sum of all
+    size = keys.groupBy("leaf", "key").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"), F.count("*").alias("k"), F.max("n").alias("length"))
+    size = size.where((F.col("k") > 1) & enough(F.col("length"), F.col("most")))
+    size = size.select("leaf", "key", enough(F.col("length"), F.col("least")).alias("sure"))
+    known = _kept(spark, keys.join(_kept(spark, size, "sizes"), ["leaf", "key"]), "candidates")
+    open_ = known.where(~F.col("sure"))  # lines of few documents each
+    counted = open_.select("leaf", "key", "line", "n").join(whose.select("doc", "line"), "line")
+    counted = counted.groupBy("leaf", "key", "doc").agg(F.max("n").alias("n")).groupBy("leaf", "key").agg(F.count("*").alias("d"), F.max("n").alias("n"))
+    counted = counted.where(enough(F.col("n"), F.col("d"))).select("leaf", "key")
+    joint = known.where("sure").select("line").union(open_.join(_kept(spark, counted, "templates"), ["leaf", "key"]).select("line"))
+    return whose, _kept(spark, alone.union(joint).distinct(), "recurring")
+
+
+def drop_recurring(spark: SparkSession, docs: DataFrame, n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
+    """``docs`` without the lines of recurring templates, and how many lines each had and lost."""
     whose, gone = recurring(spark, docs)
-    drops = whose.join(gone, "line").groupBy("doc").agg(F.collect_set("line").alias("_drops"))
-    drops = _kept(spark, drops, "drops").withColumnRenamed("doc", "_doc")
-    rows = docs.withColumn("_key", document()).join(drops, F.col("_key") == F.col("_doc"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x: F.coalesce(~F.array_contains("_drops", F.xxhash64(masked(x))), F.lit(True)))
-    rows = rows.withColumn("_n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
-    rows = rows.withColumn("_kept", F.when(F.col("_drops").isNull(), F.split("text", "\n")).otherwise(kept))
-    rows = rows.withColumn("_n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")))
-    return rows.withColumn("text", F.array_join("_kept", "\n")).drop("_key", "_doc", "_drops", "_kept")
+    drops = whose.join(gone, "line").groupBy("doc").agg(F.collect_set("line").alias("drops"))
+    drops = _kept(spark, drops, "drops")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), document().alias("own"))  # the caller's names stay apart
+    rows = rows.join(drops, F.col("own") == F.col("doc"), "left")
+    every = F.split("row.text", "\n")
+    left = F.filter(every, lambda x: F.coalesce(~F.array_contains("drops", F.xxhash64(masked(x))), F.lit(True)))
+    rows = rows.withColumn("left", F.when(F.col("drops").isNull(), every).otherwise(left))
+    had = F.coalesce(F.size(every), F.lit(0))
+    lost = F.when(F.col("row.text").isNull(), 0).otherwise(had - F.size("left"))
+    text = F.array_join("left", "\n").alias("text")
+    out = [text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in (n_lines, n_dropped)]
+    return rows.select(*out, had.alias(n_lines), lost.alias(n_dropped))
 
 
 def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` without recurring lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = drop_recurring(spark, docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return drop_recurring(spark, docs, "n_lines", "n_dropped").select("doc_id", "n_lines", "n_dropped", "text")

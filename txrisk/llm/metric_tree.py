@@ -17,8 +17,9 @@ distance, then all others whose radius does not rule them out.  Inside a share
 pages are taken best first; a page or vector is skipped without computing a
 distance if the stored distances and the triangle inequality place it beyond
 the k-th best.  Scores are exact integers; comparisons of distances leave
-``SLACK`` for rounding.  Queries are dealt in blocks of ``QUERY_ROWS``, so no
-group grows with the input.
+``SLACK`` for rounding.  The queries that visit a share are counted first and dealt in
+blocks of ``QUERY_ROWS``, so no group grows with the input, and a share is copied
+only as often as it has blocks of visitors; shares without visitors are not moved.
 
 Of equal vectors only those with the k + 1 smallest ids, and k rows of each id,
 can be among the best k; the others are left out before the search.
@@ -26,7 +27,7 @@ can be among the best k; the others are left out before the search.
 Defined cases: vectors that are null or hold null or non-finite components take
 no part, neither does a null ``vec_id``; shorter vectors count as filled up with
 zeros; rows with the same ``vec_id`` are no candidates for each other; an empty
-table gives no rows.  Products must stay below 2**53.  Extra columns are not read.
+table gives no rows.  Products that could reach 2**53 are an error.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -143,10 +144,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     rows = spark.read.parquet(path)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, bound, width = rows.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
-    n_queries, q_width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_queries, q_width, q_bound = queries.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
     result = "query_id long, vec_id long, score long"
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if bound * q_bound >= 2.0**106:
+        raise ValueError("inner products may reach 2**53, beyond which they are not exact")
     width = max(width, q_width)
     top = min(TOP, -(-2 * n // PAGE_ROWS))
     chosen = rows.orderBy(F.xxhash64("v"), "vec_id").limit(top).select("v").distinct().collect()
@@ -166,17 +169,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         size[cell], radius[cell] = m, r
     shares = np.maximum(1, -(-size // PAGE_ROWS))
     n_shares = F.element_at(F.array(*[F.lit(int(s)) for s in shares]), (F.col("cell") + 1).cast("int"))
-    blocks = -(-n_queries // QUERY_ROWS)
     cells = cells.select("cell", F.pmod(F.xxhash64("vec_id"), n_shares).alias("share"), "vec_id", "v")
-    if blocks > 1:
-        cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    else:
-        cells = cells.withColumn("block", F.lit(0))
-    asked = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    places = pa.schema([("cell", pa.int64()), ("share", pa.int64()), ("block", pa.int32()), ("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("limit", pa.float64())])
+    asked = queries.select("vec_id", "v")
+    places = pa.schema([("cell", pa.int64()), ("share", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("limit", pa.float64())])
 
     def deal(visit):
-        """Rows (cell, share, block, vec_id, v, limit) for the shares that ``visit(row of distances, limit)`` names."""
+        """Rows (cell, share, vec_id, v, limit) for the shares that ``visit(row of distances, limit)`` names."""
 
         def run(batches):
             for batch in batches:
@@ -186,7 +184,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                 for i in range(batch.num_rows):
                     cell, share = visit(d[i], limits[i])
                     row = pa.array(np.full(len(cell), i))
-                    cols = [batch.column(c).take(row) for c in ("block", "vec_id", "v", "limit")]
+                    cols = [batch.column(c).take(row) for c in ("vec_id", "v", "limit")]
                     yield pa.record_batch([pa.array(cell), pa.array(share), *cols], schema=places)
 
         return run
@@ -213,12 +211,19 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                 out += [(query, v, s) for s, v in tree.search(q[i], query, k, limit)]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
 
-    key = ["cell", "share", "block"]
-    place = "cell long, share long, block int, vec_id long, v array<long>, limit double"
+    place = ["cell", "share"]
+    key = [*place, "block"]
 
     def visit(queries_: DataFrame, how) -> DataFrame:
-        dealt = queries_.mapInArrow(deal(how), place)
-        return cells.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(look, result)
+        dealt = queries_.mapInArrow(deal(how), "cell long, share long, vec_id long, v array<long>, limit double")
+        path = fresh_path(spark, "visits")
+        blocks = F.ceil(F.count("*") / F.lit(float(QUERY_ROWS))).cast("int").alias("blocks")
+        dealt.groupBy(*place).agg(blocks).write.parquet(path)  # a row per share that has visitors
+        visited = spark.read.parquet(path)
+        own = cells.join(visited, place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        asking = dealt.join(visited, place).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        own, asking = own.drop("blocks"), asking.drop("blocks")
+        return own.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(look, result)
 
     path = fresh_path(spark, "first-search")
     visit(asked.withColumn("limit", F.lit(float("inf"))), nearest).write.parquet(path)
@@ -227,7 +232,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     last = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("worst"))
     own = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     limit = F.sqrt(F.greatest(own + F.lit(float(bound)) - 2.0 * F.col("worst"), F.lit(0.0)))
-    asked = asked.join(last, "vec_id", "left").select("vec_id", "v", "block", F.coalesce(limit, F.lit(float("inf"))).alias("limit"))
+    asked = asked.join(last, "vec_id", "left").select("vec_id", "v", F.coalesce(limit, F.lit(float("inf"))).alias("limit"))
     everything = found.union(visit(asked, others))
     ranked = everything.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from txrisk.llm import quality as Q
 
@@ -78,3 +79,15 @@ def test_no_or_one_class_of_labels(spark, docs_of, labels_of):
     ones = Q.fit(spark, docs, labels_of([(1, 1, 0), (2, 1, 0)]))
     assert [r._quality_score for r in Q.score(docs, ones).collect()] == [1.0, 1.0]
     assert Q.score(docs.where("doc_id < 0"), ones).collect() == []
+
+
+def test_equal_cosines_go_by_doc_id(monkeypatch):
+    """Of equal neighbours those with the smallest ids vote."""
+    monkeypatch.setattr(Q, "NEIGHBOURS", 5)
+    texts = ["one two three four"] * 12 + ["five six seven"] * 3
+    labels = [1] * 5 + [0] * 7 + [0] * 3
+    df = np.ones(Q.WORDS + Q.LAYOUT)
+    model = Q.learn(texts, labels, 0.5, df, 15)
+    assert Q.votes(pa.array(["one two three four"]), model)[0] == pytest.approx(1.0)
+    turned = Q.learn(texts, [1 - x for x in labels], 0.5, df, 15)
+    assert Q.votes(pa.array(["one two three four"]), turned)[0] == pytest.approx(0.0)

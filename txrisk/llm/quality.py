@@ -183,6 +183,9 @@ def votes(texts: pa.Array, model) -> np.ndarray:
     for at in range(0, n, BLOCK):
         cosine = rows[at : at + BLOCK] @ vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(cosine, near, 1).min(1, keepdims=True)
+        for i in np.flatnonzero((cosine >= last).sum(1) > k):  # equal cosines at the end: by doc_id
+            near[i] = np.argsort(-cosine[i], kind="stable")[:k]
         w = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** SHARPNESS
         a, b = (w * one[near]).sum(1), (w * zero[near]).sum(1)
         out[at : at + BLOCK] = a / np.maximum(a + b, 1e-30)

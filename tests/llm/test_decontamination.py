@@ -132,3 +132,14 @@ def test_common_subsequence():
     for _ in range(100):
         a, b = rng.integers(0, 6, rng.integers(1, 20)), rng.integers(0, 6, rng.integers(0, 30))
         assert D.common(a, b) == slow(a, b)
+
+
+def test_every_text_of_an_item_and_items_without_id(spark, docs_of, corpus):
+    items, docs, text, word = corpus
+    bench = [(1, items[0][1]), (1, items[1][1]), (None, items[2][1]), (None, items[3][1]), (2, items[4][1]), (2, items[4][1])]
+    rows = [*docs[:50], *[(1000 + k, f"{text(40)} {items[k][1]} {text(30)}") for k in range(5)], (2000, f"{items[0][1]} {items[1][1]} {items[2][1]}")]
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in D.find_leaks(spark, docs_of(rows), bench).collect()]
+    want = [(1000, 1), (1001, 1), (1002, None), (1003, None), (1004, 2), (2000, 1), (2000, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sorted(r.doc_id for r in D.clean(spark, docs_of(rows), bench).collect()) == list(range(50))

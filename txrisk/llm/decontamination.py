@@ -33,8 +33,9 @@ RANK`` floats and as many passages of ``PASSAGE`` words).
 
 Defined cases: null and empty texts hold no leak; items without words or with
 fewer than ``LEAST`` words are not searched for (they are not distinctive);
-the same item in repeated rows gives one result; repeated documents each give
-theirs; empty tables give no rows.  Extra columns are not read, and are kept by
+an item with several texts is searched for by each and gives one result, and so do
+repeated rows; items without an id are searched for and give one result without an id;
+repeated documents each give theirs; empty tables give no rows.  Extra columns are not read, and are kept by
 :func:`clean`.
 """
 
@@ -122,8 +123,8 @@ def passages(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "part", "text", "answer"), r, strict=True)) for r in rows], schema)
 
     schema = pa.schema([("item_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()), ("answer", pa.string())])
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    return items.groupBy("item_id").agg(F.min("text").alias("text")).mapInArrow(cut, "item_id long, part long, text string, answer string")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    return items.mapInArrow(cut, "item_id long, part long, text string, answer string")
 
 
 def vectors(words: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -326,7 +327,7 @@ def search(texts: pa.Array, block: Block) -> list[tuple]:
                 key, best = (r, block.items[p]), (shared, cosine, bool(answered), i - int(begin[r]))
                 if best[:2] > found.get(key, (0, 0))[:2]:
                     found[key] = best
-    return [(r, item, c, s, ans, at) for (r, item), (s, c, ans, at) in sorted(found.items())]
+    return [(r, item, c, s, ans, at) for (r, item), (s, c, ans, at) in sorted(found.items(), key=lambda f: (f[0][0], f[0][1] is None, f[0][1] or 0))]
 
 
 def blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame):
@@ -340,8 +341,8 @@ def blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame):
     space = latent_space(table, weights, n)
     parts_ = -(-n // BLOCK)
     for k in range(parts_):
-        own = table.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(parts_)) == k) if parts_ > 1 else table
-        yield Block(own.orderBy("item_id", "part").collect(), space, weights)
+        own = table.where(F.pmod(F.xxhash64("item_id", "part", "text"), F.lit(parts_)) == k) if parts_ > 1 else table
+        yield Block(own.orderBy("item_id", "part", "text").collect(), space, weights)
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

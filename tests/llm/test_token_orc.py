@@ -17,7 +17,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_orc.default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
@@ -35,6 +34,21 @@ def test_pieces_equal_whole_texts(plain):
         at += k
 
 
+def test_strings_of_added_tokens(plain):
+    """By default they are read as the tokenizer reads them; for flat files, whose marks are ids, as ordinary text."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_orc.default_tokenizer()
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|>y z", "<|endof text|>", "plain words"]
+    ids, n = Encoder(path, 2).encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in plain(t)] and ids[: n[0]].tolist() == [64, 220, 50256, 275, 2]
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    ids, _ = Encoder(path, 2, ordinary=True).encode(pa.array(texts))
+    assert ids.tolist() == [i for x in texts for i in [*t.encode(x, add_special_tokens=False).ids, 2]] and 50256 not in ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab .,\n'é1 \t　", max_size=30), min_size=1, max_size=5))
 def test_pieces_equal_whole_texts_random(plain, texts):

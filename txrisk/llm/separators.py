@@ -57,7 +57,7 @@ def write_flat(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str
 
     def encode(batches):
         part, place, written = TaskContext.get().partitionId(), 0, 0
-        enc, out, path = encoder(tokenizer, end), None, None
+        enc, out, path = encoder(tokenizer, end, ordinary=True), None, None  # no text holds an end id
         for batch, texts in parts(batches, "text"):
             if out is None:
                 fs, base = _open(folder)

@@ -110,7 +110,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     rows = read_tokens(spark, path).select("part", "doc_id", "pos", "ids")
     rows = rows.mapInArrow(sums, "part int, doc_id long, pos long, n_tokens long, ids_crc32 long")
     # as many rows as files were written
-    return rows.join(F.broadcast(file_starts(spark, path)), "part").select(
+    return rows.join(file_starts(spark, path), "part").select(
         "doc_id", (F.col("base") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32"
     )
 

@@ -5,11 +5,13 @@ starts inside a word nor swallows a single space or line end before one.  So a
 text without two white-space characters in a row is the concatenation of its
 lines' words (each with its leading space) and line ends, and each distinct
 piece needs to be encoded once per worker.  Texts with such runs go to the
-tokenizer whole.
+tokenizer whole, and so do texts that hold the string of one of its added tokens
+("<|endoftext|>"), unless these are to be read as ordinary text.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import islice
 
 import numpy as np
@@ -23,19 +25,25 @@ KEPT_IDS = 1 << 23  # ids of pieces and of the marked words of single batches
 _encoders: dict[tuple, "Encoder"] = {}
 
 
-def encoder(path: str, end: int) -> "Encoder":
-    """The worker's encoder for a tokenizer file and an end-of-document id."""
-    if (path, end) not in _encoders:
-        _encoders[path, end] = Encoder(path, end)
-    return _encoders[path, end]
+def encoder(path: str, end: int, ordinary: bool = False) -> "Encoder":
+    """The worker's encoder for a tokenizer file and an end-of-document id.
+
+    ``ordinary``: the strings of added tokens in a text are text like any other, so
+    that no id of a text can be taken for a mark.
+    """
+    if (path, end, ordinary) not in _encoders:
+        _encoders[path, end, ordinary] = Encoder(path, end, ordinary)
+    return _encoders[path, end, ordinary]
 
 
 class Encoder:
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (ordinary and t.special)]
+        self.added = "|".join(re.escape(t) for t in added if t)
         self.end = end
         self.newline = self._whole(["\n"])[0]
         self._clear()
@@ -164,7 +172,7 @@ class Encoder:
         """All ids of the texts, each with the end id, and the number of ids of each text."""
         if len(texts) == 0:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        whole = pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, f"{RUNS}|{self.added}" if self.added else RUNS).to_numpy(zero_copy_only=False)
         if not whole.any():
             return self._by_pieces(texts)
         parts: list = [None] * len(texts)

@@ -1,0 +1,67 @@
+"""A03, A13 on columns of many values; M04, A15, X01 on one split."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from txrisk.operators import analytics, model, profile
+
+
+def skewed(spark, n=60_000):
+    """A few frequent values among many that occur once."""
+    i = F.col("id")
+    value = F.when(i % 3 == 0, F.lit("hot")).when(i % 10 == 1, F.lit("warm")).when(i % 100 == 7, F.lit("mild")).when(i % 97 == 5, F.lit(None))
+    return spark.range(n).select(value.otherwise(F.concat(F.lit("v"), i.cast("string"))).alias("a.b"), (i % 7).alias("few"), F.when(i % 2 == 0, float("nan")).otherwise(i % 5).alias("x"))
+
+
+@pytest.mark.parametrize(("column", "k"), [("a.b", 3), ("a.b", 50), ("few", 7), ("few", 20), ("x", 3)])
+@pytest.mark.parametrize("tracked", [100_000, 2_000])
+def test_A03_top_counts_are_exact(spark, column, k, tracked):
+    df = skewed(spark)
+    one = df.select(F.col(f"`{column}`").alias("c"))
+    want = [tuple(r) for r in analytics.value_counts(one, "c").limit(k).collect()]
+    got = profile.top_values(df, column, k, tracked)
+    assert got.columns == [column, "count"] and [tuple(r) for r in got.collect()] == want
+
+
+def test_A03_frequent_values_are_counted_without_a_full_count(spark):
+    got = profile.top_values(skewed(spark), "a.b", 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Range" not in plan  # settled by the two passes
+    tied = profile.top_values(skewed(spark), "a.b", 50, 2_000)  # values of one row each: all are counted
+    assert "HashAggregate" in tied._jdf.queryExecution().executedPlan().toString()
+
+
+def test_A03_no_values(spark):
+    none = spark.createDataFrame([(None,)], "c string")
+    assert profile.top_values(none, "c", 3).collect() == [] and profile.top_values(none.limit(0), "c", 3).collect() == []
+
+
+def test_A13_report_holds_a_bounded_number_of_values(spark):
+    df = skewed(spark, 3000).select(F.col("`a.b`").alias("CardUsed"), F.lit(1.0).alias("Amount"))
+    few = profile.profile_report(df, most_values=3).first().card_usage
+    whole = profile.profile_report(df).first().card_usage
+    assert few == {"hot": 1000, "warm": 200, "mild": 20} and len(whole) == df.select("CardUsed").distinct().where("CardUsed is not null").count()
+    assert few.items() <= whole.items()
+    plan = profile.profile_report(df, most_values=3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # values are cut before they meet
+
+
+def test_M04_columns_of_a_forest(spark, tx):
+    one = model.train_model(tx, trees=1, depth=1, columns=["IsNight", "DeviceType_encoded"])
+    assembled = next(s for s in one.stages if type(s).__name__ == "VectorAssembler")
+    assert assembled.getInputCols() == ["IsNight", "DeviceType_encoded"]
+    leaves = model.score_transactions(one, tx).select("prediction", "Probability").distinct().count()
+    assert leaves <= 2 and one.stages[-1].trees[0].depth == 1
+
+
+def test_M04_the_forest_uses_the_codes(spark, tx):
+    """Training and scoring read the same 18 features, the five codes among them."""
+    one = model.train_model(tx, trees=2, depth=3)
+    assembled = next(s for s in one.stages if type(s).__name__ == "VectorAssembler")
+    assert assembled.getInputCols() == model.feature_names(model.feature_matrix(tx).columns) and one.stages[-1].numFeatures == 18
+    only = model.train_model(tx, trees=1, depth=1, columns=["TransactionMode_encoded"])
+    by_mode = model.score_transactions(only, tx, keep=("TransactionID",)).join(tx.select("TransactionID", "TransactionMode"), "TransactionID")
+    assert by_mode.groupBy("TransactionMode").agg(F.countDistinct("Probability").alias("n")).where("n > 1").isEmpty()
+    assert by_mode.select("Probability").distinct().count() == 2

@@ -7,7 +7,7 @@ map-side, so only a row per task and (key, value) rows cross the network.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,6 +160,41 @@ def long_rows(totals: DataFrame, df: DataFrame, digits: int | None) -> DataFrame
     return totals.select(F.inline(F.array(*total)))
 
 
+# ---- A03 on columns of any number of values --------------------------------------
+TRACKED = 100_000  # values that the sketch of top_values holds
+CANDIDATES = 4  # candidates for each value that is asked for
+
+
+def top_values(df: DataFrame, column: str, k: int, tracked: int = TRACKED) -> DataFrame:
+    """A03, first ``k``: the most frequent values of a column with any number of values, with exact counts.
+
+    A sketch of bounded size finds candidates in one pass, without a shuffle of the
+    column's values; a second pass counts the candidates exactly.  A value that is no
+    candidate has at most as many rows as the last candidate's estimate, which is never
+    too low, or ``2 * error * n`` if the sketch does not hold it.  If the k-th exact count is
+    above both, the result is whole.  Otherwise (no value stands out, or counts tie at the
+    end) all values are counted.  Missing values are left out; ties go to the smaller value.
+    """
+    value = numeric_value(df, column) if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)) else col(column)
+    rows = df.select(value.alias(column)).where(value.isNotNull())
+    name = "`" + column.replace("`", "``") + "`"
+    wanted = min(CANDIDATES * k, tracked)
+    n, found = rows.agg(F.count("*"), F.expr(f"approx_top_k({name}, {wanted}, {tracked})")).first()
+    items = [r["item"] for r in found or []]  # at most CANDIDATES * k values
+    order = (F.col("count").desc(), col(column).asc())
+    if items:
+        counted = rows.where(col(column).isin(items)).groupBy(col(column)).agg(F.count("*").alias("count"))
+        top = [tuple(r) for r in counted.orderBy(*order).limit(k).collect()]  # k rows
+        error = 3.5 / (1 << (-(-tracked * 4 // 3) - 1).bit_length())
+        omitted = min(r["count"] for r in found) if len(items) == wanted else 0
+        if len(top) == k and top[-1][1] > max(omitted, 2 * error * n):
+            return df.sparkSession.createDataFrame(top, counted.schema)
+    return rows.groupBy(col(column)).agg(F.count("*").alias("count")).orderBy(*order).limit(k)
+
+
+MOST_VALUES = 10_000  # values of a column that the nested report holds; profile_long holds all
+
+
 # ---- fixed values: dtype names the reference reports (pandas), by Spark type
 PANDAS_DTYPES = {
     "bigint": "int64",
@@ -180,16 +215,19 @@ def type_name(dtype: T.DataType, names: str = "pandas") -> str:
     return PANDAS_DTYPES.get(spark_name, "object") if names == "pandas" else spark_name
 
 
-def profile_report(df: DataFrame, type_names: str = "pandas") -> DataFrame:
+def profile_report(df: DataFrame, type_names: str = "pandas", most_values: int = MOST_VALUES) -> DataFrame:
     """The whole report as ONE row of nested columns (JSON-ready).
 
-    Built from ``profile_long``: only here are the value counts folded into maps
-    with ``map_from_entries``.  ``data_types`` uses the dtype names the reference
+    Built from the rows of ``profile_long``: only here are the value counts folded into
+    maps with ``map_from_entries``, the ``most_values`` most frequent values of each column
+    (ranked where they are counted, so that no more of them meet).  ``data_types`` uses the dtype names the reference
     reports (int64, float64, object, bool, ...); ``type_names="spark"`` gives
-    Spark's names.  The maps hold one entry per distinct value of the
-    column, which is what the report is.
+    Spark's names.
     """
-    long = profile_long(df, digits=None)
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.col("n").desc(), "key"))
+    counts = value_count_rows(df).withColumn("place", place).where(F.col("place") <= most_values)
+    counts = counts.select("section", "key", F.col("n").cast("double").alias("value"))
+    long = long_rows(totals_row(df), df, None).union(counts)
     stats = {}
     nums = numeric_columns(df)
     sections = long.groupBy().agg(

@@ -108,21 +108,43 @@ def _trained(spark, sf):
 
 
 def _train_model(spark, sf):
-    """Every row's score is a class and a percentage."""
-    scored = model.score_transactions(_trained(spark, sf), _tx(spark, sf))
-    return scored.select(
-        "TransactionID",
-        F.col("prediction").isin(0, 1).alias("is_class"),
-        F.col("Probability").between(0, 100).alias("is_percent"),
-    )
+    """Every row's class and percentage by the forest."""
+    return model.score_transactions(_trained(spark, sf), _tx(spark, sf)).select("TransactionID", "prediction", "Probability")
 
 
 def _train_accuracy(spark, sf):
-    """Whether the forest beats the most frequent label on the training rows."""
-    tx = _tx(spark, sf)
-    share = fit_row(tx, F.avg("IsFraud"))[0]
-    found = model.train_accuracy(_trained(spark, sf), tx)
-    return found.select((F.col("accuracy") >= F.lit(max(share, 1 - share))).alias("beats_majority"), (F.col("accuracy") <= 1).alias("is_share"))
+    return model.train_accuracy(_trained(spark, sf), _tx(spark, sf))
+
+
+# A forest of one tree with one split, over the features of few values, is what SQL can find, too.
+STUMP_COLUMNS = [
+    "IsNegativeBalance", "CountryRiskScore", "IsNight", "IsWeekend", "LargeTransaction", "SuspiciousAmount", "IsHighRiskMerchant",
+    *[f"{c}_encoded" for c in S.CATEGORICAL_COLUMNS],
+]
+_STUMPS: dict[tuple, object] = {}
+
+
+def _stump(spark, sf):
+    key = _listing(spark, sf)
+    if key not in _STUMPS:
+        _STUMPS.clear()
+        _STUMPS[key] = model.train_model(_tx(spark, sf), trees=1, depth=1, columns=STUMP_COLUMNS, bootstrap=False)
+    return _STUMPS[key]
+
+
+def _train_stump(spark, sf):
+    """The leaves of the one split: their class, percentage, rows and fraud."""
+    scored = model.score_transactions(_stump(spark, sf), _tx(spark, sf)).withColumn("Probability", F.round("Probability", 6))
+    return scored.groupBy("prediction", "Probability").agg(F.count("*").alias("n_rows"), F.sum("IsFraud").alias("n_fraud"))
+
+
+def _score_stump(spark, sf):
+    scored = model.score_transactions(_stump(spark, sf), _tx(spark, sf))
+    return scored.select("TransactionID", "prediction", F.round("Probability", 6).alias("Probability"))
+
+
+def _stump_accuracy(spark, sf):
+    return model.train_accuracy(_stump(spark, sf), _tx(spark, sf)).select(F.round("accuracy", 9).alias("accuracy"))
 
 
 def _model_round_trip(spark, sf):
@@ -138,9 +160,7 @@ def _model_round_trip(spark, sf):
 
 
 def _score_transactions(spark, sf):
-    """The predicted class is the likelier one."""
-    scored = model.score_transactions(_trained(spark, sf), _tx(spark, sf))
-    return scored.select("TransactionID", "IsFraud", ((F.col("prediction") == 1) == (F.col("Probability") > 50)).alias("consistent"))
+    return model.score_transactions(_trained(spark, sf), _tx(spark, sf))
 
 
 def _profile_report(spark, sf):
@@ -386,6 +406,11 @@ def queries() -> dict[str, Query]:
         "train_accuracy": _train_accuracy,
         "model_round_trip": _model_round_trip,
         "score_transactions": _score_transactions,
+        "train_stump": _train_stump,
+        "score_stump": _score_stump,
+        "stump_accuracy": _stump_accuracy,
+        "top_accounts": lambda s, sf: profile.top_values(_tx(s, sf), "AccountID", 20),
+        "top_ids": lambda s, sf: profile.top_values(_tx(s, sf), "TransactionID", 5),
         # ---- sources and sinks (S01, S02, S04, S05, S09) ------------------------
         "scan_transactions": _scan_parquet,
         "csv_round_trip": _scan_csv,

@@ -273,6 +273,33 @@ def _encoded(col: str) -> str:
 )"""
 
 
+STUMP_COLUMNS = [
+    "IsNegativeBalance", "CountryRiskScore", "IsNight", "IsWeekend", "LargeTransaction", "SuspiciousAmount", "IsHighRiskMerchant",
+    *[f"{c}_encoded" for c in S.CATEGORICAL_COLUMNS],
+]
+
+
+def _stump_scores() -> str:
+    """The best split of one feature by the weighted Gini impurity, and every row's score by it."""
+    values = " UNION ALL ".join(f"SELECT {i} AS f, CAST({c} AS DOUBLE) AS v, IsFraud AS y FROM matrix" for i, c in enumerate(STUMP_COLUMNS))
+    value = "CASE best.f " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(STUMP_COLUMNS)) + " END"
+    return (
+        _feature_matrix_cte(FIXTURE_CTE)
+        + f""", vals AS ({values}),
+total AS (SELECT count(*) FILTER (WHERE IsFraud = 0) AS n0, count(*) FILTER (WHERE IsFraud = 1) AS n1 FROM matrix),
+cnt AS (SELECT f, v, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM vals GROUP BY f, v),
+cum AS (SELECT f, v, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1 FROM cnt WINDOW w AS (PARTITION BY f ORDER BY v)),
+sides AS (SELECT f, v, CAST(l0 AS DOUBLE) / t.n0 AS a0, CAST(l1 AS DOUBLE) / t.n1 AS a1, CAST(t.n0 - l0 AS DOUBLE) / t.n0 AS b0,
+    CAST(t.n1 - l1 AS DOUBLE) / t.n1 AS b1 FROM cum, total t WHERE l0 + l1 >= 2 AND t.n0 + t.n1 - l0 - l1 >= 2),
+gain AS (SELECT *, a0 * a1 / (a0 + a1) + b0 * b1 / (b0 + b1) AS impurity FROM sides),
+best AS (SELECT f, v, a0, a1, b0, b1 FROM gain ORDER BY impurity, f, v LIMIT 1),
+scored AS (SELECT TransactionID, IsFraud,
+    CAST(CASE WHEN {value} <= best.v THEN a1 > a0 ELSE b1 > b0 END AS INTEGER) AS prediction,
+    round(CASE WHEN {value} <= best.v THEN a1 / (a0 + a1) ELSE b1 / (b0 + b1) END * 100.0, 6) AS Probability FROM matrix, best)
+"""
+    )
+
+
 def _feature_matrix_cte(cte: str) -> str:
     fx = _features_select()
     encs = ",\n".join(_encoded(c) for c in S.CATEGORICAL_COLUMNS)
@@ -520,10 +547,15 @@ FROM (SELECT DISTINCT TransactionID FROM tx) t"""
     )
     o["scan_csv_quoted"] = "SELECT page_id, url, html FROM pages"
     o["scan_csv_reordered"] = o["csv_round_trip"]
-    o["train_model"] = FIXTURE_CTE + "SELECT TransactionID, TRUE AS is_class, TRUE AS is_percent FROM tx"
-    o["train_accuracy"] = "SELECT TRUE AS beats_majority, TRUE AS is_share"
+    scored = _stump_scores()
+    o["train_stump"] = scored + """SELECT prediction, Probability, count(*) AS n_rows, CAST(sum(IsFraud) AS BIGINT) AS n_fraud
+FROM scored GROUP BY prediction, Probability"""
+    o["score_stump"] = scored + "SELECT TransactionID, prediction, Probability FROM scored"
+    o["stump_accuracy"] = scored + "SELECT round(avg(CASE WHEN prediction = IsFraud THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM scored"
+    for key, column, k in (("top_accounts", "AccountID", 20), ("top_ids", "TransactionID", 5)):
+        o[key] = FIXTURE_CTE + f"""SELECT {column}, count(*) AS "count" FROM tx WHERE {column} IS NOT NULL
+GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT {k}"""
     o["model_round_trip"] = FIXTURE_CTE + "SELECT count(*) AS n_rows, count(*) AS n_same FROM tx"
-    o["score_transactions"] = FIXTURE_CTE + "SELECT TransactionID, IsFraud, TRUE AS consistent FROM tx"
     o["profile_report"] = o["profile_long"]
     o["accounts_json"] = (
         "WITH acc AS ("

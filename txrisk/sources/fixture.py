@@ -87,15 +87,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _base(events: DataFrame, customer: DataFrame, salt_buckets: int = 0) -> DataFrame:
+def _joined(events: DataFrame, customer: DataFrame, salt_buckets: int = 0) -> DataFrame:
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     cu = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     # a left join: an event of an unknown customer is still a transaction
-    joined = join_dimension(ev, cu, "user_id", "c_custkey", "left", salt_buckets=salt_buckets, salt_columns=["event_id"])
+    return join_dimension(ev, cu, "user_id", "c_custkey", "left", salt_buckets=salt_buckets, salt_columns=["event_id"])
+
+
+def _base_columns() -> list[Column]:
     k = F.get_json_object("props", "$.k").try_cast("int")
     amount = F.floor("value").cast("double") * F.lit(10.0)
     status_slot = F.col("event_id") % 20
-    return joined.select(
+    return [
         F.col("event_id"),
         k.alias("k"),
         format_txn_id(F.col("event_id")).alias("TransactionID"),
@@ -116,7 +119,7 @@ def _base(events: DataFrame, customer: DataFrame, salt_buckets: int = 0) -> Data
         .otherwise("Pending")
         .alias("TransactionStatus"),
         amount.alias("AmountTaken"),
-    )
+    ]
 
 
 def _gap(column: str, key: str, modulus: int) -> Column:
@@ -138,13 +141,29 @@ def transactions_from(events: DataFrame, customer: DataFrame, dirty: bool = Fals
     partitions (see ``plans.joins``) for tables where one user is hot and the
     customer table is too large to broadcast.
     """
-    base = _base(events, customer, salt_buckets)
+    joined = _joined(events, customer, salt_buckets)
+    columns, gaps, hour, label, risk = _mapping(joined, dirty)
+    base = joined.select(*columns)
     if dirty:
-        base = base.withColumns({c: _gap(c, key, m) for c, (key, m) in DIRTY_GAPS.items()})
-    base = base.withColumn("Hour", F.hour("Timestamp"))
-    label = label_expr(base, F.col("event_id"))
-    if dirty:
-        label = F.when(F.col(DIRTY_LABEL_GAP[0]) % DIRTY_LABEL_GAP[1] == 0, F.lit(None)).otherwise(label)
-    out = base.withColumn("IsFraud", label)
-    out = out.withColumn("Risk", risk_tier_expr(F.col("IsFraud"), F.col("UserBehaviorScore")))
+        base = base.withColumns(gaps)
+    out = base.withColumn("Hour", hour).withColumn("IsFraud", label).withColumn("Risk", risk)
     return out.withColumn("txn_no", F.col("event_id")).select(*COLUMNS)
+
+
+# The mapping's expressions name columns and hold no table: made once for a session and the
+# types of its tables, they spare each query some hundred calls into the JVM.
+_MAPPINGS: dict[tuple, tuple] = {}
+
+
+def _mapping(joined: DataFrame, dirty: bool) -> tuple:
+    key = (joined.sparkSession.sparkContext.applicationId, dirty, tuple(joined.dtypes))
+    if key not in _MAPPINGS:
+        columns = _base_columns()
+        gaps = {c: _gap(c, k, m) for c, (k, m) in DIRTY_GAPS.items()}
+        base = joined.select(*columns)
+        base = (base.withColumns(gaps) if dirty else base).withColumn("Hour", F.hour("Timestamp"))
+        label = label_expr(base, F.col("event_id"))
+        if dirty:
+            label = F.when(F.col(DIRTY_LABEL_GAP[0]) % DIRTY_LABEL_GAP[1] == 0, F.lit(None)).otherwise(label)
+        _MAPPINGS[key] = (columns, gaps, F.hour("Timestamp"), label, risk_tier_expr(F.col("IsFraud"), F.col("UserBehaviorScore")))
+    return _MAPPINGS[key]

@@ -163,7 +163,8 @@ class FileLedger:
             *[F.max(F.when(F.col("position") == i, F.col(c))).alias(f"{p}{i}") for i in range(len(nums)) for c, p in (("mean", "_m"), ("std", "_s"), ("min", "_lo"), ("max", "_hi"))]
         )
         counts = self.value_counts().select("section", "key", F.col("n").cast("double").alias("value"))
-        wide = sums if not nums else sums.withColumn("_one", F.lit(1)).join(table.withColumn("_one", F.lit(1)), "_one")  # one row each
+        wide = sums.unionByName(table, allowMissingColumns=True) if nums else sums  # one row each
+        wide = wide.agg(*[F.max(c).alias(c) for c in wide.columns])
         return long_rows(wide, df, digits).union(counts)
 
     def value_counts(self) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 
 RUNS = r"[\s\x0b\x{85}\p{Z}]{2}"
 MARKS = ".,;:!?%&$*#|\"')]}"
+TAIL = "(?P<tail>[" + re.escape(MARKS) + "]+)$"
 KEPT_PIECES = 300_000  # pieces a worker remembers at most
 KEPT_IDS = 1 << 23  # ids of pieces and of the marked words of single batches
 _encoders: dict[tuple, "Encoder"] = {}
@@ -111,28 +112,28 @@ class Encoder:
             at = self._append(np.array(sum(each, []), np.uint32), np.array([len(x) for x in each]))
             self.rows.update(zip(odd, at.tolist(), strict=True))
 
-    def _lookup(self, pieces: list[str]) -> np.ndarray:
-        """The rows of distinct pieces.  A word and the marks after it are two pre-tokens, remembered apart."""
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        """The rows of distinct pieces; new ones are learned."""
         get = self.rows.get
         out = np.array([get(p, -1) for p in pieces], np.int64)
         new = np.flatnonzero(out < 0).tolist()
-        bases, tails = [], []
-        for i in new:
-            p = pieces[i]
-            base = p.rstrip(MARKS)
-            if not base or not base[-1].isalnum():
-                base = p
-            bases.append(base)
-            tails.append(p[len(base) :])
-        unknown = [p for p in dict.fromkeys(bases + tails) if p not in self.rows]
-        if unknown:
-            self._learn(unknown)
         if new:
-            both = np.array([[self.rows[b], self.rows[t]] for b, t in zip(bases, tails, strict=True)], np.int64)
-            out[new] = both[:, 0]
-            tailed = np.flatnonzero(both[:, 1])
-            if len(tailed):  # rows for this batch alone
-                out[np.array(new)[tailed]] = self._append(self._ids(both[tailed].ravel()), self.length[both[tailed]].sum(1))
+            self._learn([pieces[i] for i in new])
+            out[new] = [self.rows[pieces[i]] for i in new]
+        return out
+
+    def _lookup(self, words: pa.Array, lead: str) -> np.ndarray:
+        """The rows of distinct words, each with ``lead`` before it.  A word and the marks after it are two pre-tokens, remembered apart."""
+        base = pc.utf8_rtrim(words, characters=MARKS)
+        base = pc.if_else(pc.match_substring_regex(base, r"[\p{L}\p{N}]$"), base, words)
+        coded = base.dictionary_encode()
+        out = self._rows([lead + w for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        marked = np.flatnonzero(pc.binary_length(words).to_numpy() > pc.binary_length(base).to_numpy())
+        if len(marked):  # rows for this batch alone
+            at = pa.array(marked)
+            tails = pc.struct_field(pc.extract_regex(words.take(at), TAIL), "tail").dictionary_encode()
+            both = np.stack([out[marked], self._rows(tails.dictionary.to_pylist())[tails.indices.to_numpy()]], 1)
+            out[marked] = self._append(self._ids(both.ravel()), self.length[both].sum(1))
         return out
 
     def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +142,7 @@ class Encoder:
         per_doc = pc.list_value_length(lines).to_numpy().astype(np.int64)
         per_line = pc.list_value_length(words).to_numpy().astype(np.int64)
         coded = words.flatten().dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
         if len(self.rows) > KEPT_PIECES or self.used > KEPT_IDS:
             self._forget()
         ends = np.cumsum(per_line)
@@ -154,7 +155,7 @@ class Encoder:
             here[codes[mask]] = True
             which = np.flatnonzero(here)
             table = np.zeros(len(distinct), np.int64)
-            table[which] = self._lookup([lead + distinct[i] for i in which])
+            table[which] = self._lookup(distinct.take(pa.array(which)), lead)
             rows[mask] = table[codes[mask]]
         # words in order, each line closed by its line end or the document's end
         line = np.arange(len(per_line))

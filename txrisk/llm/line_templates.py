@@ -52,13 +52,14 @@ def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def masked(line: Column) -> Column:
-    """A line with single spaces and ``<*>`` for tokens that hold a digit; most lines need neither change."""
-    spaced = F.when(line.rlike(r"[^\S ]|  |^ | $"), F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
+    """A line with single spaces and ``<*>`` for tokens that hold a digit; most lines need neither change, which one search finds."""
+    spaced = F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+    clean = F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(spaced)
+    return F.when(line.rlike(r"[0-9\t\x0B\f\r]|  ") | line.startswith(" ") | line.endswith(" "), clean).otherwise(line)
 
 
 def n_tokens(m: Column) -> Column:
-    return F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "), F.lit(""))) + 1
 
 
 def leaf(m: Column, depth: int) -> Column:
@@ -72,7 +73,7 @@ def document(doc_id: str = "doc_id", text: str = "text") -> Column:
 def lines(docs: DataFrame) -> DataFrame:
     """(doc, m, line, leaf, n): the lines with tokens, masked and hashed."""
     rows = docs.select(document().alias("doc"), F.explode(F.split("text", "\n")).alias("l"))
-    rows = rows.select("doc", masked(F.col("l")).alias("m")).where("m != ''")
+    rows = rows.where(F.col("l").rlike(r"\S")).select("doc", masked(F.col("l")).alias("m"))  # not by m, which would be made twice
     m = F.col("m")
     return rows.select("doc", "m", F.xxhash64(m).alias("line"), leaf(m, DEPTH).alias("leaf"), n_tokens(m).alias("n"))
 
@@ -107,24 +108,22 @@ def possible(spark: SparkSession, stored: DataFrame, seen: DataFrame) -> DataFra
 
 
 def templates(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(leaf, key, line, docs, n): every line with the keys of its templates."""
+    """(key, line, docs, n): every line with the keys of its templates; a key names its leaf, too."""
     place = rows.select("leaf", "line", "docs", "n", F.posexplode(F.split("m", " ")).alias("pos", "token"))
-    field = F.xxhash64("pos", F.lit(FIELD))
-    place = place.select("leaf", "line", "docs", "n", "pos", F.xxhash64("pos", "token").alias("h"), field.alias("w"))
-    place = _kept(spark, place, "places")
+    place = place.select("leaf", "line", "docs", "n", "pos", F.xxhash64("pos", "token").alias("h"))
+    place = _kept(spark, place, "places").withColumn("w", F.xxhash64("pos", F.lit(FIELD)))
     common = place.where("h != w").groupBy("leaf", "h").agg(F.sum("docs").alias("d"), F.max("n").alias("n"))
     common = _kept(spark, common.where(enough(F.col("n"), F.col("d"))).select(F.col("leaf").alias("l0"), F.col("h").alias("h0")), "constants")
     marked = place.join(common, (F.col("leaf") == F.col("l0")) & (F.col("h") == F.col("h0")), "left")
-    constant = F.col("h0").isNotNull()
     line = Window.partitionBy("leaf", "line")  # a line's own tokens
-    marked = marked.withColumn("constant", constant)
+    marked = marked.withColumn("constant", F.col("h0").isNotNull())
     marked = marked.withColumns({
         "whole": F.bit_xor(F.when(F.col("constant"), F.col("h")).otherwise(F.col("w"))).over(line), "constants": F.count_if("constant").over(line)
     })
     further = F.when(F.col("constant") & (F.col("pos") >= DEPTH) & (F.col("constants") - 1 >= SIMILAR * F.col("n")), F.col("whole").bitwiseXOR(F.col("h")).bitwiseXOR(F.col("w")))
     first = F.when((F.col("pos") == 0) & (F.col("constants") >= SIMILAR * F.col("n")), F.col("whole"))
-    keys = marked.select("leaf", F.explode(F.array(first, further)).alias("key"), "line", "docs", "n")
-    return _kept(spark, keys.where("key is not null"), "keys")
+    keys = marked.select("leaf", F.explode(F.array(first, further)).alias("key"), "line", "docs", "n").where("key is not null")
+    return _kept(spark, keys.select(F.xxhash64("leaf", "key").alias("key"), "line", "docs", "n"), "keys")
 
 
 def recurring(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,15 +135,15 @@ def recurring(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFram
     alone = seen.where(enough(F.col("n"), F.col("docs"))).select("line")
     keys = templates(spark, possible(spark, stored, seen))
     # a template has at least the documents of its most frequent line and at most the sum of all
-    size = keys.groupBy("leaf", "key").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"), F.count("*").alias("k"), F.max("n").alias("length"))
+    size = keys.groupBy("key").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"), F.count("*").alias("k"), F.max("n").alias("length"))
     size = size.where((F.col("k") > 1) & enough(F.col("length"), F.col("most")))
-    size = size.select("leaf", "key", enough(F.col("length"), F.col("least")).alias("sure"))
-    known = _kept(spark, keys.join(_kept(spark, size, "sizes"), ["leaf", "key"]), "candidates")
+    size = size.select("key", enough(F.col("length"), F.col("least")).alias("sure"))
+    known = _kept(spark, keys.join(_kept(spark, size, "sizes"), "key"), "candidates")
     open_ = known.where(~F.col("sure"))  # lines of few documents each
-    counted = open_.select("leaf", "key", "line", "n").join(whose.select("doc", "line"), "line")
-    counted = counted.groupBy("leaf", "key", "doc").agg(F.max("n").alias("n")).groupBy("leaf", "key").agg(F.count("*").alias("d"), F.max("n").alias("n"))
-    counted = counted.where(enough(F.col("n"), F.col("d"))).select("leaf", "key")
-    joint = known.where("sure").select("line").union(open_.join(_kept(spark, counted, "templates"), ["leaf", "key"]).select("line"))
+    counted = open_.select("key", "line", "n").join(whose.select("doc", "line"), "line")
+    counted = counted.groupBy("key", "doc").agg(F.max("n").alias("n")).groupBy("key").agg(F.count("*").alias("d"), F.max("n").alias("n"))
+    counted = counted.where(enough(F.col("n"), F.col("d"))).select("key")
+    joint = known.where("sure").select("line").union(open_.join(_kept(spark, counted, "templates"), "key").select("line"))
     return whose, _kept(spark, alone.union(joint).distinct(), "recurring")
 
 

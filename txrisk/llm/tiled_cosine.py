@@ -67,11 +67,13 @@ def units(v: np.ndarray) -> np.ndarray:
 
 
 def classed(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, label, v, size, h1, h2): ``v`` as doubles, null where a row takes no part; ``h1``, ``h2`` name the vector."""
+    """(vec_id, label, v, size, h1, h2): ``v`` without negative zeros, null where a row takes no part; ``h1``, ``h2`` name it."""
     value = F.col("embedding")
+    kind = embeddings.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"  # stored as it came; products are in doubles
     fine = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     fine &= F.exists(value, lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    v = F.when(F.coalesce(fine, F.lit(False)), F.transform(value, lambda x: x.cast("double") + F.lit(0.0)))
+    v = F.when(F.coalesce(fine, F.lit(False)), F.transform(value, lambda x: x.cast(kind) + F.lit(0).cast(kind)))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
     named = {"size": F.size("v"), "h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}
     return rows.withColumns(named)
@@ -270,8 +272,8 @@ def tiles(spark: SparkSession, nodes: DataFrame, turn: np.ndarray, threshold: fl
 
 def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
-    rows = _kept(spark, classed(embeddings), "rows")
-    alike = rows.where("v is not null").groupBy("label", "size", "h1", "h2", "v")
+    found = classed(embeddings)
+    alike = found.where("v is not null").groupBy("label", "size", "h1", "h2", "v")
     nodes = alike.agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     nodes = _kept(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n, width = nodes.agg(F.count("*"), F.max("size")).first()
@@ -287,13 +289,13 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
     root = components(spark, met.select(F.col("node").alias("x"), F.col("root").alias("y")))
     whose = nodes.select("node", "label", "size", "h1", "h2", "copies", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whose = _kept(spark, whose.join(links, "node", "left"), "whose")
-    least = whose.groupBy(F.col("root").alias("r0")).agg(F.min("first").alias("component_id"))
+    least = _kept(spark, whose.groupBy(F.col("root").alias("r0")).agg(F.min("first").alias("component_id")), "least")
     named = whose.join(least, F.col("root") == F.col("r0")).select(
         F.col("label").alias("l0"), F.col("h1").alias("g1"), F.col("h2").alias("g2"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id",
     )
-    named = _kept(spark, named, "named")  # Spark splits hot keys of a join of tables
-    out = rows.select("vec_id", "label", F.col("v").isNotNull().alias("part"), "h1", "h2")
+    named = _kept(spark, named, "named")  # written first, as is the one before: Spark splits hot keys of a join of tables
+    out = found.select("vec_id", "label", F.col("v").isNotNull().alias("part"), "h1", "h2")
     mine = F.col("part") & (F.col("label") == F.col("l0")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
     out = out.join(named, mine, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

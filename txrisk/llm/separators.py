@@ -64,7 +64,10 @@ def write_flat(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str
                 fs.create_dir(base, recursive=True)
                 path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.bin"
                 out = fs.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}")
-            data = enc.encode(texts)[0].astype(f"<u{WIDTH}").tobytes()
+            ids = enc.encode(texts)[0]
+            if int(ids.max(initial=0)) >> (8 * WIDTH):
+                raise ValueError(f"the tokenizer has ids of more than {WIDTH} bytes")
+            data = ids.astype(f"<u{WIDTH}").tobytes()
             out.write(data)
             written += len(data)
             n = batch.num_rows
@@ -166,5 +169,5 @@ def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = written.groupBy("part").agg(F.count("*").alias("n"))  # a row per file
     first = first.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    named = written.join(F.broadcast(first), F.col("part") == F.col("p")).select("doc_id", (F.col("first") + F.col("place")).alias("document"))
+    named = written.join(first, F.col("part") == F.col("p")).select("doc_id", (F.col("first") + F.col("place")).alias("document"))
     return counted.join(named, "document").select("doc_id", "document", "start", "n_tokens")

@@ -43,11 +43,13 @@ HEADLINE = [
     "risk_tier",
     "risk_equal_width",
     "risk_chain",
+    "account_index",
     "filter_account",
     "filter_high_risk",
     "account_summary_top10",
     "account_summary_all",
     "account_details",
+    "account_lookup_many",
     "first_txn_per_account",
     "first_accounts",
     "numeric_profile",

@@ -143,3 +143,31 @@ def test_every_text_of_an_item_and_items_without_id(spark, docs_of, corpus):
     want = [(1000, 1), (1001, 1), (1002, None), (1003, None), (1004, 2), (2000, 1), (2000, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert sorted(r.doc_id for r in D.clean(spark, docs_of(rows), bench).collect()) == list(range(50))
+
+
+def test_tasks_get_only_the_rows_of_passage_terms():
+    """A block holds no row of the space for a term without a passage, and its vectors are those of the whole space."""
+    rows = [{"item_id": 1, "text": "alpha beta gamma delta epsilon zeta", "answer": ""}]
+    weights = np.linspace(1, 2, 1 << D.TERM_BITS).astype(np.float32)
+    own, _ = D.clean_words(pa.array([rows[0]["text"]]))
+    space = np.zeros((D.TERMS, 2), np.float32)
+    space[(own % np.uint64(D.TERMS)).astype(int)] = np.arange(12).reshape(6, 2) / 10
+    block = D.Block(rows, space, weights)
+    assert block.rows.shape == (6, 2)
+    words, _ = D.clean_words(pa.array(["beta other beta words alpha and zeta"]))
+    full = np.zeros(D.TERMS)
+    for w in set(words.tolist()):
+        w = np.uint64(w)
+        full[int(w % np.uint64(D.TERMS))] += np.sqrt((words == w).sum()) * weights[D.bucket(np.array([w]))[0]]
+    x, norm, outside = D.folded(words, block.rows, block.row, weights)
+    assert np.allclose(x, full @ space, rtol=1e-5) and np.isclose(norm, np.linalg.norm(full), rtol=1e-5)
+    assert np.isclose(outside**2, norm**2 - x @ x, rtol=1e-3, atol=1e-3) or outside == 0
+
+
+def test_vectors_of_words_that_share_a_term():
+    words = np.array([5, 5 + D.TERMS, 5, 9], np.uint64)
+    weights = np.ones(1 << D.TERM_BITS, np.float32)
+    space, row = np.ones((1, 1), np.float32), np.full(D.TERMS, -1)
+    row[5] = 0
+    x, norm, _ = D.folded(words, space, row, weights)
+    assert np.isclose(x[0], 2**0.5 + 1) and np.isclose(norm**2, (2**0.5 + 1) ** 2 + 1)

@@ -141,15 +141,19 @@ def random_columns(k: int) -> np.ndarray:
     return np.random.default_rng(5).standard_normal((TERMS, k), dtype=np.float32)
 
 
-def gram_times(table: DataFrame, weights: np.ndarray, q: np.ndarray | None, k: int) -> np.ndarray:
-    """(A' A) q for the passage matrix A, as a job over the passages; q None: random columns."""
+def gram_times(table: DataFrame, weights: np.ndarray, q: np.ndarray | None, terms: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, (A' A) q) for the passage matrix A, as a job over the passages; q None: random columns.
+
+    Only terms that a passage holds have rows, here and in ``q``: the others are zero.
+    """
 
     def part(batches):
         own, total = (random_columns(k) if q is None else q), {}
         for _, texts in parts(batches, "text"):
             row, term, value = vectors(*clean_words(texts), weights)
+            at = term if q is None else np.searchsorted(terms, term)
             y = np.zeros((len(texts), k), np.float32)
-            np.add.at(y, row, own[term] * value[:, None].astype(np.float32))
+            np.add.at(y, row, own[at] * value[:, None].astype(np.float32))
             for t in np.unique(term).tolist():
                 here = term == t
                 total[t] = total.get(t, 0) + value[here].astype(np.float32) @ y[row[here]]
@@ -166,23 +170,30 @@ def gram_times(table: DataFrame, weights: np.ndarray, q: np.ndarray | None, k: i
             yield pa.record_batch([pa.array([t]), pa.array([v], pa.list_(pa.float32()))], ["t", "v"])
 
     schema = "t long, v array<float>"
-    out = np.zeros((TERMS, k), np.float32)
     # every task has summed its passages; a term's sums meet in one task
     sums = table.select("text").mapInArrow(part, schema).repartition("t").mapInArrow(add, schema).toArrow().combine_chunks()
-    for t, v in zip(sums.column("t").to_pylist(), sums.column("v"), strict=True):
-        out[t] += v.values.to_numpy()
-    return out
+    found = sums.column("t").to_numpy()
+    order = np.argsort(found)
+    out = np.empty((len(found), k), np.float32)
+    for at, v in zip(np.argsort(order).tolist(), sums.column("v"), strict=True):
+        out[at] = v.values.to_numpy()
+    return found[order], out
 
 
 def latent_space(table: DataFrame, weights: np.ndarray, n: int) -> np.ndarray:
     """Right singular vectors (terms by rank) of the passage matrix."""
     k = max(1, min(RANK, n))
-    q = None
+    terms = q = None
     for _ in range(2):
-        q = np.linalg.qr(gram_times(table, weights, q, k))[0]
-    small = q.T @ gram_times(table, weights, q, k)
+        terms, product = gram_times(table, weights, q, terms, k)
+        # more columns than terms: as many rows of zeros, as the terms without a passage have
+        q = np.linalg.qr(np.vstack([product, np.zeros((max(0, k - len(product)), k), np.float32)]))[0][: len(product)]
+    small = q.T @ gram_times(table, weights, q, terms, k)[1]
     values, u = np.linalg.eigh((small + small.T) / 2)
-    return (q @ u[:, values > 1e-6 * max(values.max(), 1e-12)][:, ::-1]).astype(np.float32)
+    rows = q @ u[:, values > 1e-6 * max(values.max(), 1e-12)][:, ::-1]
+    space = np.zeros((TERMS, rows.shape[1]), np.float32)
+    space[terms] = rows
+    return space
 
 
 class Block:
@@ -197,7 +208,11 @@ class Block:
         self.words = [words[begin[i] : ends[i]] for i in keep]
         answers, a_ends = clean_words(pa.array([rows[i]["answer"] for i in keep], pa.string()))
         self.answers = np.split(answers, a_ends[:-1]) if keep else []
-        self.space, self.weights = space, weights
+        # only the rows of terms that a passage holds are handed to tasks
+        full = np.flatnonzero(space.any(1))
+        self.rows, self.row = np.ascontiguousarray(space[full]), np.full(len(space), -1, np.int32)
+        self.row[full] = np.arange(len(full))
+        self.weights = weights
         self.size = SIZES[np.searchsorted(SIZES, [len(own) for own in self.words])]
         self.need, self.head_need = np.zeros(len(keep)), np.zeros(len(keep))
         self.latent = np.zeros((len(keep), space.shape[1]), np.float32)
@@ -208,7 +223,7 @@ class Block:
         for p, own in enumerate(self.words):
             energy = np.sort(weights[bucket(own)].astype(np.float64) ** 2)
             self.need[p] = max(HELD * energy.sum(), energy[: least_shared(len(own), len(self.answers[p]))].sum())
-            self.latent[p], self.norm[p], self.outside[p] = folded(own, space, weights)
+            self.latent[p], self.norm[p], self.outside[p] = folded(own, self.rows, self.row, weights)
             name, count = np.unique(own, return_counts=True)
             value = np.sqrt(count) * weights[bucket(name)].astype(np.float64)
             order = np.argsort(weights[bucket(name)], kind="stable")
@@ -230,13 +245,29 @@ def least_shared(n: int, answer: int) -> int:
     return next(m for m in range(n + 1) if m / n >= share)
 
 
-def folded(words: np.ndarray, space: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """(latent vector, length, length of what the space leaves out) of the weighted word counts."""
-    own, count = np.unique(words, return_counts=True)
+def folded(words: np.ndarray, rows: np.ndarray, row: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(latent vector, length, length of what the space leaves out) of the weighted word counts.
+
+    ``row``: where each term's row of the space is in ``rows``, -1 for a row of zeros.
+    """
+    words = np.sort(words)
+    new = np.empty(len(words), bool)
+    new[:1] = True
+    np.not_equal(words[1:], words[:-1], out=new[1:])
+    own, upto = words[new], np.flatnonzero(new)
+    count = np.empty(len(upto), np.int64)
+    np.subtract(upto[1:], upto[:-1], out=count[:-1])
+    count[-1:] = len(words) - upto[-1:]
     value = np.sqrt(count) * weights[bucket(own)]
-    term, at = np.unique((own % np.uint64(TERMS)).astype(np.int64), return_inverse=True)
-    value = np.bincount(at, value).astype(np.float32)
-    x = value @ space[term]
+    term = (own % np.uint64(TERMS)).astype(np.int64)
+    ordered = np.sort(term)
+    if (ordered[1:] == ordered[:-1]).any():  # words that share a term
+        term, at = np.unique(term, return_inverse=True)
+        value = np.bincount(at, value)
+    value = value.astype(np.float32)
+    place = row[term]
+    held_ = place >= 0
+    x = value[held_] @ rows[place[held_]]
     square = float(value @ value)
     return x, square**0.5, max(0.0, square - float(x @ x)) ** 0.5
 
@@ -248,8 +279,8 @@ def common(passage: np.ndarray, region: np.ndarray) -> int:
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(passage)) - 1
     state = full
-    for w in region.tolist():
-        hit = state & at.get(w, 0)
+    for places in [at[w] for w in region.tolist() if w in at]:
+        hit = state & places
         if hit:
             state = (state + hit | state - hit) & full
     return len(passage) - state.bit_count()
@@ -313,7 +344,7 @@ def search(texts: pa.Array, block: Block) -> list[tuple]:
     cuts = np.flatnonzero(np.diff(first, prepend=-1) | np.diff(end, prepend=-1))
     for at, to in zip(cuts.tolist(), np.append(cuts[1:], len(first)).tolist(), strict=True):
         r, i, j, near = int(doc[at]), int(first[at]), int(end[at]), pair[at:to]
-        x, norm, outside = folded(words[i:j], block.space, block.weights)
+        x, norm, outside = folded(words[i:j], block.rows, block.row, block.weights)
         product = block.latent[near] @ x
         most = product + outside * block.outside[near] + ROUNDING * norm * block.norm[near]
         for p, dot in zip(near[most >= block.need[near]].tolist(), product[most >= block.need[near]].tolist(), strict=True):

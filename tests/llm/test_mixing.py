@@ -96,3 +96,17 @@ def test_stage_copies_of_repeated_rows(spark, monkeypatch):
     for r in out.collect():
         got[tuple(r)] = got.get(tuple(r), 0) + 1
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_stages_that_move_texts_release_their_shuffles(spark):
+    """Texts that a stage has shuffled are not kept on disk while the next one shuffles its own."""
+    from txrisk.llm import mixing, token_orc
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    docs = spark.createDataFrame([(i, "a b c", "x") for i in range(8)], "doc_id long, text string, source string")
+    for stage in (mixing.stage_mix, token_orc.stage_tokens):
+        spark.conf.set(key, "false")
+        rows = stage(spark, docs, "").collect()
+        assert len(rows) >= 8 and spark.conf.get(key) == "true"
+        again = stage(spark, docs, "")
+        assert sorted(map(str, again.collect())) == sorted(map(str, again.collect()))  # made anew when asked again

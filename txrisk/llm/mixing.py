@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from txrisk.llm.units import release_shuffles
 from txrisk.session import fresh_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -142,6 +143,7 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hash of all columns) and their copies are added up.  Texts are moved once, to
     meet their number of copies, and only those that the mix takes.
     """
+    release_shuffles(spark)
     name = {"_mix_row_a": F.xxhash64(*docs.columns), "_mix_row_b": F.xxhash64(F.lit(1), *docs.columns)}
     sizes, found = fresh_path(spark, "mix-sizes"), fresh_path(spark, "mix-copies")
     sized(docs.withColumns(name).select("doc_id", "text", "source", *name)).drop("text").write.parquet(sizes)

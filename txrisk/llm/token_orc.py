@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.tokens import encoder
-from txrisk.llm.units import bounded_batches, slices
+from txrisk.llm.units import bounded_batches, release_shuffles, slices
 from txrisk.session import fresh_path
 
 END = 2
@@ -117,6 +117,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: write the documents' ids and describe what the files hold."""
+    release_shuffles(spark)  # the shuffle of the texts is done with when the ids are written
     path = fresh_path(spark, "tokens")
     write_tokens(docs, path)
     return digest(spark, path)

@@ -23,6 +23,12 @@ def bounded_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release_shuffles(spark) -> None:
+    """Have the files of a query's shuffles removed when it ends, not when the driver happens to collect
+    garbage: the stages of a pipeline move all texts one after the other."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def as_text(column) -> pa.Array:
     """A column of texts with "" for null."""
     if isinstance(column, pa.ChunkedArray):

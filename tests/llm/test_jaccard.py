@@ -84,6 +84,35 @@ def test_empty_table_and_stage(spark, docs_of):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4]
 
 
+def shuffled_rows(node):
+    """Rows with a text that the shuffles of an executed plan have written."""
+    children = node.children()
+    below = sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+    if node.nodeName() != "Exchange" or "text#" not in node.output().mkString(","):
+        return below
+    return below + node.metrics().apply("shuffleRecordsWritten").value()
+
+
+def test_dropping_ids_moves_few_texts(spark, docs_of):
+    rows = [(i % 1990 if i % 7 else None, f"text {i}") for i in range(2000)]
+    drop = set(range(0, 1990, 50)) | {5000}
+    gone = spark.createDataFrame([(d,) for d in sorted(drop)], "doc_id long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = J.without_ids(docs_of(rows), gone).select("doc_id", "text")
+        got = kept.collect()
+        moved = shuffled_rows(kept._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    order = lambda rows: sorted((d is None, d or 0, t) for d, t in rows)
+    assert order(got) == order((d, t) for d, t in rows if d not in drop)
+    assert 0 < moved <= 60
+    assert J.without_ids(docs_of(rows), gone.limit(0)).count() == len(rows)
+
+
 def test_prefixes_of_similar_sets_meet_under_every_order():
     rng = np.random.default_rng(1)
     for _ in range(300):

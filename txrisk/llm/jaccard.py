@@ -38,6 +38,8 @@ texts; an empty table gives no rows.  Extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -121,6 +123,25 @@ def chosen(batches, table: np.ndarray):
         yield batch.filter(pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
 
 
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose ``doc_id`` is not among those of ``gone`` (distinct); rows without one stay.
+
+    A row whose bit is not set stays where it is; only the others, the ones to drop and
+    few more, are moved to be compared by their ids.
+    """
+    table = id_bits(gone, "doc_id")
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            at = column.to_numpy()
+            yield pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    at = F.shiftright(F.xxhash64(docs["doc_id"].cast("long")), 64 - ID_BITS) + (1 << (ID_BITS - 1))
+    marked = F.arrow_udf(run, "boolean")(at)
+    met = docs.where(marked)
+    return docs.where(~marked).union(met.join(gone, met["doc_id"].cast("long") == gone["doc_id"], "left_anti"))
+
+
 def postings(docs: DataFrame, nodes: np.ndarray, sketch: np.ndarray) -> DataFrame:
     """A row per prefix shingle of the documents in a bit table: its list, the document, set size, place in the prefix."""
 
@@ -269,7 +290,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     found = _kept(spark, classes(spark, docs), "classes")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    kept = without_ids(docs, gone)
     twice = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
     nameless = found.where("doc_id is null")
     if twice.isEmpty() and nameless.isEmpty():

@@ -38,12 +38,10 @@ texts; an empty table gives no rows.  Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txrisk.llm.components import components
@@ -100,11 +98,20 @@ def survey(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
 
+def _bit(key: Column) -> Column:
+    """The place of an id's bit."""
+    return F.shiftright(F.xxhash64(key), 64 - ID_BITS) + (1 << (ID_BITS - 1))
+
+
+def id_words(ids: DataFrame, column: str) -> DataFrame:
+    """(w, bits): the words of a bit table that has a bit for every id of a column; at most 2**(ID_BITS - 5) rows."""
+    got = ids.select(_bit(F.col(column)).alias("at")).select(F.shiftright("at", 5).alias("w"), (F.col("at") % 32).cast("int").alias("b"))
+    return got.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
+
+
 def id_bits(ids: DataFrame, column: str) -> np.ndarray:
     """A bit table that has a bit for every id of a column (and maybe others): ``2**ID_BITS`` bits."""
-    at = F.shiftright(F.xxhash64(column), 64 - ID_BITS) + (1 << (ID_BITS - 1))
-    got = ids.select(at.alias("at")).select(F.shiftright("at", 5).alias("w"), (F.col("at") % 32).cast("int").alias("b"))
-    got = got.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toArrow()  # at most 2**(ID_BITS - 5) rows
+    got = id_words(ids, column).toArrow()
     table = np.zeros(1 << (ID_BITS - 5), np.uint32)
     table[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     return table
@@ -112,8 +119,7 @@ def id_bits(ids: DataFrame, column: str) -> np.ndarray:
 
 def with_bit(docs: DataFrame) -> DataFrame:
     """(doc_id, text, at) of the documents: the place of an id's bit."""
-    at = F.shiftright(F.xxhash64("doc_id"), 64 - ID_BITS) + (1 << (ID_BITS - 1))
-    return docs.where("doc_id is not null").select("doc_id", "text", at.alias("at"))
+    return docs.where("doc_id is not null").select("doc_id", "text", _bit(F.col("doc_id")).alias("at"))
 
 
 def chosen(batches, table: np.ndarray):
@@ -127,19 +133,16 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose ``doc_id`` is not among those of ``gone`` (distinct); rows without one stay.
 
     A row whose bit is not set stays where it is; only the others, the ones to drop and
-    few more, are moved to be compared by their ids.
+    few more, are moved to be compared by their ids.  The table of bits has a fixed size
+    (2 MB of bits), so every executor can have it, whatever the number of ids.
     """
-    table = id_bits(gone, "doc_id")
-
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            at = column.to_numpy()
-            yield pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
-
-    at = F.shiftright(F.xxhash64(docs["doc_id"].cast("long")), 64 - ID_BITS) + (1 << (ID_BITS - 1))
-    marked = F.arrow_udf(run, "boolean")(at)
-    met = docs.where(marked)
-    return docs.where(~marked).union(met.join(gone, met["doc_id"].cast("long") == gone["doc_id"], "left_anti"))
+    words = F.broadcast(id_words(gone, "doc_id").select(F.col("w").alias("_w"), F.col("bits").alias("_bits")))
+    at = _bit(docs["doc_id"].cast("long"))
+    marked = docs.join(words, F.shiftright(at, 5) == F.col("_w"), "left")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))
+    hit = F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))
+    stay, met = marked.where(~hit).drop("_w", "_bits"), marked.where(hit).drop("_w", "_bits")
+    return stay.union(met.join(gone, met["doc_id"].cast("long") == gone["doc_id"], "left_anti"))
 
 
 def postings(docs: DataFrame, nodes: np.ndarray, sketch: np.ndarray) -> DataFrame:
